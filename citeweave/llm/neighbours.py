@@ -202,7 +202,7 @@ def nearest(df: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
     placed = cut(v.select("model", "space", "id", "vec").mapInPandas(place, "model string, space string, id string, vec array<float>, cells array<int>"))
     tile = lambda c: F.concat_ws("\x1f", "space", c.cast("string"))
     own = placed.withColumn("tile", tile(F.col("cells")[0])).drop("cells")
-    asked = placed.withColumn("tile", tile(F.explode("cells"))).drop("cells")
+    asked = placed.withColumn("cell", F.explode("cells")).withColumn("tile", tile(F.col("cell"))).drop("cells", "cell")
     counts = lambda x: {r["tile"]: r["count"] for r in x.groupBy("tile").count().where(F.col("count") > BLOCK).collect()}
     nd, nq = counts(own), counts(asked)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from citeweave.llm import neighbours, pairs, similar, stuffing
+from citeweave.llm import mixing, neighbours, packing, pairs, similar, stuffing, survivors
 
-QUERIES = {k: f for m in (pairs, similar, neighbours, stuffing) for k, f in m.QUERIES.items()}
-SQL = {k: s for m in (pairs, similar, neighbours, stuffing) for k, s in m.SQL.items()}
+_MODULES = (pairs, survivors, similar, neighbours, packing, mixing, stuffing)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

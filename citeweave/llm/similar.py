@@ -87,7 +87,7 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float, same: bo
         low, high = rs[s][0], rs[s][-1]
         for i in range(0, len(ls), 256):
             t = slice(i, i + 256)
-            if ls[t][0] * threshold > high + 1e-9 or ls[t][-1] < low * threshold - 1e-9 or (same and i + 256 <= j - 1024):
+            if ls[t][0] * threshold > high + 1e-9 or ls[t][-1] < low * threshold - 1e-9 or (same and i + 256 <= j):
                 continue
             few = np.bitwise_count(lw[0, t, None] ^ rw[0, None, s])
             for k in range(1, BITS // 64):
@@ -95,8 +95,9 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float, same: bo
             x, y = np.nonzero(few <= min(255, math.floor((ls[t][-1] + high) * slack + 1e-9)))
             keep = few[x, y] <= (ls[t][x] + rs[s][y]) * slack + 1e-9
             a, b = lr[t][x[keep]], rr[s][y[keep]]
-            if same:
-                a, b = a[a < b], b[a < b]
+            if same:  # both sides are in one order: each pair once
+                once = i + x[keep] > j + y[keep]
+                a, b = a[once], b[once]
             out_a.append(a)
             out_b.append(b)
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
