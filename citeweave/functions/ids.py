@@ -11,12 +11,13 @@ ARXIV_NEW = r"\d{4}\.\d{4,5}"
 ARXIV_OLD = r"[a-z\-]+(?:\.[a-z]{2})?/\d{7}"
 DOI = r"^10\.[0-9]{4,9}/\S+$"
 
+_BLANKS = " \t\n\x0b\f\r\u00a0\u200b\ufeff"
 _ARXIV = rf"(?i)^(?:https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/)?({ARXIV_NEW}|{ARXIV_OLD})(?:v\d+)?(?:\.pdf)?$"
 
 
 def stripped(c: Column) -> Column:
     """c without outer blanks, null where nothing is left."""
-    s = F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
+    s = F.btrim(c, F.lit(_BLANKS))
     return F.when(s != "", s)
 
 
@@ -26,22 +27,28 @@ def arxiv_id(c: Column) -> Column:
     return F.when(s.rlike(_ARXIV), F.lower(F.regexp_extract(s, _ARXIV, 1)))
 
 
-_ANY_ARXIV = rf"(?i)^(?:arxiv:\s*)?(?:https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/)?({ARXIV_NEW}|{ARXIV_OLD})(?:v\d+)?(?:\.pdf)?$"
-_PARTS = r"(?s)^(?:([^:]*):)?(.*)$"
-
-
 def split_key(df: DataFrame, key: str, scheme: str = "scheme", ident: str = "ident") -> DataFrame:
     """df with (scheme, ident) of the paper key in column `key`, in place of that column.
 
     Scheme in lower case; an arXiv number, bare or as a URL, has scheme arxiv and no version; identifiers of schemes
     arxiv and doi are in lower case. A key with no scheme has a null scheme, one with nothing after the colon a null
-    identifier, a blank or null key both. The steps are projections of their own, so that each is computed once.
+    identifier, a blank or null key both. The steps are projections of their own, so that each is computed once, and
+    only keys that may be arXiv's are matched against a pattern.
     """
-    one = df.withColumn("_s", F.regexp_replace(stripped(F.col(key)), _ANY_ARXIV, "arxiv:$1"))
-    two = one.withColumns({"_scheme": F.lower(F.trim(F.regexp_extract("_s", _PARTS, 1))), "_ident": F.regexp_extract("_s", _PARTS, 2)})
-    low = F.when(F.col("_scheme").isin("doi", "arxiv"), F.lower("_ident")).otherwise(F.col("_ident"))
-    out = two.withColumns({"_scheme": F.when(F.col("_scheme") != "", F.col("_scheme")), "_ident": F.when(low != "", low)})
-    return out.drop("_s", key).withColumnsRenamed({"_scheme": scheme, "_ident": ident})
+    one = df.withColumn("_s", F.btrim(F.col(key), F.lit(_BLANKS)))
+    two = one.withColumn("_c", F.instr("_s", ":"))
+    three = two.withColumns({
+        "_scheme": F.when(F.col("_c") > 0, F.lower(F.trim(F.substring_index("_s", ":", 1)))),
+        "_ident": F.when(F.col("_c") > 0, F.col("_s").substr(F.col("_c") + 1, F.length("_s"))).otherwise(F.col("_s")),
+    })
+    bare = F.col("_scheme").isNull() | F.col("_scheme").isin("http", "https")
+    found = F.when(F.col("_scheme") == "arxiv", F.regexp_extract(F.trim("_ident"), _ARXIV, 1)).when(bare, F.regexp_extract("_s", _ARXIV, 1)).otherwise(F.lit(""))
+    four = three.withColumn("_arxiv", found)
+    is_arxiv = F.col("_arxiv") != ""
+    low = F.when(is_arxiv, F.lower("_arxiv")).when(F.col("_scheme").isin("doi", "arxiv"), F.lower("_ident")).otherwise(F.col("_ident"))
+    five = four.withColumns({"_ident": low, "_scheme": F.when(is_arxiv, F.lit("arxiv")).otherwise(F.col("_scheme"))})
+    out = five.withColumns({"_scheme": F.when(F.col("_scheme") != "", F.col("_scheme")), "_ident": F.when(F.col("_ident") != "", F.col("_ident"))})
+    return out.drop("_s", "_c", "_arxiv", key).withColumnsRenamed({"_scheme": scheme, "_ident": ident})
 
 
 def key_text(scheme: Column, ident: Column) -> Column:

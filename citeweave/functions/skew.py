@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: A key with more than this share of the sampled rows is hot; at most 1 / HOT_SHARE keys are, so their list is small.
@@ -18,9 +18,10 @@ ONE_IN = 61
 def hot_keys(df: DataFrame, on: list[str], row_id: Column, share: float = HOT_SHARE) -> list[tuple]:
     """Keys with more than `share` of a hashed sample of df's rows (nulls never count); at most 1 / share of them."""
     some = df.where(F.pmod(F.xxhash64(row_id, F.lit(11)), F.lit(ONE_IN)) == 0).dropna(subset=on)
-    counted = some.groupBy(*on).count()
+    seen = Observation()
+    counted = some.observe(seen, F.count(F.lit(1)).alias("n")).groupBy(*on).count()
     top = counted.orderBy(F.desc("count"), *on).limit(int(1 / share) + 1).collect()
-    total = some.count() if top else 0
+    total = seen.get["n"]
     return [tuple(r[c] for c in on) for r in top if r["count"] > max(50, share * total)]
 
 
