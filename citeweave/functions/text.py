@@ -139,5 +139,5 @@ def any_sql(col: str, phrases: list[str]) -> str:
     return "(" + " OR ".join(f"contains({col}, '{p.replace(chr(39), chr(39) * 2)}')" for p in phrases) + ")"
 
 
-TOKENS_SQL = r"list_filter(list_transform(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_.\-]+'), x -> lower(regexp_replace(x, '^[.\-]+|[.\-]+$', '', 'g'))), x -> regexp_full_match(x, '[A-Za-z0-9_.\-]{{2,}}'))"
-TITLE_TOKENS_SQL = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), x -> length(x) > 2))"
+TOKENS_SQL = r"list_filter(list_transform(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_.\-]+'), lambda x: lower(regexp_replace(x, '^[.\-]+|[.\-]+$', '', 'g'))), lambda x: regexp_full_match(x, '[A-Za-z0-9_.\-]{{2,}}'))"
+TITLE_TOKENS_SQL = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda x: length(x) > 2))"

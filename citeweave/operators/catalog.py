@@ -317,7 +317,7 @@ SQL = {
     "str9_embedding_text": "SELECT rec_id, CASE WHEN coalesce(abstract, '') <> '' THEN coalesce(title, '') || chr(10) || coalesce(title, '') || chr(10) || abstract WHEN coalesce(title, '') <> '' THEN title END AS embed_text FROM papers",
     "agg1_agg10_catalog_stats": "SELECT count(*) AS n, count(*) FILTER (citation_count > 0) AS cited, coalesce(min(year), 2017) AS min_year, coalesce(max(year), 2026) AS max_year, round(avg(citation_count) FILTER (citation_count > 0), 6) AS avg_cites, count(doi) AS with_doi, max(citation_count) AS max_cites FROM papers",
     "agg2_top_sources": "SELECT lower(trim(source)) AS source, count(*) AS n FROM papers WHERE trim(source) <> '' GROUP BY 1 ORDER BY n DESC, source LIMIT 12",
-    "agg9_top_categories": "SELECT category, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(string_split(p_type, ' '), x -> x <> ''))) AS category FROM part) GROUP BY 1 ORDER BY n DESC, category LIMIT 15",
+    "agg9_top_categories": "SELECT category, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(string_split(p_type, ' '), lambda x: x <> ''))) AS category FROM part) GROUP BY 1 ORDER BY n DESC, category LIMIT 15",
     "flt6_category_any": "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'steel')",
     "ups1_merge": _OLDNEW + "SELECT coalesce(o.arxiv_id, n.arxiv_id) AS arxiv_id, CASE WHEN n.arxiv_id IS NOT NULL THEN n.title ELSE o.title END AS title, CASE WHEN n.arxiv_id IS NOT NULL THEN n.doi ELSE o.doi END AS doi, coalesce(n.year, o.year) AS year, coalesce(n.citation_count, o.citation_count) AS citation_count FROM o FULL JOIN n ON o.arxiv_id = n.arxiv_id",
     "ups2_coalesce_merge": _OLDNEW + "SELECT coalesce(o.arxiv_id, n.arxiv_id) AS arxiv_id, coalesce(nullif(trim(n.title), ''), o.title) AS title, coalesce(nullif(trim(n.doi), ''), o.doi) AS doi, coalesce(n.year, o.year) AS year, coalesce(n.citation_count, o.citation_count) AS citation_count FROM o FULL JOIN n ON o.arxiv_id = n.arxiv_id",

@@ -191,7 +191,7 @@ def _q_snippets(spark, d):
 
 def _q_slices(spark, d):
     """Answers cut into slices of three words, as a reader of a stream would get them."""
-    q = table(spark, d, "d_oos_full_answers").where("trim(answer_full) != ''")
+    q = table(spark, d, "d_oos_full_answers").where(F.col("answer_full").rlike(r"[^ \t\n]"))
     w = q.select("qa_id", F.posexplode(F.filter(F.split("answer_full", r"[ \t\n]+"), lambda x: x != "")).alias("pos", "word"))
     g = w.groupBy("qa_id", F.floor(F.col("pos") / 3).cast("long").alias("slice")).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("l"))
     return g.select("qa_id", "slice", F.array_join(F.transform("l", lambda x: x["word"]), " ").alias("words"))
@@ -256,5 +256,5 @@ SQL = {
     "str6_query_ids": "SELECT qa_id, '2501.16496,2304.14997' AS ids FROM d_oos_full_answers",
     "txt12_cache_admission": f"SELECT qa_id, kind FROM d_oos_full_answers WHERE coverage IN ('high', 'partial') AND (regexp_matches(coalesce(answer_full, ''), '\\[\\d+\\]') OR NOT {_REFUSE}) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY qa_id DESC) <= 250",
     "txt13_snippets": "SELECT doc_id, trim(translate(text[:280], chr(10), ' ')) AS snippet FROM documents WHERE text IS NOT NULL",
-    "api2_word_slices": "WITH w AS (SELECT qa_id, list_filter(regexp_split_to_array(answer_full, '[ \\t\\n]+'), x -> x <> '') AS l FROM d_oos_full_answers WHERE trim(answer_full) <> ''), s AS (SELECT qa_id, l, unnest(range(0, (len(l) + 2) // 3)) AS slice FROM w) SELECT qa_id, slice, array_to_string(l[slice * 3 + 1 : slice * 3 + 3], ' ') AS words FROM s",
+    "api2_word_slices": "WITH w AS (SELECT qa_id, list_filter(regexp_split_to_array(answer_full, '[ \\t\\n]+'), lambda x: x <> '') AS l FROM d_oos_full_answers WHERE regexp_matches(answer_full, '[^ \\t\\n]')), s AS (SELECT qa_id, l, unnest(range(0, (len(l) + 2) // 3)) AS slice FROM w) SELECT qa_id, slice, array_to_string(l[slice * 3 + 1 : slice * 3 + 3], ' ') AS words FROM s",
 }
