@@ -1,10 +1,11 @@
 """Most similar vectors for every vector.
 
 Vectors are placed in cells around centroids fitted on a bounded sample; every vector is indexed and every vector is
-a query in its nearest cells. In a tile (a block of one cell's vectors and a block of its queries) vectors are one-bit
-codes of a random rotation: the inner product is estimated from packed bits and a correction scalar per vector, with
-an error bound; only vectors whose bound reaches the query's k-th lower bound are compared exactly. A query whose
-neighbours are no closer than chance would give gets the same scan against the blocks of all vectors.
+a query: first in its nearest cells, then, with the k-th similarity found there as a floor, in more of them. In a tile
+(a block of one cell's vectors and a block of its queries) vectors are one-bit codes of a random rotation: the inner
+product is estimated from packed bits and a correction scalar per vector, with an error bound; only vectors whose
+bound reaches the floor, or the query's k-th lower bound, are compared exactly. A query whose neighbours are no closer
+than chance would give gets the same scan against the blocks of all vectors.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from citeweave.session import cut, table
 #: Vectors of a model that centroids are fitted on, at most.
 SAMPLE = 20_000
 #: Vectors of a cell on average, and the most cells of a model.
-PER_CELL, CELLS = 1000, 4096
-#: Cells in which each query looks.
-PROBES = 12
+PER_CELL, CELLS = 400, 4096
+#: Cells in which each query looks, and how many of them without a floor.
+PROBES, FIRST = 16, 2
 #: Rows of a block; a task holds one block of vectors and one of queries.
 BLOCK = 8192
 #: Standard deviations of the estimate's error that the bounds allow.
@@ -91,25 +92,43 @@ def estimate(q: np.ndarray, codes: np.ndarray, scalars: np.ndarray, rot: np.ndar
     y = q @ rot.T
     low, step = y.min(1, keepdims=True), np.maximum(np.ptp(y, axis=1, keepdims=True), 1e-12) / (2**QUERY_BITS - 1)
     u = np.rint((y - low) / step).astype(np.uint8)
-    total = np.zeros((len(q), len(codes)), dtype=np.int32)
+    total = np.zeros((len(q), len(codes)), dtype=np.uint16)
     for plane in range(QUERY_BITS):
         bits = np.packbits(np.pad((u >> plane) & 1, ((0, 0), (0, -dim % 64))), axis=1).view(np.uint64)
-        n = np.zeros((len(q), len(codes)), dtype=np.int32)
         for w in range(codes.shape[1]):
-            n += np.bitwise_count(bits[:, w, None] & codes[None, :, w])
-        total += n << plane
-    ones = np.bitwise_count(codes).sum(1).astype(np.float64)
-    dot = 2 * (step * total + low * ones) - (step * u.sum(1, keepdims=True) + low * dim)
-    est = dot / (math.sqrt(dim) * scalars)
-    err = EPSILON * (np.sqrt(np.maximum(0, 1 - scalars**2)) / scalars / math.sqrt(max(1, dim - 1)) + step / math.sqrt(12) / scalars)
-    return est, err
+            total += np.bitwise_count(bits[:, w, None] & codes[None, :, w]).astype(np.uint16) << plane
+    single = lambda x: x.astype(np.float32)
+    ones = 2.0 * np.bitwise_count(codes).sum(1) - dim
+    est = total * single(2 * step)
+    est += single(low) * single(ones)[None, :]
+    est -= single(step * u.sum(1, keepdims=True))
+    est *= single(1 / (math.sqrt(dim) * scalars))[None, :]
+    of_data = EPSILON * np.sqrt(np.maximum(0, 1 - scalars**2)) / scalars / math.sqrt(max(1, dim - 1))
+    return est, single(of_data)[None, :] + single(EPSILON * step / math.sqrt(12)) * single(1 / scalars)[None, :]
+
+
+def _chosen(q: np.ndarray, d: np.ndarray, mask: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cos): where mask holds, the columns of each row with its k largest cosines and all ties with the k-th."""
+    many = mask.sum(1) > max(8, 0.05 * mask.shape[1])
+    x, y = np.nonzero(mask & ~many[:, None])
+    cos = np.concatenate([np.einsum("ij,ij->i", q[x[j : j + 100_000]], d[y[j : j + 100_000]]) for j in range(0, len(x), 100_000)]) if len(x) else np.empty(0)
+    rows = np.nonzero(many)[0]
+    if not len(rows):
+        return x, y, np.round(cos, 9)
+    c = np.where(mask[rows], q[rows] @ d.T, -9.0)
+    kth = np.partition(c, -k, axis=1)[:, -k] if c.shape[1] > k else np.full(len(rows), -8.0)
+    a, b = np.nonzero(c >= np.maximum(kth, -8)[:, None] - 2e-9)
+    return np.concatenate([x, rows[a]]), np.concatenate([y, b]), np.round(np.concatenate([cos, c[a, b]]), 9)
 
 
 def nearest_in_tile(data: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """(q, n, cos): of each query the k nearest vectors of the tile, itself left out; ties go to the smaller id."""
+    """(q, n, cos): of each query the k nearest vectors of the tile, itself left out; ties go to the smaller id.
+
+    Vectors below the query's floor may be left out.
+    """
     data, queries = data.sort_values("id"), queries.sort_values("id")
     d, q = unit(_stack(data["vec"])), unit(_stack(queries["vec"]))
-    ids, qids = data["id"].to_numpy(), queries["id"].to_numpy()
+    ids, qids, floor = data["id"].to_numpy(), queries["id"].to_numpy(), queries["floor"].to_numpy(np.float32)
     at = pd.Series(np.arange(len(ids)), index=ids).reindex(qids).to_numpy()
     rot = rotation(d.shape[1])
     codes, scalars = encode(d, rot)
@@ -121,10 +140,12 @@ def nearest_in_tile(data: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
         own = at[s]
         has = ~np.isnan(own)
         est[np.nonzero(has)[0], own[has].astype(int)] = -9
-        low = est - err
-        kth = np.partition(low, max(0, len(d) - k), axis=1)[:, max(0, len(d) - k)] if len(d) > k else np.full(len(est), -8.0)
-        x, y = np.nonzero((est + err >= np.maximum(kth, -8)[:, None]) & (est > -5))
-        cos = np.round(np.concatenate([np.einsum("ij,ij->i", q[s][x[j : j + 200_000]], d[y[j : j + 200_000]]) for j in range(0, len(x), 200_000)]) if len(x) else np.empty(0), 9)
+        bar = floor[s].copy()
+        free = np.nonzero(bar < -1)[0]
+        if len(free) and len(d) > k:
+            bar[free] = np.maximum(np.partition(est[free] - err[free], -k, axis=1)[:, -k], -8)
+        err += est
+        x, y, cos = _chosen(q[s], d, (err >= bar[:, None] - 1e-4) & (est > -5), k)
         order = np.lexsort((y, -cos, x))
         x, y, cos = x[order], y[order], cos[order]
         start = np.searchsorted(x, np.arange(len(est)))
@@ -136,8 +157,8 @@ def nearest_in_tile(data: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
 
 
 def _scan(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(model, q, n, cos) of tiles: data and queries have (model, tile, part_d, part_q, id, vec)."""
-    tiles = data.withColumn("is_q", F.lit(False)).unionByName(queries.withColumn("is_q", F.lit(True)))
+    """(model, q, n, cos) of tiles: data and queries have (model, tile, part_d, part_q, id, vec), queries a floor too."""
+    tiles = data.withColumns({"is_q": F.lit(False), "floor": F.lit(0.0)}).unionByName(queries.withColumn("is_q", F.lit(True)))
 
     def run(key, t: pd.DataFrame) -> pd.DataFrame:
         d, q = t[~t["is_q"]], t[t["is_q"]]
@@ -202,9 +223,7 @@ def nearest(df: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
     placed = cut(v.select("model", "space", "id", "vec").mapInPandas(place, "model string, space string, id string, vec array<float>, cells array<int>"))
     tile = lambda c: F.concat_ws("\x1f", "space", c.cast("string"))
     own = placed.withColumn("tile", tile(F.col("cells")[0])).drop("cells")
-    asked = placed.withColumn("cell", F.explode("cells")).withColumn("tile", tile(F.col("cell"))).drop("cells", "cell")
     counts = lambda x: {r["tile"]: r["count"] for r in x.groupBy("tile").count().where(F.col("count") > BLOCK).collect()}
-    nd, nq = counts(own), counts(asked)
 
     def blocks(data: DataFrame, queries: DataFrame, nd: dict, nq: dict) -> DataFrame:
         pd_, pq = _parts(nd, F.col("tile")), _parts(nq, F.col("tile"))
@@ -212,22 +231,34 @@ def nearest(df: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         cols = ["model", "tile", "part_d", "part_q", "id", "vec"]
         d = data.withColumn("part_d", F.pmod(h, pd_).cast("int")).withColumn("part_q", every(pq)).select(*cols)
-        q = queries.withColumn("part_q", F.pmod(h, pq).cast("int")).withColumn("part_d", every(pd_)).select(*cols)
+        q = queries.withColumn("part_q", F.pmod(h, pq).cast("int")).withColumn("part_d", every(pd_)).select(*cols, "floor")
         return _scan(d, q, k)
 
-    first = cut(_top(blocks(own, asked, nd, nq), k))
+    def asked(some: DataFrame, first: int, n: int) -> DataFrame:
+        """Queries in their cells from the first-th on."""
+        return some.withColumn("cell", F.explode(F.slice("cells", first, n))).withColumn("tile", tile(F.col("cell"))).drop("cells", "cell")
+
+    def with_floor(some: DataFrame, found: DataFrame) -> DataFrame:
+        kth = found.groupBy("model", F.col("q").alias("id")).agg(F.when(F.count("*") >= k, F.min("cos")).alias("floor"))
+        return some.join(kth, ["model", "id"], "left").withColumn("floor", F.coalesce("floor", F.lit(-9.0)))
+
+    nd = counts(own)
+    near = asked(placed.withColumn("floor", F.lit(-9.0)), 1, FIRST)
+    found = cut(_top(blocks(own, near, nd, counts(near)), k))
+    if probes > FIRST and plan:
+        more = asked(with_floor(placed.where(F.size("cells") > FIRST), found), FIRST + 1, probes - FIRST)
+        also = blocks(own, more, nd, counts(more))
+        found = cut(_top(found.select("model", "q", "n", "cos").unionByName(also), k))
     limit = F.create_map(*(x for s, t in settle.items() for x in (F.lit(s), F.lit(t))))
-    kth = first.groupBy("model", F.col("q").alias("id")).agg(F.count("*").alias("found"), F.min("cos").alias("kth"))
-    many = placed.join(kth, ["model", "id"], "left")
-    loose = many.where((F.size("cells") > 1) & (F.coalesce("found", F.lit(0)) < k) | (F.size("cells") > 1) & (F.col("kth") < limit[F.col("space")])).drop("found", "kth")
+    loose = with_floor(placed.where(F.size("cells") >= probes), found).where(F.col("floor") < limit[F.col("space")])
     loose = cut(loose.withColumn("tile", F.col("space")).drop("cells"))
     left = {r["tile"]: r["count"] for r in loose.groupBy("tile").count().collect()}
     if not left:
-        return first
+        return found
     total = {f"{r['model']}\x1f{r['dim']}": r["count"] for r in sizes}
     whole = placed.withColumn("tile", F.col("space")).drop("cells").where(F.col("space").isin(list(left)))
     again = blocks(whole, loose, total, left)
-    return _top(first.select("model", "q", "n", "cos").unionByName(again).distinct(), k)
+    return _top(found.select("model", "q", "n", "cos").unionByName(again).distinct(), k)
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
