@@ -26,6 +26,8 @@ SAMPLE = 20_000
 PER_CELL, CELLS = 400, 4096
 #: Cells in which each query looks, and how many of them without a floor.
 PROBES, FIRST = 16, 2
+#: Standard deviations of chance in the rule that leaves out cells too far off to hold a vector above the floor.
+CELL_EPSILON = 3.5
 #: Rows of a block; a task holds one block of vectors and one of queries.
 BLOCK = 8192
 #: Standard deviations of the estimate's error that the bounds allow.
@@ -209,7 +211,7 @@ def nearest(df: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cents = shared.value
         for b in batches:
-            b["cells"] = [[0]] * len(b)
+            b["cells"], b["near"] = [[0]] * len(b), [[1.0]] * len(b)
             for space, rows in b.groupby("space").groups.items():
                 c = cents.get(space)
                 if c is not None:
@@ -218,11 +220,12 @@ def nearest(df: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
                     top = np.argpartition(-near, m - 1, axis=1)[:, :m]
                     top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1), 1)
                     b.loc[rows, "cells"] = pd.Series(list(top.astype(np.int32)), index=rows)
-            yield b[["model", "space", "id", "vec", "cells"]]
+                    b.loc[rows, "near"] = pd.Series(list(np.take_along_axis(near, top, 1).astype(np.float32)), index=rows)
+            yield b[["model", "space", "id", "vec", "cells", "near"]]
 
-    placed = cut(v.select("model", "space", "id", "vec").mapInPandas(place, "model string, space string, id string, vec array<float>, cells array<int>"))
+    placed = cut(v.select("model", "space", "id", "vec").mapInPandas(place, "model string, space string, id string, vec array<float>, cells array<int>, near array<float>"))
     tile = lambda c: F.concat_ws("\x1f", "space", c.cast("string"))
-    own = placed.withColumn("tile", tile(F.col("cells")[0])).drop("cells")
+    own = placed.withColumn("tile", tile(F.col("cells")[0])).drop("cells", "near")
     counts = lambda x: {r["tile"]: r["count"] for r in x.groupBy("tile").count().where(F.col("count") > BLOCK).collect()}
 
     def blocks(data: DataFrame, queries: DataFrame, nd: dict, nq: dict) -> DataFrame:
@@ -235,13 +238,23 @@ def nearest(df: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
         return _scan(d, q, k)
 
     def asked(some: DataFrame, first: int, n: int) -> DataFrame:
-        """Queries in their cells from the first-th on."""
-        return some.withColumn("cell", F.explode(F.slice("cells", first, n))).withColumn("tile", tile(F.col("cell"))).drop("cells", "cell")
+        """Queries in their cells from the first-th on.
+
+        A vector above the floor lies in a cell other than the query's nearest only if the part of it that is
+        orthogonal to the query, a direction as good as random, makes up for what that cell's centroid is further
+        off: cells beyond CELL_EPSILON standard deviations of that are left out.
+        """
+        each = some.withColumn("c", F.explode(F.slice(F.arrays_zip("cells", "near"), first, n)))
+        f = F.col("floor")
+        slope = F.sqrt(1 - f * f) / f
+        far = (f > limit[F.col("space")]) & (F.col("near")[0] - F.col("c.near") > slope * math.sqrt(2) * CELL_EPSILON / F.sqrt(F.size("vec").cast("double")))
+        return each.where(~F.coalesce(far, F.lit(False))).withColumn("tile", tile(F.col("c.cells"))).drop("cells", "near", "c")
 
     def with_floor(some: DataFrame, found: DataFrame) -> DataFrame:
         kth = found.groupBy("model", F.col("q").alias("id")).agg(F.when(F.count("*") >= k, F.min("cos")).alias("floor"))
         return some.join(kth, ["model", "id"], "left").withColumn("floor", F.coalesce("floor", F.lit(-9.0)))
 
+    limit = F.create_map(*(x for s, t in settle.items() for x in (F.lit(s), F.lit(t))))
     nd = counts(own)
     near = asked(placed.withColumn("floor", F.lit(-9.0)), 1, FIRST)
     found = cut(_top(blocks(own, near, nd, counts(near)), k))
@@ -249,14 +262,13 @@ def nearest(df: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
         more = asked(with_floor(placed.where(F.size("cells") > FIRST), found), FIRST + 1, probes - FIRST)
         also = blocks(own, more, nd, counts(more))
         found = cut(_top(found.select("model", "q", "n", "cos").unionByName(also), k))
-    limit = F.create_map(*(x for s, t in settle.items() for x in (F.lit(s), F.lit(t))))
     loose = with_floor(placed.where(F.size("cells") >= probes), found).where(F.col("floor") < limit[F.col("space")])
-    loose = cut(loose.withColumn("tile", F.col("space")).drop("cells"))
+    loose = cut(loose.withColumn("tile", F.col("space")).drop("cells", "near"))
     left = {r["tile"]: r["count"] for r in loose.groupBy("tile").count().collect()}
     if not left:
         return found
     total = {f"{r['model']}\x1f{r['dim']}": r["count"] for r in sizes}
-    whole = placed.withColumn("tile", F.col("space")).drop("cells").where(F.col("space").isin(list(left)))
+    whole = placed.withColumn("tile", F.col("space")).drop("cells", "near").where(F.col("space").isin(list(left)))
     again = blocks(whole, loose, total, left)
     return _top(found.select("model", "q", "n", "cos").unionByName(again).distinct(), k)
 

@@ -31,6 +31,8 @@ _FUNCTION = {w: ID[w] for w in WORDS}
 
 #: Content words of a segment within which one that comes again counts as repeated.
 WINDOW = 14
+#: Bits by which a segment's mean surprise must differ at least, however uniform the prose.
+LEAST = 1.0
 #: Strength of the lower order in the interpolated model.
 BACKOFF = 4.0
 
@@ -83,16 +85,15 @@ def segments(text: str) -> Iterator[tuple[list[int], int, bool]]:
 
 
 def train(texts: DataFrame, text: str) -> "Model":
-    """A model of the prose sentences among all rows of texts. What reaches the driver is one count per trigram seen."""
+    """A model of the prose sentences among all rows of texts; equal ones of a document count once. What reaches the driver is one count per trigram seen."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
         for b in batches:
             for t in b["t"]:
-                for ids, _, seed in segments(t):
-                    if seed:
-                        x = [START, START, *ids, END]
-                        n.update((x[i] * V + x[i + 1]) * V + x[i + 2] for i in range(len(x) - 2))
+                for ids in {tuple(ids) for ids, _, seed in segments(t) if seed}:
+                    x = [START, START, *ids, END]
+                    n.update((x[i] * V + x[i + 1]) * V + x[i + 2] for i in range(len(x) - 2))
         yield pd.DataFrame({"k": list(n.keys()), "n": list(n.values())}, dtype="int64")
 
     counted = texts.select(F.col(text).alias("t")).where("t is not null").mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
@@ -135,7 +136,7 @@ class Model:
         """Whether the perplexity is abnormal: mean surprise beyond what segments of this length have in prose."""
         n = len(ids) + 1
         b, spread = self.bits(ids), self.sd / math.sqrt(n)
-        return b > self.mean + above * self.sd + spread or b < self.mean - below * self.sd - 0.25 * spread
+        return b > self.mean + max(above * self.sd, LEAST) + spread or b < self.mean - max(below * self.sd, LEAST) - 0.25 * spread
 
 
 #: Standard deviations of one symbol's surprise by which a segment's mean may exceed, or fall below, that of prose.
