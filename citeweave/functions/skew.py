@@ -21,6 +21,8 @@ def hot_keys(df: DataFrame, on: list[str], row_id: Column, share: float = HOT_SH
     seen = Observation()
     counted = some.observe(seen, F.count(F.lit(1)).alias("n")).groupBy(*on).count()
     top = counted.orderBy(F.desc("count"), *on).limit(int(1 / share) + 1).collect()
+    if not top:  # nothing was observed either
+        return []
     total = seen.get["n"]
     return [tuple(r[c] for c in on) for r in top if r["count"] > max(50, share * total)]
 

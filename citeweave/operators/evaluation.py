@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,28 +72,24 @@ def mcnemar(b: Column, c: Column) -> Column:
 def bootstrap_mean(df: DataFrame, by: list[str], row_id: str, value: str, draws: int = 200, seed: int = 42) -> DataFrame:
     """(by, n, mean, lo, hi): percentile interval of the mean by Poisson bootstrap.
 
-    Each row's weight in each draw is Poisson(1), from a hash of row and draw, so that draws need no shuffle of rows:
-    one aggregation gives every draw's mean.
+    Each row's weight in each draw is Poisson(1), from a hash of row and draw. Rows are repeated per draw before a
+    partial aggregation, so the shuffle holds one row per group and draw. Null values are left out; a draw that takes
+    no row of a group is left out.
     """
     rows = df.where(F.col(value).isNotNull()).select(*by, row_id, value)
-    u = lambda b: F.pmod(F.xxhash64(F.col(row_id), F.lit(seed), F.lit(b)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-
-    def weight(x: Column) -> Column:
-        cum, total, out = 0.36787944117144233, 0.36787944117144233, F.lit(6)
-        cuts = []
-        for i in range(1, 7):
-            cuts.append((i - 1, total))
-            cum /= i
-            total += cum
-        for n, c in reversed(cuts):
-            out = F.when(x < c, F.lit(n)).otherwise(out)
-        return out
-
-    aggs = [F.struct(F.sum(weight(u(b)) * F.col(value)).alias("s"), F.sum(weight(u(b))).alias("w")) for b in range(draws)]
-    g = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.array(*aggs).alias("d"))
-    means = F.array_sort(F.transform(F.filter("d", lambda x: x["w"] > 0), lambda x: x["s"] / x["w"]))
-    at = lambda q: F.element_at(means, F.greatest(F.lit(1), F.ceil(F.size(means) * q)).cast("int"))
-    return g.select(*by, "n", "mean", at(0.025).alias("lo"), at(0.975).alias("hi"))
+    drawn = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = F.pmod(F.xxhash64(row_id, F.lit(seed), "_b"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    weight, total, p = F.lit(0), 0.0, math.exp(-1)
+    for n in range(1, 8):  # the Poisson quantile of u
+        total += p
+        weight = weight + (u >= total).cast("int")
+        p /= n
+    sums = drawn.withColumn("_w", weight).groupBy(*by, "_b").agg(F.sum(F.col("_w") * F.col(value)).alias("_s"), F.sum("_w").alias("_w")).where("_w > 0")
+    means = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.col("_s") / F.col("_w"))).alias("_m"))
+    at = lambda q: F.element_at("_m", F.greatest(F.lit(1), F.ceil(F.size("_m") * q)).cast("int"))
+    point = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    both = point.join(means, by) if by else point.crossJoin(means)  # one row each
+    return both.select(*by, "n", "mean", at(0.025).alias("lo"), at(0.975).alias("hi"))
 
 
 def _answers(spark, d: str) -> DataFrame:

@@ -169,7 +169,7 @@ def _q_cache(spark, d):
     q = table(spark, d, "d_oos_full_answers").where("id is not null")
     emb = table(spark, d, "embeddings")
     n = emb.agg(F.count("*").alias("_n"))
-    a = q.crossJoin(F.broadcast(n)).withColumn("_v", F.crc32("question") % F.col("_n"))  # one row
+    a = q.crossJoin(F.broadcast(n)).withColumn("_v", F.length(F.coalesce("question", F.lit(""))) % F.col("_n"))  # one row
     a = a.join(emb.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vec")), "_v").select(F.col("qa_id").alias("id"), F.col("id").alias("scope"), "vec")
     return cache_hits(a, a, ["scope"])
 
@@ -254,6 +254,7 @@ SQL = {
     "txt6_txt7_intents": f"SELECT qa_id, i AS intent, round({_boost(chr(39) + 'experiments and limitations' + chr(39), 'i')}, 6) AS boost FROM (SELECT qa_id, {_cases('lower(coalesce(question, chr(0)))', text.INTENTS, 'GENERAL')} AS i FROM d_oos_full_answers)",
     "txt3_tokens": f"SELECT doc_id, len({_T}) AS tokens, len(list_distinct({_T})) AS distinct_tokens FROM documents WHERE text IS NOT NULL",
     "str6_query_ids": "SELECT qa_id, '2501.16496,2304.14997' AS ids FROM d_oos_full_answers",
+    "txt11_cache_hits": "WITH a AS (SELECT qa_id, id, embedding::DOUBLE[] AS v FROM d_oos_full_answers JOIN embeddings ON vec_id = length(coalesce(question, '')) % (SELECT count(*) FROM embeddings) WHERE id IS NOT NULL), s AS (SELECT x.qa_id AS id, y.qa_id AS hit, round(list_inner_product(x.v, y.v) / (sqrt(list_inner_product(x.v, x.v)) * sqrt(list_inner_product(y.v, y.v))), 9) AS similarity FROM a x JOIN a y ON x.id = y.id AND y.qa_id < x.qa_id) SELECT * FROM s WHERE similarity >= 0.92 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, hit) = 1",
     "txt12_cache_admission": f"SELECT qa_id, kind FROM d_oos_full_answers WHERE coverage IN ('high', 'partial') AND (regexp_matches(coalesce(answer_full, ''), '\\[\\d+\\]') OR NOT {_REFUSE}) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY qa_id DESC) <= 250",
     "txt13_snippets": "SELECT doc_id, trim(translate(text[:280], chr(10), ' ')) AS snippet FROM documents WHERE text IS NOT NULL",
     "api2_word_slices": "WITH w AS (SELECT qa_id, list_filter(regexp_split_to_array(answer_full, '[ \\t\\n]+'), lambda x: x <> '') AS l FROM d_oos_full_answers WHERE regexp_matches(answer_full, '[^ \\t\\n]')), s AS (SELECT qa_id, l, unnest(range(0, (len(l) + 2) // 3)) AS slice FROM w) SELECT qa_id, slice, array_to_string(l[slice * 3 + 1 : slice * 3 + 3], ' ') AS words FROM s",
