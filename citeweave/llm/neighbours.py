@@ -27,7 +27,7 @@ PER_CELL, CELLS = 400, 4096
 #: Cells in which each query looks, and how many of them without a floor.
 PROBES, FIRST = 16, 2
 #: Standard deviations of chance in the rule that leaves out cells too far off to hold a vector above the floor.
-CELL_EPSILON = 3.5
+CELL_EPSILON = 2.5
 #: Rows of a block; a task holds one block of vectors and one of queries.
 BLOCK = 8192
 #: Standard deviations of the estimate's error that the bounds allow.

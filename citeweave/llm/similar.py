@@ -24,8 +24,9 @@ from citeweave.session import cut, table
 
 _WORD = re.compile(r"[^\W_]+")
 BITS = 256
-#: Rows of a block; a task holds two blocks of fingerprints.
-BLOCK = 8192
+#: Blocks that all classes make, about, so that each is sent to as many tiles at any size; and the bounds of a block's
+#: rows. A task holds two blocks of 44-byte fingerprints, 6 MB at most.
+BLOCKS, BLOCK_MIN, BLOCK_MAX = 16, 2048, 65_536
 #: Band edges grow by the fourth root of 1 / threshold.
 BANDS = 4
 #: Classes of more equal records than this are linked to their smallest record only, not to each other.
@@ -113,8 +114,9 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     banded = classes.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(ratio) + F.lit(1e-9)).cast("int"))
     n = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
     first, last, at = {}, {}, 0
+    block = min(BLOCK_MAX, max(BLOCK_MIN, math.ceil(sum(n.values()) / BLOCKS)))
     for band in sorted(n):
-        first[band], at = at, at + math.ceil(n[band] / BLOCK)
+        first[band], at = at, at + math.ceil(n[band] / block)
         last[band] = at - 1
     if not n:
         return banded.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)

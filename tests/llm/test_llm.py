@@ -121,7 +121,7 @@ def test_similar_pairs_loses_none(spark, monkeypatch):
     want = brute_pairs(rows)
     got = [(r["rec_a"], r["rec_b"]) for r in similar.similar_pairs(df, "rec_id", "title", "abstract").collect()]
     assert set(got) == want and len(got) == len(want) and len(want) > 60
-    monkeypatch.setattr(similar, "BLOCK", 16)
+    monkeypatch.setattr(similar, "BLOCK_MIN", 16)
     small = similar.similar_pairs(df, "rec_id", "title", "abstract")
     assert {(r["rec_a"], r["rec_b"]) for r in small.collect()} == want
     assert similar.similar_pairs(df.limit(0), "rec_id", "title", "abstract").count() == 0
