@@ -31,11 +31,16 @@ def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFra
     return df.withColumn(out, F.rank().over(w) + (F.count("*").over(same) - 1) / 2.0)
 
 
+def correlation(a: str, b: str, least: int = 2) -> Column:
+    """Pearson correlation of two columns as an aggregate; null below `least` rows or where either does not vary."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when((F.count("*") >= least) & (spread > 0), F.covar_pop(a, b) / spread)
+
+
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """(by, n, rho): the correlation of average ranks; null below two rows or where either does not vary."""
     r = average_ranks(average_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), by, a, "_ra"), by, b, "_rb")
-    vary = (F.count("*") >= 2) & (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0)
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.when(vary, F.corr("_ra", "_rb")), 6).alias("rho"))
+    return r.groupBy(*by).agg(F.count("*").alias("n"), F.round(correlation("_ra", "_rb"), 6).alias("rho"))
 
 
 def ndcg(df: DataFrame, by: list[str], relevance: str, order: list[Column], k: int) -> DataFrame:
@@ -95,8 +100,8 @@ def bootstrap_mean(df: DataFrame, by: list[str], row_id: str, value: str, draws:
 def _answers(spark, d: str) -> DataFrame:
     """Evaluation rows: refused and answered flags, a top score and a recall made of the coverage label."""
     a = table(spark, d, "d_oos_full_answers")
-    score = F.when(F.col("coverage") == "high", 0.8).when(F.col("coverage") == "partial", 0.6).when(F.col("coverage") == "low", 0.4).otherwise(0.0) + (F.col("qa_id") % 10) / 1000.0
-    return a.select("qa_id", "id", "kind", "coverage", "should_refuse", "answer_full", "n_references", "latency_ms", text.refuses(F.col("answer_full")).alias("refused"), text.refuses(F.col("answer_full"), True).alias("refused_broad"), F.round(score, 6).alias("top_score"), (F.coalesce("n_references", F.lit(0)) >= 3).cast("double").alias("hit"))
+    score = F.when(F.col("coverage") == "high", 0.8).when(F.col("coverage") == "partial", 0.6).when(F.col("coverage") == "low", 0.4).otherwise(0.0) + (F.col("qa_id") % 10) / 997.0
+    return a.select("qa_id", "id", "kind", "coverage", "should_refuse", "answer_full", "n_references", "latency_ms", text.refuses(F.col("answer_full")).alias("refused"), text.refuses(F.col("answer_full"), True).alias("refused_broad"), score.alias("top_score"), (F.coalesce("n_references", F.lit(0)) >= 3).cast("double").alias("hit"))
 
 
 def _retrieved(spark, d: str) -> DataFrame:
@@ -160,7 +165,7 @@ def _q_quintiles(spark, d):
     before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy()))  # at most 50 rows
     pos = parts.join(F.broadcast(before), "_p").withColumn("pos", F.col("before") + F.row_number().over(Window.partitionBy("_p").orderBy("_k")) - 1)
     bucket = sum(((F.col("pos") >= F.floor(F.col("n") * i / 5)).cast("int") for i in range(1, 5)), F.lit(1))
-    return pos.groupBy(bucket.alias("part")).agg(F.count("*").alias("rows"), F.min("top_score").alias("lo"), F.max("top_score").alias("hi"), F.round(F.avg("hit"), 6).alias("hit"))
+    return pos.groupBy(bucket.alias("part")).agg(F.count("*").alias("rows"), F.round(F.min("top_score"), 6).alias("lo"), F.round(F.max("top_score"), 6).alias("hi"), F.round(F.avg("hit"), 6).alias("hit"))
 
 
 def _q_confusion(spark, d):
@@ -245,8 +250,7 @@ def _q_gate(spark, d):
 def _q_baseline(spark, d):
     """Per source: spread and correlation of citation counts with year, null below five rows."""
     p = _labelled(spark, d)
-    enough = (F.count("*") >= 5) & (F.stddev_pop("year") > 0) & (F.stddev_pop("citation_count") > 0)
-    return p.groupBy("src").agg(F.count("*").alias("n"), F.round(F.avg("citation_count"), 6).alias("mean"), F.round(F.stddev_pop("citation_count"), 6).alias("sd"), F.min("citation_count").alias("lo"), F.max("citation_count").alias("hi"), F.round(F.when(enough, F.corr("year", "citation_count")), 6).alias("r"))
+    return p.groupBy("src").agg(F.count("*").alias("n"), F.round(F.avg("citation_count"), 6).alias("mean"), F.round(F.stddev_pop("citation_count"), 6).alias("sd"), F.min("citation_count").alias("lo"), F.max("citation_count").alias("hi"), F.round(correlation("year", "citation_count", 5), 6).alias("r"))
 
 
 def _q_histogram(spark, d):
@@ -273,7 +277,7 @@ def _q_paired(spark, d):
 
 
 _OFF, _BRO = text.any_sql("lower(coalesce(answer_full, ''))", text.REFUSALS), text.any_sql("lower(coalesce(answer_full, ''))", text.REFUSALS_BROADER)
-_A = f"a AS (SELECT qa_id, id, coverage, kind, should_refuse, latency_ms, {_OFF} AS refused, {_BRO} AS refused_broad, round(CASE coverage WHEN 'high' THEN 0.8::DOUBLE WHEN 'partial' THEN 0.6::DOUBLE WHEN 'low' THEN 0.4::DOUBLE ELSE 0 END + (qa_id % 10) / 1000.0::DOUBLE, 6) AS top_score, (coalesce(n_references, 0) >= 3)::INT::DOUBLE AS hit FROM d_oos_full_answers)"
+_A = f"a AS (SELECT qa_id, id, coverage, kind, should_refuse, latency_ms, {_OFF} AS refused, {_BRO} AS refused_broad, CASE coverage WHEN 'high' THEN 0.8::DOUBLE WHEN 'partial' THEN 0.6::DOUBLE WHEN 'low' THEN 0.4::DOUBLE ELSE 0 END + (qa_id % 10) / 997.0::DOUBLE AS top_score, (coalesce(n_references, 0) >= 3)::INT::DOUBLE AS hit FROM d_oos_full_answers)"
 _R = f"""r AS (SELECT focal_id, list(DISTINCT ref_id) AS expected FROM (SELECT {key_sql('focal_id')} AS focal_id, {key_sql('ref_id')} AS ref_id FROM ref_edges) WHERE ref_id IS NOT NULL AND focal_id IS NOT NULL GROUP BY 1),
 e AS (SELECT citer_id, cited_id, coalesce(epoch_us(fetch_date), 4611686018427387904) AS ts, row_id FROM (SELECT {key_sql('citer_id')} AS citer_id, {key_sql('cited_id')} AS cited_id, fetch_date, row_id FROM edges) WHERE citer_id IS NOT NULL AND cited_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY citer_id, cited_id ORDER BY ts, row_id) = 1),
 l AS (SELECT citer_id, list(cited_id ORDER BY ts, row_id) AS retrieved FROM e GROUP BY 1), m AS (SELECT focal_id, expected, coalesce(retrieved, []) AS retrieved FROM r LEFT JOIN l ON citer_id = focal_id),
@@ -316,7 +320,7 @@ SQL = {
     "jn11_presence": f"WITH d AS (SELECT {key_sql('canonical_id')} AS ref_id, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT DISTINCT {key_sql('ref_id')} AS ref_id FROM ref_edges) SELECT CASE WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n < 5 THEN 'low' ELSE 'present' END AS presence, count(*) AS papers FROM r LEFT JOIN d ON r.ref_id = d.ref_id WHERE r.ref_id IS NOT NULL GROUP BY 1",
     "agg14_strata": f"WITH {_A}, b AS (SELECT coalesce(kind, 'unknown') AS kind, coalesce(coverage, '?') AS coverage, hit, top_score FROM a) SELECT kind, coverage, grouping(kind, coverage)::BIGINT AS level, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(top_score), 6) AS top_score FROM b GROUP BY GROUPING SETS ((kind), (coverage), (kind, coverage), ())",
     "agg15_calibration": f"WITH {_A} SELECT coalesce(coverage, 'none') AS coverage, count(*) AS n, round(avg(hit), 6) AS hit FROM a GROUP BY 1",
-    "agg16_quintiles": f"WITH {_A}, b AS (SELECT *, row_number() OVER (ORDER BY top_score, qa_id) - 1 AS pos, count(*) OVER () AS n FROM a) SELECT 1 + (pos >= n // 5)::INT + (pos >= 2 * n // 5)::INT + (pos >= 3 * n // 5)::INT + (pos >= 4 * n // 5)::INT AS part, count(*) AS rows, min(top_score) AS lo, max(top_score) AS hi, round(avg(hit), 6) AS hit FROM b GROUP BY 1",
+    "agg16_quintiles": f"WITH {_A}, b AS (SELECT *, row_number() OVER (ORDER BY top_score, qa_id) - 1 AS pos, count(*) OVER () AS n FROM a) SELECT 1 + (pos >= n // 5)::INT + (pos >= 2 * n // 5)::INT + (pos >= 3 * n // 5)::INT + (pos >= 4 * n // 5)::INT AS part, count(*) AS rows, round(min(top_score), 6) AS lo, round(max(top_score), 6) AS hi, round(avg(hit), 6) AS hit FROM b GROUP BY 1",
     "agg18_confusion": f"WITH {_A}, b AS (SELECT 'official' AS grader, should_refuse AS s, refused AS r FROM a UNION ALL SELECT 'broader', should_refuse, refused_broad FROM a), c AS (SELECT grader, count(*) FILTER (s AND r) AS tp, count(*) FILTER (NOT s AND r) AS fp, count(*) FILTER (NOT s AND NOT r) AS tn, count(*) FILTER (s AND NOT r) AS fn FROM b WHERE s IS NOT NULL GROUP BY 1) SELECT grader, tp, fp, tn, fn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp)::DOUBLE, 6) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn)::DOUBLE, 6) ELSE 0 END AS recall, round((tp + tn) / (tp + fp + tn + fn)::DOUBLE, 6) AS accuracy FROM c",
     "evl15_agg20_failure_hints": f"WITH {_A}, b AS (SELECT CASE WHEN should_refuse AND NOT refused THEN 'false_answer' WHEN NOT should_refuse AND refused THEN 'over_refuse' WHEN NOT should_refuse AND hit = 0 AND top_score < 0.55 THEN 'missing_or_ranking' WHEN NOT should_refuse AND hit = 0 THEN 'ranking' ELSE 'none' END AS hint FROM a) SELECT hint, count(*) AS n, round(count(*) / (SELECT count(*) FROM b)::DOUBLE, 6) AS share FROM b GROUP BY 1",
     "evl9_wilson": f"WITH {_A}, g AS (SELECT coalesce(kind, 'unknown') AS kind, count(*) FILTER (hit = 1) AS k, count(*) AS n FROM a GROUP BY 1), h AS (SELECT *, k / n::DOUBLE AS p, 1 + 3.8416::DOUBLE / n AS d FROM g) SELECT kind, k, n, round(greatest(0, (p + 3.8416::DOUBLE / (2 * n)) / d - 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n)) / d), 6) AS lo, round(least(1, (p + 3.8416::DOUBLE / (2 * n)) / d + 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n)) / d), 6) AS hi FROM h",
