@@ -32,8 +32,9 @@ def split_key(df: DataFrame, key: str, scheme: str = "scheme", ident: str = "ide
 
     Scheme in lower case; an arXiv number, bare or as a URL, has scheme arxiv and no version; identifiers of schemes
     arxiv and doi are in lower case. A key with no scheme has a null scheme, one with nothing after the colon a null
-    identifier, a blank or null key both. The steps are projections of their own, so that each is computed once, and
-    only keys that may be arXiv's are matched against a pattern.
+    identifier, a blank or null key both. The steps are projections of their own and end in a generator, which later
+    filters are not pushed through, so that each step is computed once; only keys that may be arXiv's are matched
+    against a pattern.
     """
     one = df.withColumn("_s", F.btrim(F.col(key), F.lit(_BLANKS)))
     two = one.withColumn("_c", F.instr("_s", ":"))
@@ -47,8 +48,10 @@ def split_key(df: DataFrame, key: str, scheme: str = "scheme", ident: str = "ide
     is_arxiv = F.col("_arxiv") != ""
     low = F.when(is_arxiv, F.lower("_arxiv")).when(F.col("_scheme").isin("doi", "arxiv"), F.lower("_ident")).otherwise(F.col("_ident"))
     five = four.withColumns({"_ident": low, "_scheme": F.when(is_arxiv, F.lit("arxiv")).otherwise(F.col("_scheme"))})
-    out = five.withColumns({"_scheme": F.when(F.col("_scheme") != "", F.col("_scheme")), "_ident": F.when(F.col("_ident") != "", F.col("_ident"))})
-    return out.drop("_s", "_c", "_arxiv", key).withColumnsRenamed({"_scheme": scheme, "_ident": ident})
+    both = F.struct(F.when(F.col("_scheme") != "", F.col("_scheme")).alias("s"), F.when(F.col("_ident") != "", F.col("_ident")).alias("i"))
+    kept = [c for c in df.columns if c != key]
+    out = five.select(*kept, F.explode(F.array(both)).alias("_key"))  # filters on the parts stay above the generator
+    return out.select(*kept, F.col("_key.s").alias(scheme), F.col("_key.i").alias(ident))
 
 
 def key_text(scheme: Column, ident: Column) -> Column:
