@@ -40,10 +40,13 @@ def has_any(c: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (c.contains(p) for p in phrases))
 
 
+# A run of letters, digits, `_`, `.` and `-` that is ASCII once outer `.` and `-` are off, two characters at least.
+_TOKEN = r"(?<![\p{L}\p{N}_.\-])[.\-]*([a-z0-9_][a-z0-9_.\-]*[a-z0-9_])[.\-]*(?![\p{L}\p{N}_.\-])"
+
+
 def tokens(c: Column) -> Column:
     """Lower-case tokens of letters, digits, `_`, `.` and `-` longer than one character, in order, with repeats."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_.\-]+"), 0), lambda x: F.lower(F.regexp_replace(x, r"^[.\-]+|[.\-]+$", "")))
-    return F.filter(found, lambda x: x.rlike(r"^[A-Za-z0-9_.\-]{2,}$"))
+    return F.regexp_extract_all(F.lower(c), F.lit(_TOKEN), 1)
 
 
 def title_tokens(c: Column) -> Column:

@@ -222,11 +222,12 @@ DIMS = (8, 16, 32, 64)
 def _q_dims(spark, d):
     """For each dim, how well the nearest same-label neighbours are kept: queries are ids divisible by 50, against all rows."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
     parts = []
     for dim in DIMS:
-        s = F.round(vectors.dot(vectors.truncated(F.col("qe"), dim), vectors.truncated(F.col("embedding"), dim)), 9)
-        sim = e.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", "ql", "vec_id", "label", s.alias("s"))  # a stated query set
+        rows = e.select("vec_id", "label", vectors.truncated(F.col("embedding"), dim).alias("v"))
+        q = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("v").alias("qv"))
+        both = rows.join(F.broadcast(q), F.col("vec_id") != F.col("q"))  # a stated query set
+        sim = both.select("q", "ql", "vec_id", "label", F.round(vectors.dot(F.col("qv"), F.col("v")), 9).alias("s"))
         top = sim.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("rank <= 10")
         per = top.groupBy("q").agg(F.max((F.col("label") == F.col("ql")).cast("double")).alias("hit"), F.coalesce(F.max(F.when(F.col("label") == F.col("ql"), 1.0 / F.col("rank"))), F.lit(0.0)).alias("rr"))
         parts.append(per.agg(F.lit(dim).alias("dim"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("hit"), 6).alias("hit10")))
