@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import scores, vectors
 from citeweave.operators.graph import key_sql, keyed
-from citeweave.session import table
+from citeweave.session import cut, table
 
 # Fixed values.
 MAX_REFS, MIN_REFS, TOP_SHARES, TOLERANCE = 80, 3, 8, 1e-10
+DRAWS, MIN_POOL, NULLS = 30, 10, ("m", "a", "r2", "delta", "spread")
+# Parts in which a ring is numbered, and papers of a ring that are compared in one group.
+PARTS, BLOCK = 32, 32
 MODEL = "mini-embed-64"
 
 
@@ -123,30 +126,78 @@ def projections(pairs: DataFrame, min_refs: int = MIN_REFS) -> DataFrame:
     return pairs.groupBy("focal").applyInPandas(run, "focal string, role string, id string, px double, py double")
 
 
-def null_percentiles(pairs: DataFrame, years: DataFrame, draws: int = 8, seed: int = 0) -> DataFrame:
-    """(focal, n_null, pct_r2, pct_delta): share of null profiles below the observed one.
+def null_donors(papers: DataFrame, draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """(focal, level, year, r, ids, pool, n_ok, donors): `draws` papers whose references can stand in for those of each paper.
 
-    Null profiles use the references of `draws` other papers of the same year, next in a hashed ring of that year, so
-    each paper is joined to a bounded number of donors and no year is paired with itself in full.
+    papers has (focal, year, n, ids): n references with hashed ids. A donor has at least n (`level`) references that the
+    paper neither has nor is. Donors are looked for in the order of the distance in years, within a year along a ring
+    that starts behind the paper, until 2 x draws fit or all have been seen; `draws` of those are taken in hashed order.
+    Each paper stands in the rings of all levels up to its own n, so at most MAX_REFS times.
     """
-    focals = pairs.select("focal", "x").dropDuplicates(["focal"]).join(years, "focal")
-    ring = focals.withColumn("_h", F.xxhash64("focal", F.lit(seed)))
-    part = ring.withColumn("_part", F.pmod("_h", F.lit(32)))
-    w = Window.partitionBy("year", "_part").orderBy("_h", "focal")
-    ahead = part.withColumn("_next", F.array(*(F.lead("focal", i).over(w) for i in range(1, draws + 1))))
-    donors = ahead.select("focal", "x", F.explode("_next").alias("donor")).where("donor is not null")
-    y = pairs.select(F.col("focal").alias("donor"), "ref", "y")
-    own = pairs.select("focal", "ref").withColumn("_own", F.lit(True))
-    null = donors.join(y, "donor").join(own, ["focal", "ref"], "left_anti").where("ref != focal")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        p = profile(np.array(g["x"].iloc[0], float), np.stack(g["y"].to_numpy()).astype(float))
-        return pd.DataFrame({"focal": pd.Series([g["focal"].iloc[0]], dtype=object), "r2": [p["r2"]], "delta": [p["delta"]]})
-
-    drawn = null.groupBy("focal", "donor").applyInPandas(run, "focal string, r2 double, delta double")
-    seen = profiles(pairs).where("status = 'ok'").select("focal", F.col("r2").alias("_r2"), F.col("delta").alias("_d"))
-    below = lambda a, b: F.round(F.avg((F.col(a) < F.col(b)).cast("double")), 6)
-    return drawn.join(seen, "focal").groupBy("focal").agg(F.count("*").alias("n_null"), below("r2", "_r2").alias("pct_r2"), below("delta", "_d").alias("pct_delta"))
+    part = F.pmod(F.xxhash64("focal", F.lit(seed)), F.lit(PARTS))
+    r = papers.select("focal", "year", part.alias("_part"), "n", F.explode(F.sequence(F.lit(MIN_REFS), F.greatest("n", F.lit(MIN_REFS)))).alias("level")).where("level <= n")
+    before = Window.partitionBy("level", "year").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows
+    parts = r.groupBy("level", "year", "_part").agg(F.count("*").alias("_c"))
+    parts = parts.withColumn("_from", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    w = Window.partitionBy("level", "year", "_part").orderBy(F.xxhash64("focal", F.lit(seed), F.lit(1)), "focal")
+    ring = cut(r.withColumn("_rn", F.row_number().over(w)).join(parts, ["level", "year", "_part"]).select("focal", "n", "level", "year", (F.col("_from") + F.col("_rn") - 1).alias("r")))
+    c = parts.groupBy("level", "year").agg(F.sum("_c").alias("c"))
+    o = c.select("level", F.col("year").alias("_year"), F.col("c").alias("_c"))
+    near = Window.partitionBy("level", "year").orderBy(F.abs(F.col("year") - F.col("_year")), "_year").rowsBetween(Window.unboundedPreceding, -1)  # a row per year
+    own = (F.col("year") == F.col("_year")).cast("int")
+    plan = cut(c.join(o, "level").select("level", "year", "_year", "_c", own.alias("_own"), (F.col("_c") - own).alias("_take")).withColumn("_start", F.coalesce(F.sum("_take").over(near), F.lit(0))))
+    pools = c.groupBy("level").agg((F.sum("c") - 1).alias("pool"))
+    at = ring.select(F.col("focal").alias("donor"), F.col("n").alias("_n"), "level", F.col("year").alias("_year"), F.col("r").alias("_pos"))
+    ids = papers.select(F.col("focal").alias("donor"), F.col("ids").alias("_ids"))
+    todo = ring.where("level = n").select("focal", "level", "year", "r").join(papers.select("focal", "ids"), "focal").join(F.broadcast(pools), "level")  # a row per level
+    out, hi = None, 2 * draws
+    while True:
+        seen = todo.join(F.broadcast(plan.where(F.col("_start") < hi)), ["level", "year"]).where("_take > 0")  # levels x years
+        seen = seen.withColumn("_off", F.explode(F.sequence(F.lit(0).cast("long"), F.least("_take", hi - F.col("_start")) - 1)))
+        seen = seen.select("focal", "level", "ids", (F.col("_start") + F.col("_off")).alias("_seq"), "_year", F.pmod(F.col("r") + F.col("_off") + F.col("_own"), F.col("_c")).alias("_pos"))
+        seen = seen.join(at, ["level", "_year", "_pos"]).join(ids, "donor")
+        shared = F.size(F.array_intersect("_ids", F.array_append("ids", F.xxhash64("focal"))))
+        fit = seen.where(F.col("_n") - shared >= F.col("level")).groupBy("focal").agg(F.count("*").alias("n_ok"), F.array_sort(F.collect_list(F.struct("_seq", "donor"))).alias("_l"))  # up to hi a paper
+        head = F.array_sort(F.transform(F.slice("_l", 1, 2 * draws), lambda x: F.struct(F.xxhash64("focal", x["donor"], F.lit(seed)).alias("h"), x["donor"].alias("donor"))))
+        fit = fit.select("focal", "n_ok", F.transform(F.slice(head, 1, draws), lambda x: x["donor"]).alias("donors"))
+        got = cut(todo.join(fit, "focal", "left").withColumns({"n_ok": F.coalesce("n_ok", F.lit(0)), "donors": F.coalesce("donors", F.array().cast("array<string>"))}))
+        short = (F.col("n_ok") < 2 * draws) & (F.col("pool") > hi)
+        out = got.where(~short) if out is None else out.unionByName(got.where(~short))
+        todo = got.where(short).drop("n_ok", "donors")
+        if todo.isEmpty():
+            return out
+        hi *= 4
+
+
+def null_percentiles(pairs: DataFrame, years: DataFrame, draws: int = DRAWS, seed: int = 0, min_pool: int = MIN_POOL) -> DataFrame:
+    """(focal, status, n_null, pct_m, pct_a, pct_r2, pct_delta, pct_spread) of each paper in pairs: shares of null profiles below the observed one.
+
+    A null profile is that of the paper against as many references, in hashed order, of one of its null_donors. Under
+    min_pool profiles the status is `null_pool_too_small`, under MIN_REFS references `too_few`, and the shares are null.
+    Papers of a ring go to the Python workers in blocks of BLOCK with the references of the block's donors.
+    """
+    size = pairs.groupBy("focal").agg(F.count("*").alias("n"), F.collect_list(F.xxhash64("ref")).alias("ids"))  # up to MAX_REFS
+    papers = cut(size.join(years.select("focal", "year"), "focal", "left").withColumn("year", F.coalesce("year", F.lit(0))))
+    block = F.struct("level", "year", F.floor(F.col("r") / BLOCK).alias("b")).alias("block")
+    chosen = cut(null_donors(papers, draws, seed).where(F.size("donors") >= min_pool).select(block, "focal", "level", F.array_append("ids", F.xxhash64("focal")).alias("own"), "donors"))
+    x = pairs.groupBy("focal").agg(F.any_value("x").alias("x"))
+    y = pairs.select(F.col("focal").alias("donor"), "y", F.xxhash64("ref").alias("id"), F.xxhash64("focal", "ref", F.lit(seed)).alias("h"))
+    given = chosen.select(F.col("block").alias("of"), F.explode(F.array_append("donors", F.col("focal"))).alias("donor")).distinct().join(y, "donor")
+
+    def run(f: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        sets = {k: (g["id"].to_numpy(), np.stack(g["y"].to_numpy()).astype(float)) for k, g in d.sort_values(["donor", "h", "id"]).groupby("donor")}
+        rows = []
+        for focal, level, v, own, donors in zip(f["focal"], f["level"], f["x"], f["own"], f["donors"]):
+            v = np.array(v, float)
+            seen = profile(v, sets[focal][1])
+            null = [profile(v, vecs[~np.isin(ids, own)][:level]) for ids, vecs in (sets[donor] for donor in donors)]
+            rows.append((focal, len(null), *(round(sum(p[c] < seen[c] for p in null) / len(null), 6) for c in NULLS)))
+        return pd.DataFrame(rows, columns=["focal", "n_null", *(f"pct_{c}" for c in NULLS)])
+
+    left = chosen.join(x, "focal").select("block", "focal", "level", "x", "own", "donors")
+    pct = left.groupBy("block").cogroup(given.groupBy("of")).applyInPandas(run, "focal string, n_null long, " + ", ".join(f"pct_{c} double" for c in NULLS))
+    status = F.when(F.col("n") < MIN_REFS, F.lit("too_few")).when(F.col("n_null").isNull(), F.lit("null_pool_too_small")).otherwise(F.lit("ok"))
+    return papers.join(pct, "focal", "left").select("focal", status.alias("status"), F.coalesce("n_null", F.lit(0)).alias("n_null"), *(f"pct_{c}" for c in NULLS))
 
 
 def mean_vector(vecs: DataFrame, least: int = 20) -> DataFrame:
