@@ -44,14 +44,31 @@ def impact(df: DataFrame) -> DataFrame:
     return out.withColumn("overall", F.round(0.30 * F.col("impact") + 0.25 * F.col("momentum") + 0.15 * F.col("recency"), 6))
 
 
+def title_sets(papers: DataFrame) -> DataFrame:
+    """(rec_id, words): the sorted set of words of each record's title; titles without words are left out."""
+    return papers.select("rec_id", F.array_sort(text.plain_words(F.col("title"))).alias("words")).where("size(words) > 0")
+
+
+def title_members(papers: DataFrame) -> DataFrame:
+    """(rec_id, representative, n): each record with the smallest rec_id, and the number, of the records whose titles have the same words."""
+    t = title_sets(papers)
+    return t.join(t.groupBy("words").agg(F.min("rec_id").alias("representative"), F.count("*").alias("n")), "words").select("rec_id", "representative", "n")
+
+
+def title_groups(papers: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """(id, component) of each record whose title is linked to another record's, by the same words or by similar_titles; component is the smallest id of the group."""
+    linked = connected_components(similar_titles(papers, threshold).select("a", "b")).withColumnRenamed("id", "representative")
+    m = title_members(papers).join(linked, "representative", "left").where("n > 1 or component is not null")
+    return m.select(F.col("rec_id").alias("id"), F.coalesce("component", "representative").alias("component"))
+
+
 def similar_titles(papers: DataFrame, threshold: float = 0.92) -> DataFrame:
     """(a, b, overlap): pairs of distinct titles whose word overlap over the larger set reaches the threshold.
 
     Titles are compared once per set of words. Each set emits its rarest words, enough that two sets above the
     threshold must share one (prefix filter), so no pair is lost and common words join nothing.
     """
-    t = papers.select("rec_id", F.array_sort(text.plain_words(F.col("title"))).alias("words")).where("size(words) > 0")
-    sets = t.groupBy("words").agg(F.min("rec_id").alias("id"))
+    sets = title_sets(papers).groupBy("words").agg(F.min("rec_id").alias("id"))
     df = sets.select("id", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     ordered = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w")).join(df, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
@@ -99,8 +116,12 @@ def _q_similar_titles(spark, d):
 
 
 def _q_title_groups(spark, d):
-    """Groups of titles linked by near equality."""
-    return connected_components(similar_titles(table(spark, d, "papers")).select("a", "b"))
+    """Groups of records whose titles are linked by equality or near equality."""
+    return title_groups(table(spark, d, "papers"))
+
+
+def _q_title_members(spark, d):
+    return title_members(table(spark, d, "papers"))
 
 
 def _q_local_enrichment(spark, d):
@@ -123,6 +144,7 @@ QUERIES = {
     "jn6_enriched": _q_enriched,
     "jn7_key_cascade": _q_cascade,
     "jn16_similar_titles": _q_similar_titles,
+    "jn16_title_members": _q_title_members,
     "ded3_title_groups": _q_title_groups,
     "jn5_local_enrichment": _q_local_enrichment,
 }
@@ -131,5 +153,6 @@ SQL = {
     "jn6_enriched": f"WITH {_N}, c AS (SELECT {key_sql('cited_id')} AS k, count(*) AS seen FROM edges GROUP BY 1), s AS (SELECT {key_sql('canonical_id')} AS k, max(status) AS status, max(n_refs) AS n_refs FROM fetch_status GROUP BY 1) SELECT canonical_id, greatest(citation_count, seen)::BIGINT AS citations, status, n_refs FROM n LEFT JOIN c ON c.k = canonical_id LEFT JOIN s ON s.k = canonical_id",
     "jn7_key_cascade": f"WITH {_N}, k AS (SELECT arxiv_id, 'arxiv:' || arxiv_id AS key, 0 AS tier FROM fetch_status UNION ALL SELECT arxiv_id, {key_sql('canonical_id')}, 1 FROM fetch_status) SELECT arxiv_id, citation_count, year, tier::BIGINT AS tier FROM k JOIN n ON n.canonical_id = k.key QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY tier) = 1",
     "jn16_similar_titles": f"WITH s AS (SELECT w, min(rec_id) AS id FROM (SELECT rec_id, {_W} AS w FROM papers) WHERE len(w) > 0 GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w))::DOUBLE AS o FROM s a JOIN s b ON a.id < b.id AND least(len(a.w), len(b.w)) >= 0.92 * greatest(len(a.w), len(b.w)) - 1e-9) SELECT a, b, round(o, 6) AS overlap FROM p WHERE o >= 0.92 - 1e-9",
+    "jn16_title_members": f"SELECT rec_id, min(rec_id) OVER (PARTITION BY w) AS representative, count(*) OVER (PARTITION BY w) AS n FROM (SELECT rec_id, {_W} AS w FROM papers) WHERE len(w) > 0",
     "jn5_local_enrichment": f"WITH {_N}, b AS (SELECT {_DK} AS k, arg_min(title, rec_id) AS t2, max(year) AS y2 FROM papers GROUP BY 1), r AS (SELECT row_id, {key_sql('ref_id')} AS k FROM ref_edges) SELECT row_id, coalesce(n.title, t2) AS title, coalesce(n.year, y2) AS year FROM r LEFT JOIN n ON n.canonical_id = r.k LEFT JOIN b ON b.k = r.k WHERE r.k IS NOT NULL",
 }
