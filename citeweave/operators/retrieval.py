@@ -45,11 +45,16 @@ def fused(scored: DataFrame, pool: list[str], doc: str, rrf_k: int = RRF_K) -> D
     return df.withColumn("rrf", F.round(rrf, 9)).withColumn("rank", F.row_number().over(final))
 
 
-def diverse(ranked: DataFrame, pool: list[str], paper: str, section: str, cap: int = 3) -> DataFrame:
-    """The best passage of each (paper, section), at most `cap` per paper."""
+def diverse(ranked: DataFrame, pool: list[str], paper: str, section: str, cap: int = 3, lone: bool = False) -> DataFrame:
+    """The best passage of each (paper, section), at most `cap` per paper; with `lone`, pools of a single paper have no cap."""
     one = Window.partitionBy(*pool, paper, section).orderBy("rank")
     top = Window.partitionBy(*pool, paper).orderBy("rank")
-    return ranked.withColumn("_s", F.row_number().over(one)).where("_s = 1").withColumn("_p", F.row_number().over(top)).where(F.col("_p") <= cap).drop("_s", "_p")
+    kept = ranked.withColumn("_s", F.row_number().over(one)).where("_s = 1").withColumn("_p", F.row_number().over(top))
+    if not lone:
+        return kept.where(F.col("_p") <= cap).drop("_s", "_p")
+    whole = Window.partitionBy(*pool)
+    many = F.coalesce(F.min(paper).over(whole) != F.max(paper).over(whole), F.lit(False))
+    return kept.withColumn("_many", many).where(~F.col("_many") | (F.col("_p") <= cap)).drop("_s", "_p", "_many")
 
 
 def packed(ranked: DataFrame, pool: list[str], length: str, budget: int = 12_000) -> DataFrame:

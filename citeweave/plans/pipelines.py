@@ -28,9 +28,9 @@ def recommend(pools: DataFrame, as_of: int, k: int = 10, weights: dict[str, floa
 def answer_context(scored: DataFrame, pool: list[str], doc: str, paper: str, budget: int = 12_000, cap: int = 3) -> DataFrame:
     """(pool, used, coverage, refs): what an answer may be made from: passages ranked, made diverse and packed, with their references in order.
 
-    scored has (pool, doc, paper, section, length, dense, bm25, boost). Generating the answer is left to the caller.
+    The cap per paper holds in pools of more than one paper only. scored has (pool, doc, paper, section, length, dense, bm25, boost). Generating the answer is left to the caller.
     """
-    ranked = retrieval.diverse(retrieval.fused(scored, pool, doc), pool, paper, "section", cap)
+    ranked = retrieval.diverse(retrieval.fused(scored, pool, doc), pool, paper, "section", cap, lone=True)
     used = retrieval.packed(ranked, pool, "length", budget)
     first = F.min_by("dense", "rank")
     g = used.groupBy(*pool).agg(F.count("*").alias("used"), first.alias("_d"), F.array_sort(F.collect_list(F.struct("rank", F.col(doc).cast("string").alias("doc")))).alias("_l"))
