@@ -1,12 +1,13 @@
 """Best representative of each duplicate group.
 
-Records of one work are found by connected components over shared keys. Their fields are unpivoted to long rows, each
-usable value gets a vote from its record's source trust and recency, the winner of each field is chosen by max_by, and
-the winners are pivoted back to one record per work.
-
-Two ways of voting: `first` compares votes as (trust, recency) or (recency, trust) tuples, the order the field is
-declared with, so that the best single record wins; `sum` adds trust times recency decay over all records that agree
-on a normalised value.
+Records of one work are found by connected components over shared keys. Their fields are unpivoted to long rows, and
+each usable value gets a vote from its record: source trust times recency decay. Votes are summed per normalised value
+of a field, the winner of each field is chosen by max_by, and the winners are pivoted back to one record per work.
+
+Votes are cast on levels. Sums of one level are compared before those of the next, so no number of votes on lower
+levels outweighs one on a higher level: that is a trust and a decay so steep that they could not be written as numbers.
+Which level a record votes on is a rule of the field: `first` has one level for each trust rank and time, in the order
+in which the field prefers them, `sum` a single one.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 from citeweave.functions.ids import BLANK, doi_key, key_text, split_key
 from citeweave.functions.skew import lookup
 from citeweave.operators.components import connected_components
-from citeweave.session import cut, table
+from citeweave.session import table
 
 #: Snapshot of the catalog, epoch seconds (2026-07-01 UTC): later update times are impossible.
 SNAPSHOT = 1_782_864_000.0
-#: Days in which a vote of the `sum` way loses half of its weight.
+#: Days in which a vote loses half of its weight.
 HALF_LIFE_DAYS = 365.0
 TRUST_FIRST = ("doi", "source")
 
@@ -62,28 +63,49 @@ def field_votes(papers: DataFrame, trust: DataFrame, groups: DataFrame, snapshot
     return own.unpivot(["group_id", "rec_id", "rank", "seen"], ["doi", "citation_count", "source", "updated_at"], "field", "value").where("value is not null")
 
 
+def level(field, rank, seen):
+    """`first`: the level of a vote, by trust then time for doi and source, time then trust for citation_count, time for updated_at.
+
+    An unusable source and an unusable time are the lowest.
+    """
+    trust, time = F.coalesce(-rank, F.lit(-(2**31))).cast("double"), F.coalesce(seen, F.lit(-1.0))
+    trusted = field.isin(*TRUST_FIRST)
+    return F.struct(F.when(trusted, trust).otherwise(time).alias("first"), F.when(trusted, time).when(field == "updated_at", F.lit(0.0)).otherwise(trust).alias("then"))
+
+
+def flat(field, rank, seen):
+    """`sum`: every vote is on one level."""
+    return F.struct(F.lit(0.0).alias("first"), F.lit(0.0).alias("then"))
+
+
+def vote(rank, seen, snapshot: float = SNAPSHOT):
+    """1 / trust rank (0.05 for an unusable source) times a decay that halves in HALF_LIFE_DAYS (0.01 for an unusable time)."""
+    age = (F.lit(snapshot) - seen) / 86_400.0
+    return F.coalesce(F.lit(1.0) / rank, F.lit(0.05)) * F.coalesce(F.pow(F.lit(0.5), age / HALF_LIFE_DAYS), F.lit(0.01))
+
+
+#: How votes are put on levels, and whether sums decide between values whose highest levels are equal before the
+#: smallest rec_id does.
+WAYS = {"first": (level, False), "sum": (flat, True)}
+
+
 def winners(votes: DataFrame, way: str = "first", snapshot: float = SNAPSHOT) -> DataFrame:
-    """(group_id, field, value, rec_id): the winning value of each field and the record that supplies it.
+    """(group_id, field, value, rec_id, votes): the winning value of each field, the record that supplies it, its votes.
 
-    Ties go to the smallest rec_id. Aggregation is partial before the shuffle, so a work that holds a third of all
-    records is no hot task.
+    votes is the sum on the value's highest level; rec_id is, of the records that voted for the value there, the most
+    trusted, then latest, then smallest id. Aggregation is partial before each shuffle, so a work that holds a third
+    of all records is no hot task. No votes give no rows.
     """
-    trust, seen = F.coalesce(-F.col("rank"), F.lit(-(2**31))).cast("double"), F.coalesce("seen", F.lit(-1.0))
-    by_trust, by_time, id_ = F.struct(trust, seen, -F.col("rec_id")), F.struct(seen, trust, -F.col("rec_id")), -F.col("rec_id")
-    if way == "first":
-        pick = F.struct("value", "rec_id")
-        trusted = F.max_by(F.when(F.col("field").isin(*TRUST_FIRST), pick), F.when(F.col("field").isin(*TRUST_FIRST), by_trust))
-        latest = F.max_by(F.when(F.col("field") == "citation_count", pick), F.when(F.col("field") == "citation_count", by_time))
-        newest = F.max_by(F.when(F.col("field") == "updated_at", pick), F.when(F.col("field") == "updated_at", F.struct(seen, id_)))
-        best = votes.groupBy("group_id", "field").agg(F.coalesce(trusted, latest, newest).alias("w"))
-        return best.select("group_id", "field", "w.value", "w.rec_id")
-    if way != "sum":
+    if way not in WAYS:
         raise ValueError("way must be first or sum")
-    age = (F.lit(snapshot) - F.col("seen")) / 86_400.0
-    weight = F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.05)) * F.coalesce(F.pow(F.lit(0.5), age / HALF_LIFE_DAYS), F.lit(0.01))
-    summed = votes.groupBy("group_id", "field", "value").agg(F.round(F.sum(weight), 9).alias("votes"), F.max_by("rec_id", by_trust).alias("rec_id"))
-    best = summed.groupBy("group_id", "field").agg(F.max_by(F.struct("value", "rec_id"), F.struct("votes", -F.col("rec_id"))).alias("w"))
-    return best.select("group_id", "field", "w.value", "w.rec_id")
+    on, by_sum = WAYS[way]
+    rank, seen, low = F.col("rank"), F.col("seen"), -F.col("rec_id")
+    best = F.struct(F.coalesce(-rank, F.lit(-(2**31))), F.coalesce(seen, F.lit(-1.0)), low)
+    ballot = votes.select("group_id", "field", "value", "rec_id", on(F.col("field"), rank, seen).alias("level"), vote(rank, seen, snapshot).alias("vote"), best.alias("best"))
+    summed = ballot.groupBy("group_id", "field", "value", "level").agg(F.round(F.sum("vote"), 9).alias("votes"), F.max_by("rec_id", "best").alias("rec_id"))
+    order = F.struct("level", "votes", low) if by_sum else F.struct("level", low, "votes")
+    won = summed.groupBy("group_id", "field").agg(F.max_by(F.struct("value", "rec_id", "votes"), order).alias("w"))
+    return won.select("group_id", "field", "w.value", "w.rec_id", "w.votes")
 
 
 def merged(won: DataFrame) -> DataFrame:
@@ -108,7 +130,8 @@ def p3_merged(spark, sf_dir: str) -> DataFrame:
 
 
 def p3_summed_votes(spark, sf_dir: str) -> DataFrame:
-    return winners(cut(_votes(spark, sf_dir)), "sum").select("group_id", "field", "value", "rec_id")
+    """The winners where all votes are on one level: how often they differ from p3_found is in the README."""
+    return winners(_votes(spark, sf_dir), "sum").select("group_id", "field", "rec_id", F.round("votes", 6).alias("votes"))
 
 
 _BLANKS = r"'^[\s\x{00a0}\x{200b}\x{feff}]+|[\s\x{00a0}\x{200b}\x{feff}]+$'"
@@ -136,4 +159,8 @@ SQL = {
     + """, w AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY o1, o2, rec_id) = 1)
 SELECT group_id, max(value) FILTER (field = 'doi') AS doi, max(value) FILTER (field = 'citation_count')::INT AS citation_count, max(value) FILTER (field = 'source') AS source,
   max(value) FILTER (field = 'updated_at')::DOUBLE AS updated_at FROM w GROUP BY group_id""",
+    "p3_summed_votes": _SQL
+    + f""", o AS (SELECT f.*, v.rank, v.seen, coalesce(1.0::DOUBLE / v.rank, 0.05::DOUBLE) * coalesce(pow(0.5::DOUBLE, (1782864000.0::DOUBLE - v.seen) / 86400.0::DOUBLE / {HALF_LIFE_DAYS}::DOUBLE), 0.01::DOUBLE) AS vote FROM f JOIN v USING (group_id, rec_id)),
+z AS (SELECT group_id, field, value, round(sum(vote), 9) AS votes, arg_max(rec_id, (coalesce(-rank, -2147483648), coalesce(seen, -1), -rec_id)) AS rec_id FROM o GROUP BY ALL)
+SELECT group_id, field, rec_id, round(votes, 6) AS votes FROM z QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY votes DESC, rec_id) = 1""",
 }
