@@ -1,8 +1,9 @@
 """Broken prompt and response pairs.
 
 Each row is judged alone, so the work is one scan without a shuffle. A suffix automaton of the prompt's words is
-walked over the response to measure how much of it is copied; a refusal automaton (one trie over all phrases) is run
-over each sentence; a delimiter stack and sentence ends show responses that break off; stopwords vote on the language.
+walked over the response to measure how much of it is copied; refusal automata, compiled from a grammar of denials
+(see refusals), are run over each sentence; a delimiter stack and sentence ends show responses that break off;
+stopwords vote on the language.
 """
 
 from __future__ import annotations
@@ -15,29 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.llm.refusals import declines, idle
 from citeweave.session import table
 
-# Phrases, labels and stopwords.
-REFUSALS = [
-    "not covered by", "is not covered", "do not contain any", "does not contain any", "no relevant passages", "not enough information",
-    "papers do not discuss", "cannot answer", "can't answer", "cannot be answered", "can not answer", "not present in the",
-    "i don't know", "i do not know", "unable to answer", "there is no information", "insufficient context", "insufficient evidence",
-    "insufficient information", "excerpts do not", "passages do not", "not in the ingested", "i can't help", "i cannot help", "can't assist",
-    "cannot assist", "would prefer not to", "prefer not to comment", "would rather not", "must decline", "have to decline", "decline to",
-    "not in a position to", "stays silent on", "no reply can be given", "isn't possible to say", "is not possible to say", "not possible to answer",
-    "falls beyond what", "without any basis", "found nothing about", "none of the passages", "nothing retrieved relates", "not able to answer",
-    "not able to help", "i'm not able to", "i am not able to", "i'm unable to", "i am unable to", "could not find anything", "couldn't find anything",
-    "don't have enough", "do not have enough", "don't have information", "do not have information", "no information about this", "as an ai",
-    "kann ich leider nicht", "nicht beantworten", "enthalten keine angaben", "keine informationen", "keine angaben zu", "kann ich leider nichts sagen",
-    "weiß ich nicht", "nichts dazu sagen", "kann ich nicht helfen", "keine auskunft", "nicht möglich zu sagen",
-    "no puedo responder", "no contienen información", "no dispongo de", "no lo sé", "no hay información", "no puedo ayudar", "no puedo contestar", "no es posible responder",
-    "ne peux pas répondre", "ne disent rien", "ne contiennent pas", "ne contiennent aucune", "je ne sais pas", "aucune information", "ne puis répondre", "ne peux pas aider", "ne permettent pas de répondre",
-]
-FILLERS = [
-    "try rephrasing", "anything else about", "add more papers", "consult another source", "my apologies", "apologies", "i'm sorry", "i am sorry", "sorry",
-    "let me know", "please rephrase", "feel free to", "tut mir leid", "entschuldigung", "lo siento", "je suis désolé", "désolé", "unfortunately", "leider",
-    "gibt es noch etwas", "algo más", "autre chose",
-]
+# Labels and stopwords.
 LEADS = [
     "based on the retrieved excerpts", "according to the sources", "according to the excerpts", "based on the sources", "here is the answer", "in short", "in summary",
     "answer", "final answer", "response", "question", "the question is", "you asked", "your question", "references", "sources", "reference", "source",
@@ -112,7 +94,12 @@ class SuffixAutomaton:
         return out
 
 
-def copied(question: list[str], answer: list[str]) -> tuple[float, float, list[int]]:
+@lru_cache(maxsize=4096)
+def _automaton(question: tuple[str, ...]) -> SuffixAutomaton:
+    return SuffixAutomaton(list(question))
+
+
+def copied(question: tuple[str, ...], answer: list[str]) -> tuple[float, float, list[int]]:
     """(share of the answer that is copied, share of the question that is repeated, positions that are not copied).
 
     Words in a copied run of two or more count in full, single words half.
@@ -120,7 +107,7 @@ def copied(question: list[str], answer: list[str]) -> tuple[float, float, list[i
     if not question or not answer:
         return 0.0, 0.0, list(range(len(answer)))
     got = [0.0] * len(answer)
-    for i, n in enumerate(SuffixAutomaton(question).matches(answer)):
+    for i, n in enumerate(_automaton(tuple(question)).matches(answer)):
         if n == 1:
             got[i] = max(got[i], 0.5)
         elif n >= 2:
@@ -132,56 +119,37 @@ def copied(question: list[str], answer: list[str]) -> tuple[float, float, list[i
     return sum(got) / len(answer), sum(w in said for w in question) / len(question), [i for i, x in enumerate(got) if x == 0]
 
 
-@lru_cache(maxsize=1)
-def _automata():
-    import ahocorasick
-
-    made = []
-    for phrases in (REFUSALS, FILLERS):
-        a = ahocorasick.Automaton()
-        for p in phrases:
-            a.add_word(p, len(p))
-        a.make_automaton()
-        made.append(a)
-    return made
-
-
-def _hits(automaton, text: str) -> int:
-    """Letters covered by whole-word hits."""
-    covered = 0
-    for end, n in automaton.iter(text):
-        start = end - n + 1
-        if (start == 0 or not text[start - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
-            covered = max(covered, n)
-    return covered
+_STOP = {k: set(v) for k, v in STOPWORDS.items()}
+_LANGUAGES = {w: [k for k, v in _STOP.items() if w in v] for w in set().union(*_STOP.values())}
+_LEAD = re.compile(r"(?:" + "|".join(map(re.escape, sorted(LEADS, key=len, reverse=True))) + r")(?:[\s*_]*[:,.]+[\s*_]*|[\s*_]*$)", re.I)
 
 
 def _votes(words: list[str]) -> dict[str, int]:
-    return {k: sum(w in v for w in words) for k, v in _STOP.items()}
-
-
-_STOP = {k: set(v) for k, v in STOPWORDS.items()}
-_LEADS = sorted(LEADS, key=len, reverse=True)
+    votes = dict.fromkeys(_STOP, 0)
+    for w in words:
+        for k in _LANGUAGES.get(w, ()):
+            votes[k] += 1
+    return votes
 
 
 def _unlead(s: str) -> str:
     """s without a lead-in such as `In short:` at its start."""
     t = s.lstrip(" \t*_#>\"'“”«")
-    low = t.lower()
-    for lead in _LEADS:
-        if low.startswith(lead):
-            m = re.match(r"[\s*_]*[:,.]+[\s*_]*|[\s*_]*$", t[len(lead) :])
-            if m:
-                return t[len(lead) + m.end() :]
-    return t if t != s else s
+    m = _LEAD.match(t)
+    return t[m.end() :] if m else t
 
 
-def language(words: list[str], least: int = 1) -> str | None:
+def language(words, least: int = 1) -> str | None:
     """The language with most stopwords among words, if it has `least` and more than any other."""
     (first, n), (_, m) = sorted(_votes(words).items(), key=lambda x: -x[1])[:2]
     return first if n >= least and n > m else None
 
 
+@lru_cache(maxsize=4096)
+def _spoken(asked: tuple[str, ...]) -> str | None:
+    return language(asked)
+
+
 def _cut_off(text: str) -> bool:
     """Whether text ends before its last sentence or list item does."""
     t = _TAIL_CITES.sub("", text.rstrip()).rstrip()
@@ -191,8 +159,7 @@ def _cut_off(text: str) -> bool:
             stack.append(ch)
         elif ch in _PAIRS and stack and stack[-1] == _PAIRS[ch]:
             stack.pop()
-    tail = t[-200:]
-    if stack and max(tail.rfind(c) for c in set(stack)) >= 0 and not _END.search(t):
+    if stack and not _END.search(t):
         return True
     if t.count("```") % 2:
         return True
@@ -237,42 +204,40 @@ def judge(question: str | None, answer: str | None, should_refuse: bool | None)
         line = _ITEM.sub("", line)
         for s in _SPLIT.split(line):
             s = _unlead(s.strip())
-            if _WORD.search(s):
-                segments.append(s)
-    words = [w.lower() for s in segments for w in _WORD.findall(s)]
+            found = _WORD.findall(s.lower())
+            if found:
+                segments.append((s, found))
+    words = [w for _, found in segments for w in found]
     if not words or " ".join(words) in PLACEHOLDERS:
         return "empty"
 
-    asked = [w.lower() for w in _WORD.findall(question or "")]
-    share, repeated, rest = copied(asked, words)
-    runs, longest = 0, 0
-    for k, i in enumerate(rest):
-        runs = runs + 1 if k and rest[k - 1] == i - 1 else 1
-        longest = max(longest, runs)
-    says = any(words[i] in YES_NO or words[i].isdigit() for i in rest)
-    if share >= COPY_SHARE and repeated >= COPY_QUESTION and longest <= 1 and len(rest) <= max(1, 0.2 * len(words)) and not says:
-        return "copy"
-
-    refusal, filler = _automata()
+    asked = tuple(w.lower() for w in _WORD.findall(question or ""))
+    new, said = set(asked), set(words)
+    repeats = asked and sum(w in said for w in asked) / len(asked) >= COPY_QUESTION
+    if repeats and sum(w not in new for w in words) <= max(1, 0.2 * len(words)):  # else no walk could find a copy
+        share, _, rest = copied(asked, words)
+        runs, longest = 0, 0
+        for k, i in enumerate(rest):
+            runs = runs + 1 if k and rest[k - 1] == i - 1 else 1
+            longest = max(longest, runs)
+        says = any(words[i] in YES_NO or words[i].isdigit() for i in rest)
+        if share >= COPY_SHARE and longest <= 1 and len(rest) <= max(1, 0.2 * len(words)) and not says:
+            return "copy"
+
     declined, substance = False, []
-    for s in segments:
-        low = s.lower()
-        if _hits(refusal, low):
+    for s, found in segments:
+        if declines(s, found):
             declined = True
-        elif _hits(filler, low):
-            continue
-        elif asked and copied(asked, [w.lower() for w in _WORD.findall(s)])[0] >= 0.9 and repeated >= COPY_QUESTION:
-            continue
-        else:
-            substance.append(s)
-    if declined and all(re.match(r"(?i)the passages concern|die auszüge betreffen", s) for s in substance):
+        elif not repeats or copied(asked, found)[0] < 0.9:
+            substance.append((s, found))
+    if declined and all(idle(s) for s, _ in substance):
         return "refusal" if should_refuse is False else None
 
     if _cut_off(text):
         return "truncated"
 
-    mine = language(asked)
-    said = [w.lower() for s in substance for w in _WORD.findall(s)]
+    mine = _spoken(asked)
+    said = [w for _, found in substance for w in found]
     theirs = language(said, 2)
     if mine and theirs and mine != theirs:
         votes = _votes(said)
