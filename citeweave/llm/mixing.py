@@ -2,9 +2,10 @@
 
 Documents of a source lie in blocks by a hash of their id, which is a random permutation cut into disjoint blocks.
 From the blocks' token sums the driver plans, per mix, how often each source is passed over and which of its blocks
-the last pass takes; a multivariate-hypergeometric splitting tree then divides the exact counts of block draws among
-the output shards, halving the shards at each level. Documents join the plan by (source, block) and are put in random
-order within their shard. The plan is bounded by sources x blocks x repeats, whatever the number of documents.
+the last pass takes: each that still fits, and of one more block each document that still fits. A multivariate-
+hypergeometric splitting tree then divides the exact counts of block draws among the output shards, halving the shards
+at each level. Documents join the plan by (source, block) and are put in random order within their shard. The number
+of blocks follows the tokens up to MAX_BLOCKS, so the plan is bounded by sources x MAX_BLOCKS x repeats.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,10 @@ from citeweave.functions.ids import BLANK
 from citeweave.llm.tokens import VOCABULARY, token_counts
 from citeweave.session import cut, table
 
-BLOCKS = 256
+#: Tokens of a block, about, and how many blocks a source has.
+BLOCK_TOKENS, MIN_BLOCKS, MAX_BLOCKS = 4_000_000, 256, 16_384
+#: Rows of a plan that is broadcast; a larger one is joined as Spark sees fit.
+BROADCAST_ROWS = 200_000
 SEED = 7_919
 #: Tokens of an output shard, about; there are at least MIN_SHARDS and at most MAX_SHARDS.
 SHARD_TOKENS, MIN_SHARDS, MAX_SHARDS = 50_000_000, 8, 4096
@@ -67,13 +72,14 @@ def plan_mix(targets: dict[str, tuple[float, int]], blocks: dict[str, dict[int,
         passes = min(targets[s][1], int(need / n + 1e-9))
         rest, taken, part = need - passes * n, [], None
         if passes < targets[s][1]:
+            over = None
             for b in sorted(blocks[s]):
                 if blocks[s][b] <= rest + 1e-6:
                     taken.append(b)
                     rest -= blocks[s][b]
-                else:
-                    part = (b, rest) if rest >= 1 else None
-                    break
+                elif over is None or blocks[s][b] > blocks[s][over]:
+                    over = b
+            part = (over, rest) if over is not None and rest >= 1 else None
         plan[s] = (passes, taken, part)
     return total, plan
 
@@ -94,11 +100,13 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
         w, m = want.setdefault(r["mix"], {}).get(r["s"], (0.0, 2**31))
         want[r["mix"]][r["s"]] = (w + r["target_weight"], min(m, r["max_repeats"]))
     names = sorted({s for t in want.values() for s in t})
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BLOCKS)).cast("int")
     docs = sized.select("doc_id", source_key(F.col("source")).alias("source"), "tokens").where((F.col("tokens") > 0) & F.col("source").isin(names))
-    docs = cut(docs.withColumn("block", block))
+    docs = cut(docs)
+    most = docs.groupBy("source").agg(F.sum("tokens").alias("t")).agg(F.max("t")).first()[0] or 0
+    n_blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, math.ceil(most / BLOCK_TOKENS)))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n_blocks)).cast("int"))
     blocks: dict[str, dict[int, int]] = {}
-    for r in docs.groupBy("source", "block").agg(F.sum("tokens").alias("t")).collect():  # at most sources x BLOCKS
+    for r in docs.groupBy("source", "block").agg(F.sum("tokens").alias("t")).collect():  # at most sources x MAX_BLOCKS
         blocks.setdefault(r["source"], {})[r["block"]] = r["t"]
     draws, parts = [], []
     for name in sorted(want):
@@ -121,10 +129,22 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
                     (draws if limit is None else parts).append((name, s, b, c + 1, shard, limit))
                 at += quotas[shard, k]
     schema = "mix string, source string, block int, copy int, shard int, room double"
-    whole = docs.join(F.broadcast(spark.createDataFrame(draws, schema)), ["source", "block"])  # bounded by the plan
+    plan = spark.createDataFrame(pd.DataFrame(draws, columns=[x.split()[0] for x in schema.split(", ")]), schema) if draws else spark.createDataFrame([], schema)
+    whole = docs.join(F.broadcast(plan) if len(draws) <= BROADCAST_ROWS else plan, ["source", "block"])
     some = docs.join(F.broadcast(spark.createDataFrame(parts, schema)), ["source", "block"])  # one block per mix and source
-    upto = F.sum("tokens").over(Window.partitionBy("mix", "source").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    some = some.withColumn("_upto", upto).where("_upto <= room + 0.5").drop("_upto")
+
+    cols = whole.columns
+
+    def fill(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["order", "doc_id"])
+        room, fits = t["room"].iloc[0] + 0.5, []
+        for n in t["tokens"]:
+            fits.append(n <= room)
+            room -= n if fits[-1] else 0
+        return t.loc[fits, cols]
+
+    ordered = some.withColumn("order", F.xxhash64("doc_id", F.lit(seed + 1)))
+    some = ordered.groupBy("mix", "source").applyInPandas(fill, whole.schema)  # one block of a source
     taken = whole.unionByName(some)
     return taken.select("mix", "source", "doc_id", "copy", "shard", F.xxhash64("doc_id", "copy", "mix", F.lit(seed + 2)).alias("order_key"), "tokens")
 
@@ -144,14 +164,18 @@ def p7_taken(spark, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark, sf_dir: str) -> DataFrame:
-    """Per mix and source: the target share, the share reached, tokens, draws and the most times a document is taken."""
+    """Per mix and source: the share stated, the target share, the share reached, tokens, draws, the most times a document is taken.
+
+    Target shares are the stated ones among the sources that have tokens; those of the others are 0.
+    """
     got = _mixed(spark, sf_dir).groupBy("mix", "source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("draws"), F.max("copy").alias("most_times"))
     want = table(spark, sf_dir, "mix_targets").groupBy("mix", source_key(F.col("source")).alias("source")).agg(F.sum("target_weight").alias("w"))
     both = want.join(got, ["mix", "source"], "left")
     every = Window.partitionBy("mix")  # one row per target
+    both = both.withColumn("v", F.when(F.col("tokens") > 0, F.col("w")).otherwise(0.0))
     share = lambda c: F.round(F.col(c) / F.sum(c).over(every), 6)
     return both.select(
-        "mix", "source", share("w").alias("target_share"), F.coalesce(share("tokens"), F.lit(0.0)).alias("actual_share"),
+        "mix", "source", share("w").alias("stated_share"), share("v").alias("target_share"), F.coalesce(share("tokens"), F.lit(0.0)).alias("actual_share"),
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "draws", "most_times")),
     )
 

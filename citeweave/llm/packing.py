@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from citeweave.llm.tokens import VOCABULARY, token_counts
 from citeweave.session import cut, table
 
-#: Parts into which the rows of one length are split to be ranked, so that a common length is no hot task.
-RANK_PARTS = 64
+#: Rows of one length that are ranked in one task, about: a length has as many parts as its count asks for, so that a
+#: common length (most pieces of cut documents are as long as the container) is no hot task at any size.
+RANK_ROWS = 100_000
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -86,15 +87,16 @@ def pack(sized: DataFrame, containers: DataFrame) -> DataFrame:
     """
     spark = sized.sparkSession
     capacity = containers.where("container is not null and capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").alias("capacity_tokens"))
-    items = cut(pieces(sized, capacity))
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).cast("int")
-    items = items.withColumn("_part", part)
-    counts = cut(items.groupBy("container", "capacity_tokens", "len", "_part").agg(F.count("*").alias("n")))
+    items = pieces(cut(sized.select("doc_id", "tokens")), capacity)
     lengths: dict[tuple[str, int], dict[int, int]] = {}
-    for r in counts.groupBy("container", "capacity_tokens", "len").agg(F.sum("n").alias("n")).collect():
+    for r in items.groupBy("container", "capacity_tokens", "len").agg(F.count("*").alias("n")).collect():
         lengths.setdefault((r["container"], r["capacity_tokens"]), {})[r["len"]] = r["n"]
     rows = [(name, *row) for (name, cap), h in lengths.items() for row in plan_bins(h, cap)[0]]
     plan = spark.createDataFrame(rows, "container string, len int, rank0 long, items long, bin0 long, per int")
+    split = spark.createDataFrame([(name, k, math.ceil(n / RANK_ROWS)) for (name, _), h in lengths.items() for k, n in h.items()], "container string, len int, parts int")
+    items = items.join(F.broadcast(split), ["container", "len"])  # a row per length, bounded by the capacities
+    items = items.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")).cast("int"))
+    counts = items.groupBy("container", "len", "_part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("container", "len").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("container", "len", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("container", "len", "_part").orderBy("doc_id", "piece")) - 1
