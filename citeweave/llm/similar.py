@@ -1,10 +1,12 @@
 """Near-duplicate records with small edits.
 
 Similarity is the multiset Jaccard of words. Equal bags of words are one class. Classes are put into size bands, since
-sizes that differ by more than the threshold cannot be alike, and bands are cut into blocks of bounded size. Each pair
-of compatible blocks is a tile: one Spark group that compares hashed bitmaps. A bag's bitmap holds the parity of its
-elements per hashed bit, so the bits in which two bitmaps differ are at most the elements in which the bags differ,
-which bounds the overlap from above; no pair is lost. Pairs that pass are joined to the bags and intersected exactly.
+sizes that differ by more than the threshold cannot be alike, and bands are cut into blocks of bounded size, each packed
+into one row. Each pair of compatible blocks is a tile: one Spark group that compares hashed bitmaps. A bag's bitmap
+holds the parity of its elements per hashed bit, so the bits in which two bitmaps differ are at most the elements in
+which the bags differ, which bounds the overlap from above; no pair is lost. A bitmap is as long as its bag asks for;
+a longer one is folded (its halves XORed) to be compared with a shorter one. The bags themselves are made again for
+the pairs that pass, and their sorted arrays are intersected exactly.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import functions as F
 from citeweave.session import cut, table
 
 _WORD = re.compile(r"[^\W_]+")
-BITS = 256
-#: Blocks that all classes make, about, so that each is sent to as many tiles at any size; and the bounds of a block's
-#: rows. A task holds two blocks of 44-byte fingerprints, 6 MB at most.
-BLOCKS, BLOCK_MIN, BLOCK_MAX = 16, 2048, 65_536
+#: Bits of the shortest bitmap, and bits an element asks for at least; lengths are powers of two.
+BITS, PER_ELEMENT = 128, 1.2
+#: Blocks that all classes make, about, so that each is sent to as many tiles at any size; and the bounds of a block: rows
+#: and bytes. A task holds two blocks.
+BLOCKS, BLOCK_MIN, BLOCK_MAX, BLOCK_BYTES = 10, 2048, 131_072, 16_000_000
 #: Band edges grow by the fourth root of 1 / threshold.
 BANDS = 4
 #: Classes of more equal records than this are linked to their smallest record only, not to each other.
@@ -38,16 +41,30 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def bags(df: DataFrame, row_id: str, title: str, abstract: str, least: int) -> DataFrame:
-    """(rec, bag, size, elems, b0..b3) of rows with a non-empty title and at least `least` words in the abstract.
+def bits_of(size: int) -> int:
+    """The length of the bitmap of a bag of so many elements."""
+    return max(BITS, 1 << math.ceil(math.log2(max(1.0, PER_ELEMENT * size))))
 
-    elems are the sorted hashes of (word, occurrence); bag is equal for equal multisets; b0..b3 are the bitmap.
+
+def bitmap(elems: np.ndarray) -> np.ndarray:
+    """Packed parities of the elements per bit, the low bits of an element being its place."""
+    n = bits_of(len(elems))
+    parity = np.bincount((elems & (n - 1)).astype(np.int64), minlength=n).astype(np.uint8) & 1
+    return np.packbits(parity, bitorder="little").view(np.uint64)
+
+
+def bags(df: DataFrame, row_id: str, title: str, abstract: str, least: int, elements: bool = False) -> DataFrame:
+    """(rec, bag, size, bits) of rows with a non-empty title and at least `least` words in the abstract.
+
+    bag is equal for equal multisets; bits is the bitmap. With `elements`, (rec, elems) instead: the sorted hashes of
+    (word, occurrence).
     """
+    schema = "rec long, elems array<long>" if elements else "rec long, bag binary, size int, bits binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple[str, int], int] = {}
         for b in batches:
-            rec, size, bag, elems, bits = [], [], [], [], []
+            rows = []
             for r, t, a in zip(b["r"], b["t"], b["a"]):
                 if not t.strip() or len(words(a)) < least:
                     continue
@@ -61,27 +78,40 @@ def bags(df: DataFrame, row_id: str, title: str, abstract: str, least: int) -> D
                             h = known[w, i] = int.from_bytes(hashlib.blake2b(f"{w}\0{i}".encode(), digest_size=8).digest(), "little", signed=True)
                         e.append(h)
                 x = np.sort(np.array(e, dtype=np.int64))
-                parity = np.bincount((x & (BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
-                rec.append(r)
-                size.append(len(x))
-                bag.append(hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest())
-                elems.append(x)
-                bits.append(np.packbits(parity).view(np.int64))
-            m = np.array(bits, dtype=np.int64).reshape(-1, BITS // 64)
-            yield pd.DataFrame({"rec": pd.Series(rec, dtype="int64"), "bag": bag, "size": pd.Series(size, dtype="int32"), "elems": elems, **{f"b{i}": m[:, i] for i in range(BITS // 64)}})
+                rows.append((r, x) if elements else (r, hashlib.blake2b(x.tobytes(), digest_size=16).digest(), len(x), bitmap(x).tobytes()))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     cols = df.select(F.col(row_id).cast("long").alias("r"), F.col(title).alias("t"), F.col(abstract).alias("a")).dropna()
-    return cols.mapInPandas(run, "rec long, bag string, size int, elems array<long>, " + ", ".join(f"b{i} long" for i in range(BITS // 64)))
+    return cols.mapInPandas(run, schema)
+
 
+class Block:
+    """The classes of a block in the order of their sizes, with their bitmaps at every length asked for."""
 
-def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float, same: bool) -> pd.DataFrame:
+    def __init__(self, reps: bytes, sizes: bytes, bits: bytes):
+        self.rep, self.size = np.frombuffer(reps, dtype=np.int64), np.frombuffer(sizes, dtype=np.int64)
+        self.n_words = np.array([bits_of(n) // 64 for n in np.unique(self.size)])[np.unique(self.size, return_inverse=True)[1]]
+        self._bits, self._at, self._level = np.frombuffer(bits, dtype=np.uint64), np.cumsum(self.n_words) - self.n_words, {}
+
+    def folded(self, rows: slice, n_words: int) -> np.ndarray:
+        """(n_words, rows): bitmaps folded to n_words, which is at most the length of the first of rows."""
+        if n_words not in self._level:
+            first = int(np.searchsorted(self.n_words, n_words))
+            out = np.zeros((n_words, len(self.rep)), dtype=np.uint64)
+            for w in np.unique(self.n_words[first:]):
+                i, j = np.searchsorted(self.n_words, [w, w + 1])
+                x = self._bits[self._at[i] : self._at[i] + (j - i) * w].reshape(j - i, w)
+                while x.shape[1] > n_words:
+                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                out[:, i:j] = x.T
+            self._level[n_words] = out
+        return self._level[n_words][:, rows]
+
+
+def _compare(left: Block, right: Block, threshold: float, same: bool) -> pd.DataFrame:
     """(a, b) pairs of a tile whose bitmaps allow the threshold."""
     slack = (1 - threshold) / (1 + threshold)
-    left, right = left.sort_values("size"), right.sort_values("size")
-    words_ = [f"b{i}" for i in range(BITS // 64)]
-    lw, rw = (np.ascontiguousarray(x[words_].to_numpy(np.int64).view(np.uint64).T) for x in (left, right))
-    ls, rs = (x["size"].to_numpy(np.int64) for x in (left, right))
-    lr, rr = (x["rep"].to_numpy(np.int64) for x in (left, right))
+    ls, rs = left.size, right.size
     out_a, out_b = [], []
     for j in range(0, len(rs), 1024):
         s = slice(j, j + 1024)
@@ -90,75 +120,101 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float, same: bo
             t = slice(i, i + 256)
             if ls[t][0] * threshold > high + 1e-9 or ls[t][-1] < low * threshold - 1e-9 or (same and i + 256 <= j):
                 continue
-            few = np.bitwise_count(lw[0, t, None] ^ rw[0, None, s])
-            for k in range(1, BITS // 64):
-                few += np.bitwise_count(lw[k, t, None] ^ rw[k, None, s])
-            x, y = np.nonzero(few <= min(255, math.floor((ls[t][-1] + high) * slack + 1e-9)))
-            keep = few[x, y] <= (ls[t][x] + rs[s][y]) * slack + 1e-9
-            a, b = lr[t][x[keep]], rr[s][y[keep]]
+            w = int(min(left.n_words[i], right.n_words[j]))
+            lw, rw = left.folded(t, w), right.folded(s, w)
+            shape = (lw.shape[1], rw.shape[1])
+            few = np.zeros(shape, dtype=np.uint8 if w < 4 else np.uint16 if w < 1024 else np.uint32)
+            x, c = np.empty(shape, dtype=np.uint64), np.empty(shape, dtype=np.uint8)
+            for k in range(w):
+                few += np.bitwise_count(np.bitwise_xor(lw[k, :, None], rw[k, None, :], out=x), out=c)
+            bar = min(int(np.iinfo(few.dtype).max), math.floor((int(ls[t][-1]) + int(high)) * slack + 1e-9))
+            hit = few <= bar
+            if not hit.any():
+                continue
+            p, q = np.nonzero(hit)
+            keep = few[p, q] <= (ls[t][p] + rs[s][q]) * slack + 1e-9
             if same:  # both sides are in one order: each pair once
-                once = i + x[keep] > j + y[keep]
-                a, b = a[once], b[once]
-            out_a.append(a)
-            out_b.append(b)
+                keep &= i + p > j + q
+            out_a.append(left.rep[t][p[keep]])
+            out_b.append(right.rep[s][q[keep]])
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of classes (rep, size, b0..b3) whose bitmaps allow the threshold.
+    """(a, b), a < b: pairs of classes (rep, size, bits) whose bitmaps allow the threshold.
 
-    Only the number of classes per size band reaches the driver.
+    Only the number of classes per size band reaches the driver. A class is in one block, a block in the tiles of all
+    blocks that its sizes can match.
     """
     ratio = math.log(1 / threshold) / BANDS
     banded = classes.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(ratio) + F.lit(1e-9)).cast("int"))
     n = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
+    if not n:
+        return banded.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     first, last, at = {}, {}, 0
-    block = min(BLOCK_MAX, max(BLOCK_MIN, math.ceil(sum(n.values()) / BLOCKS)))
+    even = min(BLOCK_MAX, max(BLOCK_MIN, math.ceil(sum(n.values()) / BLOCKS)))
     for band in sorted(n):
-        first[band], at = at, at + math.ceil(n[band] / block)
+        each = 16 + bits_of(math.ceil(math.exp((band + 1) * ratio))) // 8
+        first[band], at = at, at + math.ceil(n[band] / max(1, min(even, BLOCK_BYTES // each)))
         last[band] = at - 1
-    if not n:
-        return banded.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     reach = {k: (min(first[j] for j in n if abs(j - k) <= BANDS + 1), max(last[j] for j in n if abs(j - k) <= BANDS + 1)) for k in n}
     rule = F.create_map(*(x for k in n for x in (F.lit(k), F.struct(F.lit(first[k]).alias("first"), F.lit(last[k] - first[k] + 1).alias("blocks"), F.lit(reach[k][0]).alias("lo"), F.lit(reach[k][1]).alias("hi")))))
     placed = banded.withColumn("p", rule[F.col("band")])
-    placed = placed.withColumn("g", (F.col("p.first") + F.pmod(F.xxhash64("rep"), F.col("p.blocks"))).cast("int"))
-    placed = placed.withColumn("o", F.explode(F.sequence("p.lo", "p.hi")))
-    bits = [f"b{i}" for i in range(BITS // 64)]
-    tiles = placed.select(F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "rep", "size", *bits)
+    placed = placed.select((F.col("p.first") + F.pmod(F.xxhash64("rep"), F.col("p.blocks"))).cast("int").alias("g"), F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"), "rep", "size", "bits")
 
-    def run(key, tile: pd.DataFrame) -> pd.DataFrame:
+    def packed(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("size")
+        blobs = [t["rep"].to_numpy(np.int64).tobytes(), t["size"].to_numpy(np.int64).tobytes(), b"".join(t["bits"])]
+        return pd.DataFrame([[*t[["g", "lo", "hi"]].iloc[0], *blobs]], columns=["g", "lo", "hi", "reps", "sizes", "bits"])
+
+    def run(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
+        side = {g: Block(*blobs) for g, *blobs in zip(tile["g"], tile["reps"], tile["sizes"], tile["bits"])}
         i, j = key
-        left, right = tile[tile["g"] == i], tile[tile["g"] == j]
-        if not len(left) or not len(right):
+        if i not in side or j not in side:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        return _compare(left, right, threshold, i == j)
+        return _compare(side[i], side[j], threshold, i == j)
 
+    blocks = placed.groupBy("g").applyInPandas(packed, "g int, lo int, hi int, reps binary, sizes binary, bits binary")
+    tiles = blocks.withColumn("o", F.explode(F.sequence("lo", "hi"))).select(F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "reps", "sizes", "bits")
     tiles_n = sum(hi - lo + 1 for k in n for lo, hi in [reach[k]] for _ in range(last[k] - first[k] + 1)) // 2 + 1
     spread = tiles.repartition(max(1, min(20_000, tiles_n)), "i", "j")
     return spread.groupBy("i", "j").applyInPandas(run, "a long, b long")
 
 
+def exact(found: DataFrame, elems: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, overlap, total) of the pairs (a, b) whose bags, by merging their sorted arrays, are alike enough."""
+    side = lambda x: elems.select(F.col("rec").alias(x), F.col("elems").alias(f"e{x}"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            total = b["ea"].map(len) + b["eb"].map(len)
+            overlap = []
+            for x, y in zip(b["ea"], b["eb"]):
+                z = np.sort(np.concatenate([x, y]), kind="stable")  # merges two sorted runs
+                overlap.append(int((z[1:] == z[:-1]).sum()))
+            out = pd.DataFrame({"a": b["a"], "b": b["b"], "overlap": pd.Series(overlap, index=b.index, dtype="int64"), "total": total.astype("int64")})
+            yield out[out["overlap"] / (out["total"] - out["overlap"]) >= threshold]
+
+    return found.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long, overlap long, total long")
+
+
 def similar_classes(df: DataFrame, row_id: str, title: str, abstract: str, threshold: float = 0.7, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (a, b, overlap, total) of class representatives alike enough, members (rec, rep, n).
 
     A class is all rows with an equal bag of words, its representative the smallest id; n is its number of rows.
     Rows with a null or blank title, a null abstract or fewer than `least` words in it belong to no class. Every pair
-    of different bags with similarity of at least `threshold` is in pairs. Texts are read whole.
+    of different bags with similarity of at least `threshold` is in pairs. Texts are read whole; ids are unique.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     made = cut(bags(df, row_id, title, abstract, least))
-    bits = [f"b{i}" for i in range(BITS // 64)]
-    classes = made.groupBy("bag").agg(F.min("rec").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("elems").alias("elems"), *(F.first(b).alias(b) for b in bits))
-    classes = cut(classes)
+    classes = cut(made.groupBy("bag").agg(F.min("rec").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bits").alias("bits")))
     members = made.select("rec", "bag").join(classes.select("bag", "rep", "n"), "bag").select("rec", "rep", "n")
-    found = candidates(classes.select("rep", "size", *bits), threshold)
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("elems").alias(f"e{x}"))
-    both = found.join(side("a"), "a").join(side("b"), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("ea", "eb")).alias("overlap"), (F.size("ea") + F.size("eb")).alias("total"))
-    return both.where(F.col("overlap") / (F.col("total") - F.col("overlap")) >= F.lit(threshold)), members
+    found = cut(candidates(classes.select("rep", "size", "bits"), threshold))
+    needed = found.select(F.explode(F.array("a", "b")).alias(row_id)).distinct()
+    again = bags(df.withColumn(row_id, F.col(row_id).cast("long")).join(needed, row_id, "left_semi"), row_id, title, abstract, least, elements=True)
+    return exact(found, again.groupBy("rec").agg(F.first("elems").alias("elems")), threshold), members
 
 
 def similar_pairs(df: DataFrame, row_id: str, title: str, abstract: str, threshold: float = 0.7, least: int = 30, expand: int = EXPAND) -> DataFrame:
