@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from citeweave.session import cut, table
 
 _WORD = re.compile(r"[^\W_]+")
-#: Bits of the shortest bitmap, and bits an element asks for at least; lengths are powers of two.
-BITS, PER_ELEMENT = 128, 1.2
+#: Bits of the shortest bitmap, and bits an element asks for at least, in a first look and in all; lengths are powers of two.
+BITS, FIRST_LOOK, PER_ELEMENT = 128, 1.0, 2.0
 #: Blocks that all classes make, about, so that each is sent to as many tiles at any size; and the bounds of a block: rows
 #: and bytes. A task holds two blocks.
 BLOCKS, BLOCK_MIN, BLOCK_MAX, BLOCK_BYTES = 10, 2048, 131_072, 16_000_000
+#: Rows and columns of a tile that are compared at once.
+ROWS, COLUMNS = 64, 1024
 #: Band edges grow by the fourth root of 1 / threshold.
 BANDS = 4
 #: Classes of more equal records than this are linked to their smallest record only, not to each other.
@@ -41,9 +43,9 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def bits_of(size: int) -> int:
+def bits_of(size: int, per: float = PER_ELEMENT) -> int:
     """The length of the bitmap of a bag of so many elements."""
-    return max(BITS, 1 << math.ceil(math.log2(max(1.0, PER_ELEMENT * size))))
+    return max(BITS, 1 << math.ceil(math.log2(max(1.0, per * size))))
 
 
 def bitmap(elems: np.ndarray) -> np.ndarray:
@@ -62,22 +64,26 @@ def bags(df: DataFrame, row_id: str, title: str, abstract: str, least: int, elem
     schema = "rec long, elems array<long>" if elements else "rec long, bag binary, size int, bits binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[str, int], int] = {}
+        known: dict[str, list[int]] = {}
         for b in batches:
             rows = []
             for r, t, a in zip(b["r"], b["t"], b["a"]):
-                if not t.strip() or len(words(a)) < least:
+                said = words(a)
+                if not t.strip() or len(said) < least:
                     continue
                 e = []
-                for w, n in Counter(words(f"{t} {a}")).items():
-                    for i in range(n):
-                        h = known.get((w, i))
-                        if h is None:
-                            if len(known) > 500_000:
-                                known.clear()
-                            h = known[w, i] = int.from_bytes(hashlib.blake2b(f"{w}\0{i}".encode(), digest_size=8).digest(), "little", signed=True)
-                        e.append(h)
-                x = np.sort(np.array(e, dtype=np.int64))
+                for w, n in Counter(words(t) + said).items():
+                    got = known.get(w, ())
+                    if len(got) < n:
+                        if len(known) > 500_000:
+                            known.clear()
+                        got = known[w] = [int.from_bytes(hashlib.blake2b(f"{w}\0{i}".encode(), digest_size=8).digest(), "little", signed=True) for i in range(n)]
+                    if n == 1:
+                        e.append(got[0])
+                    else:
+                        e += got[:n]
+                x = np.array(e, dtype=np.int64)
+                x.sort()
                 rows.append((r, x) if elements else (r, hashlib.blake2b(x.tobytes(), digest_size=16).digest(), len(x), bitmap(x).tobytes()))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
@@ -113,26 +119,29 @@ def _compare(left: Block, right: Block, threshold: float, same: bool) -> pd.Data
     slack = (1 - threshold) / (1 + threshold)
     ls, rs = left.size, right.size
     out_a, out_b = [], []
-    for j in range(0, len(rs), 1024):
-        s = slice(j, j + 1024)
+    # Buffers that stay in a core's cache; sums of many words need more than a byte.
+    xor, ones, sums = np.empty((ROWS, COLUMNS), np.uint64), np.empty((ROWS, COLUMNS), np.uint8), (np.empty((ROWS, COLUMNS), np.uint8), np.empty((ROWS, COLUMNS), np.uint32))
+    for j in range(0, len(rs), COLUMNS):
+        s = slice(j, j + COLUMNS)
         low, high = rs[s][0], rs[s][-1]
-        for i in range(0, len(ls), 256):
-            t = slice(i, i + 256)
-            if ls[t][0] * threshold > high + 1e-9 or ls[t][-1] < low * threshold - 1e-9 or (same and i + 256 <= j):
+        for i in range(0, len(ls), ROWS):
+            t = slice(i, i + ROWS)
+            if ls[t][0] * threshold > high + 1e-9 or ls[t][-1] < low * threshold - 1e-9 or (same and i + ROWS <= j):
                 continue
-            w = int(min(left.n_words[i], right.n_words[j]))
+            most = int(min(left.n_words[i], right.n_words[j]))
+            w = min(most, bits_of(int(max(ls[t][-1], high)), FIRST_LOOK) // 64)
             lw, rw = left.folded(t, w), right.folded(s, w)
-            shape = (lw.shape[1], rw.shape[1])
-            few = np.zeros(shape, dtype=np.uint8 if w < 4 else np.uint16 if w < 1024 else np.uint32)
-            x, c = np.empty(shape, dtype=np.uint64), np.empty(shape, dtype=np.uint8)
+            n, m = lw.shape[1], rw.shape[1]
+            few, x, c = sums[w >= 4][:n, :m], xor[:n, :m], ones[:n, :m]
+            few[...] = 0
             for k in range(w):
                 few += np.bitwise_count(np.bitwise_xor(lw[k, :, None], rw[k, None, :], out=x), out=c)
-            bar = min(int(np.iinfo(few.dtype).max), math.floor((int(ls[t][-1]) + int(high)) * slack + 1e-9))
-            hit = few <= bar
+            hit = few <= math.floor(min((int(ls[t][-1]) + int(high)) * slack + 1e-9, 64 * w, 255 if w < 4 else 64 * w))
             if not hit.any():
                 continue
             p, q = np.nonzero(hit)
-            keep = few[p, q] <= (ls[t][p] + rs[s][q]) * slack + 1e-9
+            differ = few[p, q].astype(np.int64) if w == most else np.bitwise_count(left.folded(t, most)[:, p] ^ right.folded(s, most)[:, q]).sum(0, dtype=np.int64)
+            keep = differ <= (ls[t][p] + rs[s][q]) * slack + 1e-9
             if same:  # both sides are in one order: each pair once
                 keep &= i + p > j + q
             out_a.append(left.rep[t][p[keep]])
