@@ -1,11 +1,11 @@
 """Most similar vectors for every vector.
 
-Vectors are placed in cells around centroids fitted on a bounded sample; every vector is indexed and every vector is
-a query: first in its nearest cells, then, with the k-th similarity found there as a floor, in more of them. In a tile
-(a block of one cell's vectors and a block of its queries) vectors are one-bit codes of a random rotation: the inner
-product is estimated from packed bits and a correction scalar per vector, with an error bound; only vectors whose
-bound reaches the floor, or the query's k-th lower bound, are compared exactly. A query whose neighbours are no closer
-than chance would give gets the same scan against the blocks of all vectors.
+Vectors are placed in regions around centroids fitted on a bounded sample; every vector is indexed and every vector is
+a query. A region is cut into tiles of bounded size. In a tile, vectors are one-bit codes of a random rotation: the
+inner product is estimated from packed bits and a correction scalar per vector, with an error bound; only vectors
+whose bound reaches the query's k-th similarity so far are compared exactly. Each query is answered in its own tile
+first, where its vector lies anyway; the k-th similarity found there decides which other regions can hold a nearer
+vector, and the query is sent to their tiles only.
 """
 
 from __future__ import annotations
@@ -15,38 +15,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.session import cut, table
 
-#: Vectors of a model that centroids are fitted on, at most.
-SAMPLE = 20_000
-#: Vectors of a cell on average, and the most cells of a model.
-PER_CELL, CELLS = 400, 4096
-#: Cells in which each query looks, and how many of them without a floor.
-PROBES, FIRST = 16, 2
-#: Standard deviations of chance in the rule that leaves out cells too far off to hold a vector above the floor.
-CELL_EPSILON = 2.5
-#: Rows of a block; a task holds one block of vectors and one of queries.
-BLOCK = 8192
+#: Bytes of the sample of a model that centroids are fitted on, at most, and vectors of it per region.
+SAMPLE_BYTES, PER_CENTROID = 64_000_000, 32
+#: Vectors of a region on average, if the sample allows so many regions.
+PER_REGION = 2048
+#: Regions in which a query looks at most, and those of a query whose k-th similarity is no better than chance.
+PROBES, LOOSE_PROBES = 16, 32
+#: Standard deviations of chance in the rule that leaves out regions too far off to hold a vector above the floor.
+REGION_EPSILON = 3.0
+#: Vectors of a tile, about, and queries of one task: with more, the tile is repeated.
+BLOCK, QUERIES_AT_ONCE = 4096, 16_384
+#: Keys of repeated papers that are broadcast; with more, all vectors are grouped by key.
+REPEATED_ROWS = 500_000
 #: Standard deviations of the estimate's error that the bounds allow.
 EPSILON = 3.0
 QUERY_BITS = 4
 SEED = 20_240
 
 
+def _usable(df: DataFrame) -> DataFrame:
+    """(model, id, dim, vec, order) of the usable rows; the last of a paper has the largest order."""
+    fit = (F.size("vector") == F.col("dim")) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    ok = df.where(F.col("canonical_id").isNotNull() & F.col("model").isNotNull() & F.coalesce(fit, F.lit(False)))
+    order = F.struct(F.coalesce(F.unix_micros("embedded_at"), F.lit(-(2**62))), -F.col("vec_id"))
+    return ok.select("model", F.col("canonical_id").alias("id"), "dim", F.col("vector").alias("vec"), order.alias("order"))
+
+
 def usable_vectors(df: DataFrame) -> DataFrame:
     """(model, id, dim, vec): the usable vectors, of each canonical_id and model the one embedded last.
 
     Unusable are null vectors, those of a length other than dim, with a null or non-finite component, all zero, or
-    without canonical_id or model. Ties go to the smallest vec_id; a null embedded_at is the oldest.
+    without canonical_id or model. Ties go to the smallest vec_id; a null embedded_at is the oldest. Only the vectors of
+    papers that have several are shuffled, as long as the keys of those are few enough to be broadcast.
     """
-    fit = (F.size("vector") == F.col("dim")) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    ok = df.where(F.col("canonical_id").isNotNull() & F.col("model").isNotNull() & F.coalesce(fit, F.lit(False)))
-    order = F.struct(F.coalesce(F.unix_micros("embedded_at"), F.lit(-(2**62))), -F.col("vec_id"))
-    best = ok.groupBy("model", F.col("canonical_id").alias("id")).agg(F.max_by(F.struct("dim", "vector"), order).alias("v"))
-    return best.select("model", "id", F.col("v.dim").alias("dim"), F.col("v.vector").alias("vec"))
+    ok, key = _usable(df), ["model", "id"]
+    last = lambda x: x.groupBy(*key).agg(F.max_by(F.struct("dim", "vec"), "order").alias("v")).select(*key, "v.dim", "v.vec")
+    several = cut(ok.groupBy(*key).count().where("count > 1").select(*key))
+    if several.count() > REPEATED_ROWS:
+        return last(ok)
+    several = F.broadcast(several)
+    return ok.join(several, key, "left_anti").select(*key, "dim", "vec").unionByName(last(ok.join(several, key, "left_semi")))
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -158,119 +171,120 @@ def nearest_in_tile(data: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
     return pd.DataFrame({"q": np.concatenate(out_q), "n": np.concatenate(out_n), "cos": np.concatenate(out_c)})
 
 
-def _scan(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(model, q, n, cos) of tiles: data and queries have (model, tile, part_d, part_q, id, vec), queries a floor too."""
-    tiles = data.withColumns({"is_q": F.lit(False), "floor": F.lit(0.0)}).unionByName(queries.withColumn("is_q", F.lit(True)))
+class Regions:
+    """Centroids of a space (vectors of one model and dim) and the number of tiles of each region."""
 
-    def run(key, t: pd.DataFrame) -> pd.DataFrame:
-        d, q = t[~t["is_q"]], t[t["is_q"]]
-        if not len(d) or not len(q):
-            return pd.DataFrame({"model": pd.Series(dtype=object), "q": pd.Series(dtype=object), "n": pd.Series(dtype=object), "cos": pd.Series(dtype="float64")})
-        out = nearest_in_tile(d, q, k)
-        out.insert(0, "model", key[0])
-        return out
+    def __init__(self, number: int, sample: np.ndarray, n: int):
+        self.number, self.n, self.dim = number, n, sample.shape[1]
+        self.centroids = fit_centroids(sample, max(1, min(round(n / PER_REGION), len(sample) // PER_CENTROID))).astype(np.float32)
+        near = np.concatenate([(sample[i : i + 2048] @ self.centroids.T).argmax(1) for i in range(0, len(sample), 2048)])
+        share = np.bincount(near, minlength=len(self.centroids)) / len(sample)
+        self.tiles = np.maximum(1, np.ceil(share * n / BLOCK)).astype(np.int64)
+        self.first = np.cumsum(self.tiles) - self.tiles
 
-    return tiles.groupBy("model", "tile", "part_d", "part_q").applyInPandas(run, "model string, q string, n string, cos double")
+    def tile(self, region: np.ndarray, ids: pd.Series) -> np.ndarray:
+        part = pd.util.hash_array(ids.to_numpy(dtype=object)).astype(np.uint64) % self.tiles[region].astype(np.uint64)
+        return (self.number << 40) + self.first[region] + part.astype(np.int64)
 
+    def to_ask(self, x: np.ndarray, own: int, floor: np.ndarray, probes: int, loose: int, epsilon: float) -> list[list[int]]:
+        """Of each query the tiles, other than its own, that may hold a vector as near as its floor.
 
-def _parts(counts: dict, key) -> F.Column:
-    """The number of blocks of each key, as a column; counts has one entry per cell, at most CELLS per model."""
-    flat = [x for k, n in counts.items() for x in (F.lit(k), F.lit(max(1, math.ceil(n / BLOCK))))]
-    return F.coalesce(F.create_map(*flat)[key], F.lit(1)) if flat else F.lit(1)
+        A vector above the floor lies in a region other than the query's nearest only if the part of it that is
+        orthogonal to the query, a direction as good as random, makes up for what that region's centroid is further
+        off: regions beyond epsilon standard deviations of that are left out. A query whose floor is no better than
+        chance has no such limit and looks in the nearest `loose` regions.
+        """
+        near = x.astype(np.float32) @ self.centroids.T
+        order = np.argsort(-near, axis=1)[:, : max(probes, loose)]
+        near = np.take_along_axis(near, order, 1)
+        chance = min(0.999, math.sqrt(2 * math.log(max(2, self.n)) / self.dim))
+        f = np.clip(floor, 1e-6, 1.0)
+        reach = np.sqrt(np.maximum(0, 1 - f * f)) / f * math.sqrt(2) * epsilon / math.sqrt(self.dim)
+        free = floor <= chance
+        rank = np.arange(order.shape[1])[None, :]
+        ask = np.where(free[:, None], rank < loose, (rank < probes) & (near[:, :1] - near <= reach[:, None]))
+        out = []
+        for regions, chosen in zip(order, ask):
+            out.append([t for r in regions[chosen] for t in range((self.number << 40) + int(self.first[r]), (self.number << 40) + int(self.first[r] + self.tiles[r])) if t != own])
+        return out
 
 
-def _top(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("model", "q").orderBy(F.desc("cos"), "n")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _lists(found: pd.DataFrame, ids: np.ndarray) -> tuple[list, list]:
+    """The neighbours and cosines of each of ids, as lists."""
+    n, c = found.groupby("q", sort=False)["n"].agg(list), found.groupby("q", sort=False)["cos"].agg(list)
+    return [n.get(i, []) for i in ids], [c.get(i, []) for i in ids]
 
 
-def nearest(df: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, probes: int = PROBES, loose: int = LOOSE_PROBES, epsilon: float = REGION_EPSILON) -> DataFrame:
     """(model, q, n, cos, rank): the k most similar papers of each paper of df (see usable_vectors).
 
     cos is rounded to 9 decimals; ties go to the smaller id; a paper alone in its model has no rows; an empty table
     gives none. Every vector is indexed and every vector is a query; a neighbour can be missed if it lies in none of
-    the query's cells (measured recall is in the README).
+    the regions the query looks in (measured recall is in the README). With probes, loose and epsilon as large as can
+    be every tile is asked: then only the error bounds of the codes can lose a neighbour.
     """
     spark = df.sparkSession
-    v = cut(usable_vectors(df))
-    sizes = v.groupBy("model", "dim").count().collect()  # one row per model
+    ok = _usable(df)
+    sizes = sorted(tuple(r) for r in ok.groupBy("model", "dim").count().collect())  # one row per model
     if not sizes:
         return spark.createDataFrame([], "model string, q string, n string, cos double, rank int")
-    # of several dims of a model the commonest is indexed with its own centroids as well as the others: (model, dim) is the space
-    v = v.withColumn("space", F.concat_ws("\x1f", "model", F.col("dim").cast("string")))
-    plan, settle = {}, {}
-    for r in sizes:
-        name, n, dim = f"{r['model']}\x1f{r['dim']}", r["count"], r["dim"]
-        cells = min(CELLS, max(1, round(n / PER_CELL)))
-        settle[name] = min(0.999, math.sqrt(2 * math.log(max(2, n)) / dim))
-        if cells > 1:
-            some = v.where((F.col("model") == r["model"]) & (F.col("dim") == dim)).orderBy(F.xxhash64("id", F.lit(SEED)), "id").select("vec").limit(min(SAMPLE, 64 * cells)).toPandas()
-            plan[name] = fit_centroids(unit(_stack(some["vec"])), cells)
-    shared = spark.sparkContext.broadcast(plan)
+    spaces, numbers = [], {}
+    for number, (model, dim, n) in enumerate(sizes):
+        most = min(SAMPLE_BYTES // (4 * dim), PER_CENTROID * max(1, round(n / PER_REGION)) * 2)
+        some = ok.where((F.col("model") == model) & (F.col("dim") == dim)).orderBy(F.xxhash64("id", F.lit(SEED)), "id").select("vec").limit(most).toPandas()
+        spaces.append(Regions(number, unit(_stack(some["vec"])), n))
+        numbers[model, dim] = number
+    shared = spark.sparkContext.broadcast(spaces)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cents = shared.value
         for b in batches:
-            b["cells"], b["near"] = [[0]] * len(b), [[1.0]] * len(b)
-            for space, rows in b.groupby("space").groups.items():
-                c = cents.get(space)
-                if c is not None:
-                    near = unit(_stack(b.loc[rows, "vec"])) @ c.T
-                    m = min(probes, len(c))
-                    top = np.argpartition(-near, m - 1, axis=1)[:, :m]
-                    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1), 1)
-                    b.loc[rows, "cells"] = pd.Series(list(top.astype(np.int32)), index=rows)
-                    b.loc[rows, "near"] = pd.Series(list(np.take_along_axis(near, top, 1).astype(np.float32)), index=rows)
-            yield b[["model", "space", "id", "vec", "cells", "near"]]
-
-    placed = cut(v.select("model", "space", "id", "vec").mapInPandas(place, "model string, space string, id string, vec array<float>, cells array<int>, near array<float>"))
-    tile = lambda c: F.concat_ws("\x1f", "space", c.cast("string"))
-    own = placed.withColumn("tile", tile(F.col("cells")[0])).drop("cells", "near")
-    counts = lambda x: {r["tile"]: r["count"] for r in x.groupBy("tile").count().where(F.col("count") > BLOCK).collect()}
-
-    def blocks(data: DataFrame, queries: DataFrame, nd: dict, nq: dict) -> DataFrame:
-        pd_, pq = _parts(nd, F.col("tile")), _parts(nq, F.col("tile"))
-        h = F.xxhash64("id", F.lit(3))
-        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        cols = ["model", "tile", "part_d", "part_q", "id", "vec"]
-        d = data.withColumn("part_d", F.pmod(h, pd_).cast("int")).withColumn("part_q", every(pq)).select(*cols)
-        q = queries.withColumn("part_q", F.pmod(h, pq).cast("int")).withColumn("part_d", every(pd_)).select(*cols, "floor")
-        return _scan(d, q, k)
-
-    def asked(some: DataFrame, first: int, n: int) -> DataFrame:
-        """Queries in their cells from the first-th on.
-
-        A vector above the floor lies in a cell other than the query's nearest only if the part of it that is
-        orthogonal to the query, a direction as good as random, makes up for what that cell's centroid is further
-        off: cells beyond CELL_EPSILON standard deviations of that are left out.
-        """
-        each = some.withColumn("c", F.explode(F.slice(F.arrays_zip("cells", "near"), first, n)))
-        f = F.col("floor")
-        slope = F.sqrt(1 - f * f) / f
-        far = (f > limit[F.col("space")]) & (F.col("near")[0] - F.col("c.near") > slope * math.sqrt(2) * CELL_EPSILON / F.sqrt(F.size("vec").cast("double")))
-        return each.where(~F.coalesce(far, F.lit(False))).withColumn("tile", tile(F.col("c.cells"))).drop("cells", "near", "c")
-
-    def with_floor(some: DataFrame, found: DataFrame) -> DataFrame:
-        kth = found.groupBy("model", F.col("q").alias("id")).agg(F.when(F.count("*") >= k, F.min("cos")).alias("floor"))
-        return some.join(kth, ["model", "id"], "left").withColumn("floor", F.coalesce("floor", F.lit(-9.0)))
-
-    limit = F.create_map(*(x for s, t in settle.items() for x in (F.lit(s), F.lit(t))))
-    nd = counts(own)
-    near = asked(placed.withColumn("floor", F.lit(-9.0)), 1, FIRST)
-    found = cut(_top(blocks(own, near, nd, counts(near)), k))
-    if probes > FIRST and plan:
-        more = asked(with_floor(placed.where(F.size("cells") > FIRST), found), FIRST + 1, probes - FIRST)
-        also = blocks(own, more, nd, counts(more))
-        found = cut(_top(found.select("model", "q", "n", "cos").unionByName(also), k))
-    loose = with_floor(placed.where(F.size("cells") >= probes), found).where(F.col("floor") < limit[F.col("space")])
-    loose = cut(loose.withColumn("tile", F.col("space")).drop("cells", "near"))
-    left = {r["tile"]: r["count"] for r in loose.groupBy("tile").count().collect()}
-    if not left:
-        return found
-    total = {f"{r['model']}\x1f{r['dim']}": r["count"] for r in sizes}
-    whole = placed.withColumn("tile", F.col("space")).drop("cells", "near").where(F.col("space").isin(list(left)))
-    again = blocks(whole, loose, total, left)
-    return _top(found.select("model", "q", "n", "cos").unionByName(again).distinct(), k)
+            b["tile"] = np.int64(0)
+            for (model, dim), rows in b.groupby(["model", "dim"]).groups.items():
+                r = shared.value[numbers[model, dim]]
+                near = unit(_stack(b.loc[rows, "vec"])).astype(np.float32) @ r.centroids.T
+                b.loc[rows, "tile"] = r.tile(near.argmax(1), b.loc[rows, "id"])
+            yield b[["tile", "id", "vec"]]
+
+    def answer(t: pd.DataFrame) -> pd.DataFrame:
+        """A tile asked by its own vectors: what they find, and which tiles they have to ask next."""
+        own = int(t["tile"].iloc[0])
+        found = nearest_in_tile(t, t.assign(floor=-9.0), k)
+        t["ids"], t["cos"] = _lists(found, t["id"].to_numpy())
+        floor = np.array([c[k - 1] if len(c) >= k else -9.0 for c in t["cos"]])
+        t["more"] = shared.value[own >> 40].to_ask(unit(_stack(t["vec"])), own, floor, probes, loose, epsilon)
+        return t[["tile", "id", "vec", "more", "ids", "cos"]]
+
+    placed = usable_vectors(df).mapInPandas(place, "tile long, id string, vec array<float>")
+    first = cut(placed.groupBy("tile").applyInPandas(answer, "tile long, id string, vec array<float>, more array<long>, ids array<string>, cos array<double>"))
+    asking = first.select(F.explode("more").alias("tile"), "id", "vec", F.coalesce(F.get("cos", F.lit(k - 1)), F.lit(-9.0)).alias("floor"))
+    many = {r["tile"]: r["count"] for r in asking.groupBy("tile").count().where(F.col("count") > QUERIES_AT_ONCE).collect()}  # a row per tile at most
+    parts = spark.createDataFrame([(t, math.ceil(n / QUERIES_AT_ONCE)) for t, n in many.items()], "tile long, parts int")
+
+    def split(x: DataFrame, part) -> DataFrame:
+        n = F.coalesce("parts", F.lit(1))
+        return x.join(F.broadcast(parts), "tile", "left").withColumn("part", part(n)).drop("parts") if many else x.withColumn("part", part(F.lit(1)))
+
+    data = split(first.select("tile", "id", "vec", F.lit(None).cast("double").alias("floor")), lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+    sent = split(asking, lambda n: F.pmod(F.xxhash64("id"), n).cast("int"))
+
+    def look(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        is_q = t["floor"].notna()
+        d, q = t[~is_q], t[is_q]
+        if not len(d) or not len(q):
+            return pd.DataFrame({"space": pd.Series(dtype="int32"), "id": pd.Series(dtype=object), "ids": pd.Series(dtype=object), "cos": pd.Series(dtype=object)})
+        found = nearest_in_tile(d, q, k)
+        hit = found["q"].unique()
+        ids, cos = _lists(found, hit)
+        return pd.DataFrame({"space": pd.Series([key[0] >> 40] * len(hit), dtype="int32"), "id": hit, "ids": ids, "cos": cos})
+
+    later = data.unionByName(sent).groupBy("tile", "part").applyInPandas(look, "space int, id string, ids array<string>, cos array<double>")
+    base = first.select(F.shiftright("tile", 40).cast("int").alias("space"), "id", "ids", "cos", (F.size("more") > 0).alias("asked"))
+    ordered = lambda c: F.slice(F.array_sort(F.transform(c, lambda x: F.struct((-x["cos"]).alias("c"), x["ids"].alias("n")))), 1, k)
+    pairs = lambda x: x.select("space", "id", F.arrays_zip("ids", "cos").alias("z"))
+    merged = pairs(base.where("asked")).unionByName(pairs(later)).groupBy("space", "id").agg(F.flatten(F.collect_list("z")).alias("z"))  # k of each tile asked
+    best = pairs(base.where("not asked")).unionByName(merged).select("space", "id", F.posexplode(ordered(F.col("z"))).alias("rank", "m"))
+    name = F.create_map(*(x for (model, _), i in numbers.items() for x in (F.lit(i), F.lit(model))))
+    return best.select(name[F.col("space")].alias("model"), F.col("id").alias("q"), F.col("m.n").alias("n"), (-F.col("m.c")).alias("cos"), (F.col("rank") + 1).alias("rank"))
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
