@@ -21,20 +21,20 @@ from pyspark.sql import functions as F
 from citeweave.session import cut, table
 
 #: Bytes of the sample of a model that centroids are fitted on, at most, and vectors of it per region.
-SAMPLE_BYTES, PER_CENTROID = 64_000_000, 32
+SAMPLE_BYTES, PER_CENTROID = 64_000_000, 100
 #: Vectors of a region on average, if the sample allows so many regions.
-PER_REGION = 2048
-#: Regions in which a query looks at most, and those of a query whose k-th similarity is no better than chance.
-PROBES, LOOSE_PROBES = 16, 32
+PER_REGION = 6000
+#: Regions in which a query looks at most; in which it looks first if its own holds nothing nearer than chance would
+#: give; and in which it looks if that is still so afterwards.
+PROBES, FIRST_PROBES, LOOSE_PROBES = 16, 4, 32
 #: Standard deviations of chance in the rule that leaves out regions too far off to hold a vector above the floor.
-REGION_EPSILON = 3.0
+REGION_EPSILON = 2.5
 #: Vectors of a tile, about, and queries of one task: with more, the tile is repeated.
-BLOCK, QUERIES_AT_ONCE = 4096, 16_384
+BLOCK, QUERIES_AT_ONCE = 12_000, 16_384
 #: Keys of repeated papers that are broadcast; with more, all vectors are grouped by key.
 REPEATED_ROWS = 500_000
 #: Standard deviations of the estimate's error that the bounds allow.
 EPSILON = 3.0
-QUERY_BITS = 4
 SEED = 20_240
 
 
@@ -97,29 +97,22 @@ def encode(x: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits.view(np.uint64), np.abs(y).sum(1) / math.sqrt(len(rot))
 
 
-def estimate(q: np.ndarray, codes: np.ndarray, scalars: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(estimates, errors) of the inner products of queries and coded vectors.
+def signs(codes: np.ndarray, dim: int) -> np.ndarray:
+    """The packed codes as rows of -1 and 1."""
+    bits = np.unpackbits(codes.view(np.uint8), axis=1)[:, :dim]
+    return bits.astype(np.float32) * 2 - 1
 
-    Queries are rotated and quantised to QUERY_BITS bits; <code, query> is summed from the bit counts of one AND per
-    bit plane. errors are EPSILON standard deviations.
-    """
-    dim = len(rot)
-    y = q @ rot.T
-    low, step = y.min(1, keepdims=True), np.maximum(np.ptp(y, axis=1, keepdims=True), 1e-12) / (2**QUERY_BITS - 1)
-    u = np.rint((y - low) / step).astype(np.uint8)
-    total = np.zeros((len(q), len(codes)), dtype=np.uint16)
-    for plane in range(QUERY_BITS):
-        bits = np.packbits(np.pad((u >> plane) & 1, ((0, 0), (0, -dim % 64))), axis=1).view(np.uint64)
-        for w in range(codes.shape[1]):
-            total += np.bitwise_count(bits[:, w, None] & codes[None, :, w]).astype(np.uint16) << plane
-    single = lambda x: x.astype(np.float32)
-    ones = 2.0 * np.bitwise_count(codes).sum(1) - dim
-    est = total * single(2 * step)
-    est += single(low) * single(ones)[None, :]
-    est -= single(step * u.sum(1, keepdims=True))
-    est *= single(1 / (math.sqrt(dim) * scalars))[None, :]
-    of_data = EPSILON * np.sqrt(np.maximum(0, 1 - scalars**2)) / scalars / math.sqrt(max(1, dim - 1))
-    return est, single(of_data)[None, :] + single(EPSILON * step / math.sqrt(12)) * single(1 / scalars)[None, :]
+
+def corrected(codes: np.ndarray, scalars: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, errors): what a rotated query is multiplied with to estimate its inner products, and EPSILON standard deviations of that."""
+    rows = signs(codes, dim) * (1 / (math.sqrt(dim) * scalars)).astype(np.float32)[:, None]
+    return rows, (EPSILON * np.sqrt(np.maximum(0, 1 - scalars**2)) / scalars / math.sqrt(max(1, dim - 1))).astype(np.float32)
+
+
+def estimate(q: np.ndarray, codes: np.ndarray, scalars: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(estimates, errors) of the inner products of queries and coded vectors."""
+    rows, errors = corrected(codes, scalars, len(rot))
+    return (q @ rot.T).astype(np.float32) @ rows.T, errors[None, :]
 
 
 def _chosen(q: np.ndarray, d: np.ndarray, mask: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,21 +139,21 @@ def nearest_in_tile(data: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
     ids, qids, floor = data["id"].to_numpy(), queries["id"].to_numpy(), queries["floor"].to_numpy(np.float32)
     at = pd.Series(np.arange(len(ids)), index=ids).reindex(qids).to_numpy()
     rot = rotation(d.shape[1])
-    codes, scalars = encode(d, rot)
+    rows, errors = corrected(*encode(d, rot), len(rot))
+    turned = (q @ rot.T).astype(np.float32)
     out_q, out_n, out_c = [], [], []
-    rows = max(1, 400_000 // max(1, len(d)))
-    for i in range(0, len(q), rows):
-        s = slice(i, i + rows)
-        est, err = estimate(q[s], codes, scalars, rot)
+    step = max(1, 2_000_000 // max(1, len(d)))
+    for i in range(0, len(q), step):
+        s = slice(i, i + step)
+        est = turned[s] @ rows.T
         own = at[s]
         has = ~np.isnan(own)
         est[np.nonzero(has)[0], own[has].astype(int)] = -9
         bar = floor[s].copy()
         free = np.nonzero(bar < -1)[0]
         if len(free) and len(d) > k:
-            bar[free] = np.maximum(np.partition(est[free] - err[free], -k, axis=1)[:, -k], -8)
-        err += est
-        x, y, cos = _chosen(q[s], d, (err >= bar[:, None] - 1e-4) & (est > -5), k)
+            bar[free] = np.maximum(np.partition(est[free] - errors, -k, axis=1)[:, -k], -8)
+        x, y, cos = _chosen(q[s], d, (est + errors >= bar[:, None] - 1e-4) & (est > -5), k)
         order = np.lexsort((y, -cos, x))
         x, y, cos = x[order], y[order], cos[order]
         start = np.searchsorted(x, np.arange(len(est)))
@@ -186,27 +179,28 @@ class Regions:
         part = pd.util.hash_array(ids.to_numpy(dtype=object)).astype(np.uint64) % self.tiles[region].astype(np.uint64)
         return (self.number << 40) + self.first[region] + part.astype(np.int64)
 
-    def to_ask(self, x: np.ndarray, own: int, floor: np.ndarray, probes: int, loose: int, epsilon: float) -> list[list[int]]:
-        """Of each query the tiles, other than its own, that may hold a vector as near as its floor.
+    def to_ask(self, x: np.ndarray, own: np.ndarray, floor: np.ndarray, again: bool, probes: int, loose: int, epsilon: float) -> tuple[list[list[int]], np.ndarray]:
+        """(tiles to ask, whether the floor is no better than chance) of each query, `again` after such a query's first look.
 
         A vector above the floor lies in a region other than the query's nearest only if the part of it that is
         orthogonal to the query, a direction as good as random, makes up for what that region's centroid is further
         off: regions beyond epsilon standard deviations of that are left out. A query whose floor is no better than
-        chance has no such limit and looks in the nearest `loose` regions.
+        chance has no such limit: it looks in FIRST_PROBES regions, and if that is still so in `loose`. Tiles asked
+        before, its own among them, are not asked again.
         """
         near = x.astype(np.float32) @ self.centroids.T
         order = np.argsort(-near, axis=1)[:, : max(probes, loose)]
         near = np.take_along_axis(near, order, 1)
-        chance = min(0.999, math.sqrt(2 * math.log(max(2, self.n)) / self.dim))
         f = np.clip(floor, 1e-6, 1.0)
         reach = np.sqrt(np.maximum(0, 1 - f * f)) / f * math.sqrt(2) * epsilon / math.sqrt(self.dim)
-        free = floor <= chance
+        free = floor <= min(0.999, math.sqrt(2 * math.log(max(2, self.n)) / self.dim))
         rank = np.arange(order.shape[1])[None, :]
-        ask = np.where(free[:, None], rank < loose, (rank < probes) & (near[:, :1] - near <= reach[:, None]))
-        out = []
-        for regions, chosen in zip(order, ask):
-            out.append([t for r in regions[chosen] for t in range((self.number << 40) + int(self.first[r]), (self.number << 40) + int(self.first[r] + self.tiles[r])) if t != own])
-        return out
+        ask = np.where(free[:, None], rank < (loose if again else FIRST_PROBES), (rank < probes) & (near[:, :1] - near <= reach[:, None]))
+        if again:
+            ask &= rank >= FIRST_PROBES
+        base = self.number << 40
+        span = [range(base + int(a), base + int(a + n)) for a, n in zip(self.first, self.tiles)]
+        return [[t for r in regions[chosen] for t in span[r] if t != o] for regions, chosen, o in zip(order, ask, own)], free
 
 
 def _lists(found: pd.DataFrame, ids: np.ndarray) -> tuple[list, list]:
@@ -230,7 +224,7 @@ def nearest(df: DataFrame, k: int = 5, probes: int = PROBES, loose: int = LOOSE_
         return spark.createDataFrame([], "model string, q string, n string, cos double, rank int")
     spaces, numbers = [], {}
     for number, (model, dim, n) in enumerate(sizes):
-        most = min(SAMPLE_BYTES // (4 * dim), PER_CENTROID * max(1, round(n / PER_REGION)) * 2)
+        most = min(SAMPLE_BYTES // (4 * dim), PER_CENTROID * max(1, round(n / PER_REGION)))
         some = ok.where((F.col("model") == model) & (F.col("dim") == dim)).orderBy(F.xxhash64("id", F.lit(SEED)), "id").select("vec").limit(most).toPandas()
         spaces.append(Regions(number, unit(_stack(some["vec"])), n))
         numbers[model, dim] = number
@@ -245,27 +239,23 @@ def nearest(df: DataFrame, k: int = 5, probes: int = PROBES, loose: int = LOOSE_
                 b.loc[rows, "tile"] = r.tile(near.argmax(1), b.loc[rows, "id"])
             yield b[["tile", "id", "vec"]]
 
+    def floors(cos) -> np.ndarray:
+        return np.array([c[k - 1] if len(c) >= k else -9.0 for c in cos])
+
     def answer(t: pd.DataFrame) -> pd.DataFrame:
         """A tile asked by its own vectors: what they find, and which tiles they have to ask next."""
         own = int(t["tile"].iloc[0])
-        found = nearest_in_tile(t, t.assign(floor=-9.0), k)
-        t["ids"], t["cos"] = _lists(found, t["id"].to_numpy())
-        floor = np.array([c[k - 1] if len(c) >= k else -9.0 for c in t["cos"]])
-        t["more"] = shared.value[own >> 40].to_ask(unit(_stack(t["vec"])), own, floor, probes, loose, epsilon)
-        return t[["tile", "id", "vec", "more", "ids", "cos"]]
+        t["ids"], t["cos"] = _lists(nearest_in_tile(t, t.assign(floor=-9.0), k), t["id"].to_numpy())
+        t["more"], t["loose"] = shared.value[own >> 40].to_ask(unit(_stack(t["vec"])), t["tile"], floors(t["cos"]), False, probes, loose, epsilon)
+        return t[["tile", "id", "vec", "more", "loose", "ids", "cos"]]
 
-    placed = usable_vectors(df).mapInPandas(place, "tile long, id string, vec array<float>")
-    first = cut(placed.groupBy("tile").applyInPandas(answer, "tile long, id string, vec array<float>, more array<long>, ids array<string>, cos array<double>"))
-    asking = first.select(F.explode("more").alias("tile"), "id", "vec", F.coalesce(F.get("cos", F.lit(k - 1)), F.lit(-9.0)).alias("floor"))
-    many = {r["tile"]: r["count"] for r in asking.groupBy("tile").count().where(F.col("count") > QUERIES_AT_ONCE).collect()}  # a row per tile at most
-    parts = spark.createDataFrame([(t, math.ceil(n / QUERIES_AT_ONCE)) for t, n in many.items()], "tile long, parts int")
-
-    def split(x: DataFrame, part) -> DataFrame:
-        n = F.coalesce("parts", F.lit(1))
-        return x.join(F.broadcast(parts), "tile", "left").withColumn("part", part(n)).drop("parts") if many else x.withColumn("part", part(F.lit(1)))
-
-    data = split(first.select("tile", "id", "vec", F.lit(None).cast("double").alias("floor")), lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
-    sent = split(asking, lambda n: F.pmod(F.xxhash64("id"), n).cast("int"))
+    def ask_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["more"] = pd.Series([[]] * len(b), index=b.index, dtype=object)
+            for space, rows in b.groupby(b["tile"].to_numpy() >> 40).groups.items():
+                more, _ = shared.value[space].to_ask(unit(_stack(b.loc[rows, "vec"])), b.loc[rows, "tile"], floors(b.loc[rows, "cos"]), True, probes, loose, epsilon)
+                b.loc[rows, "more"] = pd.Series(more, index=rows, dtype=object)
+            yield b[["tile", "id", "vec", "more", "cos"]]
 
     def look(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         is_q = t["floor"].notna()
@@ -277,11 +267,32 @@ def nearest(df: DataFrame, k: int = 5, probes: int = PROBES, loose: int = LOOSE_
         ids, cos = _lists(found, hit)
         return pd.DataFrame({"space": pd.Series([key[0] >> 40] * len(hit), dtype="int32"), "id": hit, "ids": ids, "cos": cos})
 
-    later = data.unionByName(sent).groupBy("tile", "part").applyInPandas(look, "space int, id string, ids array<string>, cos array<double>")
-    base = first.select(F.shiftright("tile", 40).cast("int").alias("space"), "id", "ids", "cos", (F.size("more") > 0).alias("asked"))
+    placed = usable_vectors(df).mapInPandas(place, "tile long, id string, vec array<float>")
+    first = cut(placed.groupBy("tile").applyInPandas(answer, "tile long, id string, vec array<float>, more array<long>, loose boolean, ids array<string>, cos array<double>"))
+
+    def asked(queries: DataFrame) -> DataFrame:
+        """(space, id, ids, cos): what the queries (id, vec, more, cos) find in the tiles of `more` above their floor."""
+        sent = queries.select(F.explode("more").alias("tile"), "id", "vec", F.coalesce(F.get("cos", F.lit(k - 1)), F.lit(-9.0)).alias("floor"))
+        counts = sent.groupBy("tile").count().collect()  # a row per tile
+        if not counts:
+            return spark.createDataFrame([], "space int, id string, ids array<string>, cos array<double>")
+        parts = F.broadcast(spark.createDataFrame([(r["tile"], math.ceil(r["count"] / QUERIES_AT_ONCE)) for r in counts], "tile long, parts int"))
+        data = first.select("tile", "id", "vec", F.lit(None).cast("double").alias("floor")).join(parts, "tile")
+        data = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        sent = sent.join(parts, "tile").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        return data.unionByName(sent).drop("parts").groupBy("tile", "part").applyInPandas(look, "space int, id string, ids array<string>, cos array<double>")
+
     ordered = lambda c: F.slice(F.array_sort(F.transform(c, lambda x: F.struct((-x["cos"]).alias("c"), x["ids"].alias("n")))), 1, k)
+    space = F.shiftright("tile", 40).cast("int").alias("space")
     pairs = lambda x: x.select("space", "id", F.arrays_zip("ids", "cos").alias("z"))
-    merged = pairs(base.where("asked")).unionByName(pairs(later)).groupBy("space", "id").agg(F.flatten(F.collect_list("z")).alias("z"))  # k of each tile asked
+    base = first.select(space, "id", "ids", "cos", (F.size("more") > 0).alias("asked"))
+    later = cut(asked(first))
+    merge = lambda x: x.groupBy("space", "id").agg(F.flatten(F.collect_list("z")).alias("z"))  # noqa: E731  # k of each tile asked
+    lost = first.where("loose and size(more) > 0").select("tile", "id", "vec", "cos", space)
+    known = merge(pairs(later).unionByName(lost.select("space", "id", F.transform("cos", lambda c: F.struct(F.lit("").alias("ids"), c.alias("cos"))).alias("z"))))
+    known = lost.drop("cos").join(known, ["space", "id"]).select("tile", "id", "vec", F.transform(ordered(F.col("z")), lambda x: -x["c"]).alias("cos"))
+    again = cut(known.mapInPandas(ask_again, "tile long, id string, vec array<float>, more array<long>, cos array<double>").where("size(more) > 0"))
+    merged = merge(pairs(base.where("asked")).unionByName(pairs(later)).unionByName(pairs(asked(again))))
     best = pairs(base.where("not asked")).unionByName(merged).select("space", "id", F.posexplode(ordered(F.col("z"))).alias("rank", "m"))
     name = F.create_map(*(x for (model, _), i in numbers.items() for x in (F.lit(i), F.lit(model))))
     return best.select(name[F.col("space")].alias("model"), F.col("id").alias("q"), F.col("m.n").alias("n"), (-F.col("m.c")).alias("cos"), (F.col("rank") + 1).alias("rank"))
