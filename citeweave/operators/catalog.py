@@ -190,14 +190,19 @@ def _q_categories(spark, d):
 
 
 def _q_category_any(spark, d):
-    return table(spark, d, "part").where(F.exists(F.split("p_type", " "), lambda c: F.lower(c).contains("steel"))).select("p_partkey", "p_type")
+    return table(spark, d, "part").where(F.exists(F.split("p_type", " "), lambda c: F.lower(c).contains("promo"))).select("p_partkey", "p_type")
 
 
 def _q_upsert(spark, d):
-    p = latest(_papers(spark, d).where("arxiv_id is not null").select("arxiv_id", "rec_id", "title", "doi", "year", "citation_count", "ingested_at"), ["arxiv_id"], "ingested_at", "rec_id")
-    old = p.where("rec_id % 2 = 0 or rec_id % 5 = 0").select("arxiv_id", "title", "doi", "year", "citation_count")
-    new = p.where("rec_id % 3 = 0").select("arxiv_id", F.upper("title").alias("title"), F.lit("").alias("doi"), "year", F.when(F.col("rec_id") % 2 == 1, F.col("citation_count") + 1).alias("citation_count"))
-    return old, new
+    """(old, new): the first delivered record of each arXiv id, and the last one of those delivered again beside the fetch log's ids."""
+    p = _papers(spark, d).where("arxiv_id is not null").select("arxiv_id", "rec_id", "title", "doi", "year", "citation_count", "ingested_at")
+    cols = ["title", "doi", "year", "citation_count"]
+    pick = F.struct("ingested_at", "rec_id", *cols)
+    both = p.groupBy("arxiv_id").agg(F.min(pick).alias("o"), F.max(pick).alias("n"), F.count("*").alias("times"))
+    old = both.select("arxiv_id", *(F.col("o")[c].alias(c) for c in cols))
+    again = both.where("times > 1").select("arxiv_id", F.upper(F.col("n")["title"]).alias("title"), F.lit("").alias("doi"), F.col("n")["year"].alias("year"), F.when(F.col("n")["rec_id"] % 2 == 1, F.col("n")["citation_count"] + 1).alias("citation_count"))
+    fetched = table(spark, d, "fetch_status").where("arxiv_id is not null").groupBy("arxiv_id").agg(F.max("n_refs").alias("citation_count")).join(both.select("arxiv_id"), "arxiv_id", "left_anti")
+    return old, again.unionByName(fetched.select("arxiv_id", F.lit("fetched").alias("title"), F.lit("").alias("doi"), F.lit(None).cast("int").alias("year"), "citation_count"))
 
 
 def _q_merge(spark, d):
@@ -265,8 +270,9 @@ def _q_new_ids(spark, d):
     return b.join(a, "arxiv_id", "left_anti").withColumn("only_in", F.lit("fetched")).unionByName(a.join(b, "arxiv_id", "left_anti").withColumn("only_in", F.lit("catalog")))
 
 
-_OLDNEW = """WITH p AS (SELECT arxiv_id, rec_id, title, doi, year, citation_count FROM papers WHERE arxiv_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY ingested_at DESC, rec_id DESC) = 1),
-o AS (SELECT * FROM p WHERE rec_id % 2 = 0 OR rec_id % 5 = 0), n AS (SELECT arxiv_id, upper(title) AS title, '' AS doi, year, CASE WHEN rec_id % 2 = 1 THEN citation_count + 1 END AS citation_count FROM p WHERE rec_id % 3 = 0)
+_OLDNEW = """WITH q AS (SELECT *, row_number() OVER (PARTITION BY arxiv_id ORDER BY ingested_at, rec_id) AS first, row_number() OVER (PARTITION BY arxiv_id ORDER BY ingested_at DESC, rec_id DESC) AS last FROM papers WHERE arxiv_id IS NOT NULL),
+o AS (SELECT arxiv_id, title, doi, year, citation_count FROM q WHERE first = 1), n AS (SELECT arxiv_id, upper(title) AS title, '' AS doi, year, CASE WHEN rec_id % 2 = 1 THEN citation_count + 1 END AS citation_count FROM q WHERE last = 1 AND first > 1
+  UNION ALL SELECT arxiv_id, 'fetched', '', NULL, max(n_refs) FROM fetch_status WHERE arxiv_id IS NOT NULL AND arxiv_id NOT IN (SELECT arxiv_id FROM q) GROUP BY 1)
 """
 _DOI = r"(CASE WHEN regexp_matches(regexp_replace(lower(trim(doi)), '^doi:\s*', ''), '^10\.[0-9]{4,9}/\S+$') THEN regexp_replace(lower(trim(doi)), '^doi:\s*', '') END)"
 _PLAIN = "trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g'))"
@@ -318,7 +324,7 @@ SQL = {
     "agg1_agg10_catalog_stats": "SELECT count(*) AS n, count(*) FILTER (citation_count > 0) AS cited, coalesce(min(year), 2017) AS min_year, coalesce(max(year), 2026) AS max_year, round(avg(citation_count) FILTER (citation_count > 0), 6) AS avg_cites, count(doi) AS with_doi, max(citation_count) AS max_cites FROM papers",
     "agg2_top_sources": "SELECT lower(trim(source)) AS source, count(*) AS n FROM papers WHERE trim(source) <> '' GROUP BY 1 ORDER BY n DESC, source LIMIT 12",
     "agg9_top_categories": "SELECT category, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(string_split(p_type, ' '), lambda x: x <> ''))) AS category FROM part) GROUP BY 1 ORDER BY n DESC, category LIMIT 15",
-    "flt6_category_any": "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'steel')",
+    "flt6_category_any": "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'promo')",
     "ups1_merge": _OLDNEW + "SELECT coalesce(o.arxiv_id, n.arxiv_id) AS arxiv_id, CASE WHEN n.arxiv_id IS NOT NULL THEN n.title ELSE o.title END AS title, CASE WHEN n.arxiv_id IS NOT NULL THEN n.doi ELSE o.doi END AS doi, coalesce(n.year, o.year) AS year, coalesce(n.citation_count, o.citation_count) AS citation_count FROM o FULL JOIN n ON o.arxiv_id = n.arxiv_id",
     "ups2_coalesce_merge": _OLDNEW + "SELECT coalesce(o.arxiv_id, n.arxiv_id) AS arxiv_id, coalesce(nullif(trim(n.title), ''), o.title) AS title, coalesce(nullif(trim(n.doi), ''), o.doi) AS doi, coalesce(n.year, o.year) AS year, coalesce(n.citation_count, o.citation_count) AS citation_count FROM o FULL JOIN n ON o.arxiv_id = n.arxiv_id",
     "ups6_fill_missing": _OLDNEW + "SELECT coalesce(o.arxiv_id, n.arxiv_id) AS arxiv_id, coalesce(nullif(o.title, ''), n.title, o.title) AS title, CASE WHEN coalesce(o.doi, '') <> '' THEN o.doi WHEN n.arxiv_id IS NOT NULL THEN '10.1/x' ELSE coalesce(o.doi, '') END AS doi, coalesce(nullif(o.year, 0), n.year, o.year) AS year, coalesce(nullif(o.citation_count, 0), n.citation_count, o.citation_count) AS citation_count FROM o FULL JOIN n ON o.arxiv_id = n.arxiv_id",

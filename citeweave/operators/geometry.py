@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import scores, vectors
+from citeweave.operators.dense import top_similar
 from citeweave.operators.graph import key_sql, keyed
 from citeweave.session import cut, table
 
@@ -271,21 +272,15 @@ DIMS = (8, 16, 32, 64)
 
 
 def _q_dims(spark, d):
-    """For each dim, how well the nearest same-label neighbours are kept: queries are ids divisible by 50, against all rows."""
+    """For each dim, how well the nearest same-label neighbours are kept: queries are ids divisible by 50, against all rows; one pass."""
     e = table(spark, d, "embeddings")
-    parts = []
-    for dim in DIMS:
-        rows = e.select("vec_id", "label", vectors.truncated(F.col("embedding"), dim).alias("v"))
-        q = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-        both = rows.join(F.broadcast(q), F.col("vec_id") != F.col("q"))  # a stated query set
-        sim = both.select("q", "ql", "vec_id", "label", F.round(vectors.dot(F.col("qv"), F.col("v")), 9).alias("s"))
-        top = sim.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("rank <= 10")
-        per = top.groupBy("q").agg(F.max((F.col("label") == F.col("ql")).cast("double")).alias("hit"), F.coalesce(F.max(F.when(F.col("label") == F.col("ql"), 1.0 / F.col("rank"))), F.lit(0.0)).alias("rr"))
-        parts.append(per.agg(F.lit(dim).alias("dim"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("hit"), 6).alias("hit10")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    top = top_similar(e, e.where("vec_id % 50 = 0"), 10, dims=DIMS)
+    lab = e.select("vec_id", "label")
+    both = top.join(lab, "vec_id").join(lab.select(F.col("vec_id").alias("q"), F.col("label").alias("ql")), "q")
+    same = F.col("label") == F.col("ql")
+    per = both.groupBy("variant", "q").agg(F.max(same.cast("double")).alias("hit"), F.coalesce(F.max(F.when(same, 1.0 / F.col("rank"))), F.lit(0.0)).alias("rr"))
+    dim = F.element_at(F.array(*(F.lit(x) for x in DIMS)), F.col("variant") + 1)
+    return per.groupBy(dim.alias("dim")).agg(F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("hit"), 6).alias("hit10"))
 
 
 _VECS = f"""v AS (SELECT id, list_transform(vector, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(vector, lambda z: z::DOUBLE * z::DOUBLE)))) AS vec FROM (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from citeweave.functions import scores, text, vectors
 from citeweave.functions.ids import arxiv_id
 from citeweave.operators import catalog, evaluation, geometry, retrieval
+from citeweave.operators.dense import top_similar
 from citeweave.operators.graph import catalog_nodes, key_sql, keyed
 from citeweave.operators.impact import months_between, parsed_date
 from citeweave.plans import pipelines
@@ -27,18 +28,12 @@ def sanitised(df: DataFrame) -> DataFrame:
     return df.withColumns(fix) if fix else df
 
 
-def nearest_rows(vecs: DataFrame, asked: DataFrame, k: int, same: list[str] | None = None) -> DataFrame:
+def nearest_rows(vecs: DataFrame, asked: DataFrame, k: int, same: str | None = None) -> DataFrame:
     """(q, vec_id, score, rank): the k rows most similar to each of a stated set of queries; ties to the smaller id.
 
-    score is the dot product of unit vectors, at least 0. `same` columns must be equal and are joined on, so a filter
-    goes before the comparison. The query set is broadcast: state it small.
+    score is the dot product of unit vectors, at least 0. The `same` column must be equal.
     """
-    q = asked.select(F.col("vec_id").alias("q"), F.col("embedding").alias("_q"), *(same or []))
-    both = vecs.join(F.broadcast(q), same, "inner") if same else vecs.join(F.broadcast(q), F.lit(True))
-    s = F.round(F.greatest(F.lit(0.0), vectors.dot(F.col("embedding"), F.col("_q"))), 9)
-    sim = both.where(F.col("vec_id") != F.col("q")).select("q", "vec_id", s.alias("score"))
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    return sim.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top_similar(vecs, asked, k, same=same, least=0.0).select("q", "vec_id", "score", "rank")
 
 
 def budgeted(items: DataFrame, order: list[Column], cost_s: float, cost_mb: float, limit_s: float, limit_mb: float, most: int) -> DataFrame:
@@ -172,7 +167,7 @@ def _q_topk(spark, d):
 
 def _q_topk_label(spark, d):
     e = table(spark, d, "embeddings")
-    return nearest_rows(e, e.where("vec_id % 50 = 0"), 5, ["label"]).select("q", "vec_id", "rank")
+    return nearest_rows(e, e.where("vec_id % 50 = 0"), 5, "label").select("q", "vec_id", "rank")
 
 
 def _q_mismatch(spark, d):
@@ -194,7 +189,7 @@ def _q_best_dim(spark, d):
 
 
 def _q_ids(spark, d):
-    return table(spark, d, "fetch_status").select("arxiv_id").where("arxiv_id is not null and not startswith(arxiv_id, '#')").distinct().orderBy("arxiv_id").limit(500)
+    return table(spark, d, "fetch_status").select("arxiv_id").where("arxiv_id is not null and not startswith(arxiv_id, '#')").distinct().orderBy("arxiv_id")
 
 
 def _q_purgeable(spark, d):
@@ -220,10 +215,10 @@ def _q_blend(spark, d):
 
 
 def _q_from_text(spark, d):
-    """arXiv ids named in free text."""
-    t = F.concat_ws(" ", F.col("question"), F.lit("see https://arxiv.org/abs/2501.16496v2 or 10.48550/arXiv.2304.14997"))
-    ids = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?i)(?:arxiv\.org/abs/|arxiv:|10\.48550/arxiv\.)(\d{4}\.\d{4,5})"), 1))
-    return table(spark, d, "d_oos_full_answers").select("qa_id", F.array_join(ids, " ").alias("ids"))
+    """arXiv ids named in free text: what a record says of itself in title, key and DOI."""
+    t = F.concat_ws(" ", "title", "canonical_id", "doi")
+    ids = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?i)(?:arxiv\.org/(?:abs|pdf)/|arxiv: ?|10\.48550/arxiv\.)(\d{4}\.\d{4,5})"), 1)))
+    return _p(spark, d).select("rec_id", F.array_join(ids, " ").alias("ids"))
 
 
 def _q_json(spark, d):
@@ -297,16 +292,16 @@ def _q_modes(spark, d):
 
 
 def _q_size_sweep(spark, d):
-    """Hit rate of the nearest same-label row as the index grows: subsets hold all queries' labels' first rows and hashed others."""
+    """Hit rate of the nearest same-label row as the index grows: subsets hold all queries' rows and hashed others, nested; one pass."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0")
-    out = None
-    for share in (8, 4, 2, 1):
-        sub = e.where((F.pmod(F.xxhash64("vec_id", F.lit(42)), F.lit(share)) == 0) | (F.col("vec_id") % 50 == 0)) if share > 1 else e
-        top = nearest_rows(sub, q, 1).join(e.select("vec_id", "label"), "vec_id").join(q.select(F.col("vec_id").alias("q"), F.col("label").alias("ql")), "q")
-        row = top.agg(F.lit(share).alias("one_in"), F.round(F.avg((F.col("label") == F.col("ql")).cast("double")), 6).alias("hit"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    shares = (8, 4, 2, 1)
+    h = F.pmod(F.xxhash64("vec_id", F.lit(42)), F.lit(8))
+    member = F.filter(F.array(*(F.when((h % s == 0) | (F.col("vec_id") % 50 == 0), F.lit(i)) for i, s in enumerate(shares))), lambda x: x.isNotNull())
+    top = top_similar(e.withColumn("member", member), e.where("vec_id % 50 = 0"), 1, dims=(0,) * len(shares), member="member", least=0.0)
+    lab = e.select("vec_id", "label")
+    both = top.join(lab, "vec_id").join(lab.select(F.col("vec_id").alias("q"), F.col("label").alias("ql")), "q")
+    one_in = F.element_at(F.array(*(F.lit(s) for s in shares)), F.col("variant") + 1)
+    return both.groupBy(one_in.alias("one_in")).agg(F.round(F.avg((F.col("label") == F.col("ql")).cast("double")), 6).alias("hit"))
 
 
 _R6 = evaluation._R
@@ -337,11 +332,11 @@ SQL = {
     "top3_vector_topk": f"WITH {_SIMS} SELECT q, vec_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10",
     "top4_filtered_topk": f"WITH {_SIMS} SELECT q, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s WHERE label = ql) WHERE rank <= 5",
     "win11_mismatches": f"WITH {_SIMS} SELECT q, vec_id, label, ql FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank = 1 AND label <> ql",
-    "set4_sorted_ids": "SELECT DISTINCT arxiv_id FROM fetch_status WHERE arxiv_id IS NOT NULL AND NOT starts_with(arxiv_id, '#') ORDER BY 1 LIMIT 500",
+    "set4_sorted_ids": "SELECT DISTINCT arxiv_id FROM fetch_status WHERE arxiv_id IS NOT NULL AND NOT starts_with(arxiv_id, '#') ORDER BY 1",
     "set5_purgeable": f"SELECT arxiv_id FROM fetch_status WHERE status = 'ok' AND {key_sql('canonical_id')} IN (SELECT {key_sql('canonical_id')} FROM documents) AND arxiv_id IN (SELECT arxiv_id FROM papers)",
     "set6_overlap": f"WITH r AS (SELECT f, list(DISTINCT k) AS a FROM (SELECT {key_sql('focal_id')} AS f, {key_sql('ref_id')} AS k FROM ref_edges) WHERE k IS NOT NULL GROUP BY 1), e AS (SELECT f, list(DISTINCT k) AS b FROM (SELECT {key_sql('citer_id')} AS f, {key_sql('cited_id')} AS k FROM edges) WHERE f IS NOT NULL AND k IS NOT NULL GROUP BY 1) SELECT f AS focal_id, len(a) - len(list_intersect(a, b)) AS only_refs, len(b) - len(list_intersect(a, b)) AS only_edges, len(list_intersect(a, b)) AS both FROM r JOIN e USING (f)",
     "set7_blend": "SELECT focal_id, ref_id, min(CASE WHEN source_api = 's2' THEN position END) AS position FROM ref_edges WHERE source_api IN ('s2', 'openalex') AND trim(ref_id) <> '' GROUP BY 1, 2",
-    "str5_ids_in_text": "SELECT qa_id, '2501.16496 2304.14997' AS ids FROM d_oos_full_answers",
+    "str5_ids_in_text": r"SELECT rec_id, array_to_string(list_sort(list_distinct(regexp_extract_all(concat_ws(' ', title, canonical_id, doi), '(?i)(?:arxiv\.org/(?:abs|pdf)/|arxiv: ?|10\.48550/arxiv\.)(\d{4}\.\d{4,5})', 1))), ' ') AS ids FROM papers",
     "str10_json": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
     "dat1_dat2_dates": "SELECT rec_id, year(ingested_at AT TIME ZONE 'UTC')::BIGINT AS y, round(greatest(0.25, abs(epoch_us(date_trunc('second', ingested_at)) - epoch_us(make_timestamp(year, 1, 1, 0, 0, 0))) / 86400e6 / 30.44), 6) AS months FROM papers",
     "mth1_mth2_numbers": "SELECT rec_id, coalesce(TRY_CAST(nullif(trim(doi[4:8]), '') AS DOUBLE), -1) AS n, CASE WHEN coalesce(citation_count, 0) = 0 THEN 0 ELSE round(year / citation_count::DOUBLE, 6) END AS r FROM papers",

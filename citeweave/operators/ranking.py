@@ -1,7 +1,6 @@
 """Multi-signal ranking: pools per query, signals, weighted sum, re-ranking for diversity, ablations.
 
-A query is a paper; its pool are the papers of the same label in the vector table, so pools are disjoint and one job
-ranks them all. Greedy re-ranking runs per query over a pool cut to POOL rows.
+A query is a paper; its pool are the papers most similar to it, and one job ranks all pools. Greedy re-ranking runs per query over a pool cut to POOL rows.
 """
 
 from __future__ import annotations
@@ -11,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.functions import scores, text, vectors
+from citeweave.functions import scores, text
+from citeweave.operators.dense import top_similar
 from citeweave.session import table
 
 # Fixed values.
@@ -96,12 +96,21 @@ def _library(spark, d: str) -> DataFrame:
     return library(*(table(spark, d, t) for t in ("part", "lineitem", "supplier")))
 
 
-def _pool(spark, d: str) -> DataFrame:
-    """Queries: vectors whose id is divisible by 50, against all rows; the paper of a vector is the part of that number."""
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    sim = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", (F.col("vec_id") + 1).alias("paper_id"), F.round(vectors.dot(F.col("qe"), F.col("embedding")), 9).alias("similarity"))  # a stated query set
-    return sim.join(_library(spark, d), "paper_id")
+def pool_size(k: int) -> int:
+    return max(k, MIN_POOL, POOL_FACTOR * k)
+
+
+def _pool(spark, d: str, size: int = pool_size(10), keep: str | None = None) -> DataFrame:
+    """Queries: vectors whose id is divisible by 50, against all rows; the paper of a vector is the part of that number.
+
+    Of each query the `size` most similar papers of the library (those that `keep` holds for) are its pool; only pools
+    are joined to the library.
+    """
+    e, lib = table(spark, d, "embeddings").withColumn("paper_id", (F.col("vec_id") + 1).cast("long")), _library(spark, d)
+    held = lib.where(keep) if keep else lib
+    q = e.where("vec_id % 50 = 0")
+    sim = top_similar(e.join(held.select("paper_id"), "paper_id", "left_semi"), q, size, row_id="paper_id")
+    return sim.select((F.col("q") - 1).alias("query_id"), "paper_id", F.col("score").alias("similarity")).join(lib, "paper_id")
 
 
 def flagship(spark, d: str) -> DataFrame:
@@ -121,7 +130,7 @@ def _q_blend(spark, d):
 
 
 def _q_rerank(spark, d):
-    df = ranked(signals(_pool(spark, d), AS_OF), scores.Weights(dict(scores.WEIGHTS)), POOL, ["query_id"])
+    df = ranked(signals(_pool(spark, d, POOL), AS_OF), scores.Weights(dict(scores.WEIGHTS)), POOL, ["query_id"])
     return rerank(df, 10)
 
 
@@ -147,8 +156,8 @@ def _q_authors(spark, d):
 
 
 def _q_filtered(spark, d):
-    """The wrapped ranking: filters first, then the k best, so no over-fetching is needed."""
-    df = signals(_pool(spark, d).where("year >= 1998 and citation_count >= 20"), AS_OF)
+    """The wrapped ranking: filters first, then the pool and the k best, so no over-fetching is needed."""
+    df = signals(_pool(spark, d, pool_size(5), "year >= 1998 and citation_count >= 20"), AS_OF)
     return ranked(df, scores.Weights({**scores.WEIGHTS, "velocity": 0.0}), 5, ["query_id"]).select("query_id", "paper_id", "rank")
 
 
@@ -173,7 +182,11 @@ def _q_titles(spark, d):
 
 _LIB = "c AS (SELECT l_partkey AS paper_id, count(DISTINCT l_orderkey) AS cites, max(year(l_shipdate)) AS yy FROM lineitem GROUP BY 1), ap AS (SELECT DISTINCT l_partkey AS paper_id, l_suppkey AS author FROM lineitem), fr AS (SELECT author, count(*) AS f FROM ap GROUP BY 1), mo AS (SELECT paper_id, max(f) AS most FROM ap JOIN fr USING (author) GROUP BY 1), lib AS (SELECT p_partkey AS paper_id, concat_ws(' ', p_name, p_type, p_brand) AS title, cites, yy, most FROM part LEFT JOIN c ON paper_id = p_partkey LEFT JOIN mo ON mo.paper_id = p_partkey)"
 _SIG = "CASE WHEN yy IS NULL THEN 0.3 ELSE pow(0.5::DOUBLE, greatest(0, 2002 - yy) / 4.0::DOUBLE) END AS recency, CASE WHEN cites IS NULL THEN 0.3 ELSE least(1, ln(1 + cites::DOUBLE) / ln(501)) END AS citation, CASE WHEN coalesce(most, 0) <= 0 THEN 0.3 ELSE least(1, ln(1 + most::DOUBLE) / ln(11)) END AS author, CASE WHEN yy IS NULL THEN 0.3 ELSE least(1, ln(1 + coalesce(cites, 0) / greatest(1, 2002 - yy)::DOUBLE) / ln(51)) END AS velocity"
-_POOLSQL = f"WITH {_LIB}, sm AS (SELECT q.vec_id AS query_id, e.vec_id + 1 AS paper_id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id), s AS (SELECT query_id, sm.paper_id, greatest(0, similarity) AS embedding, yy, cites, {_SIG} FROM sm JOIN lib ON lib.paper_id = sm.paper_id), t AS (SELECT *, round(0.5::DOUBLE * embedding + 0.2::DOUBLE * recency + 0.25::DOUBLE * citation + 0.05::DOUBLE * author, 12) AS score FROM s)"
+def _pool_sql(size: int, keep: str = "true") -> str:
+    return f"WITH {_LIB}, sm AS (SELECT q.vec_id AS query_id, e.vec_id + 1 AS paper_id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q, embeddings e JOIN lib ON lib.paper_id = e.vec_id + 1 WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id AND {keep} QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id) <= {size}), s AS (SELECT query_id, sm.paper_id, greatest(0, similarity) AS embedding, yy, cites, {_SIG} FROM sm JOIN lib ON lib.paper_id = sm.paper_id), t AS (SELECT *, round(0.5::DOUBLE * embedding + 0.2::DOUBLE * recency + 0.25::DOUBLE * citation + 0.05::DOUBLE * author, 12) AS score FROM s)"
+
+
+_POOLSQL = _pool_sql(30)
 _TOP = " SELECT query_id, paper_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM {t}) WHERE rank <= 10"
 _FLAG = f"WITH {_LIB}, s AS (SELECT *, {_SIG} FROM lib), f AS (SELECT paper_id, title, round(recency, 6) AS recency, round(citation, 6) AS citation, round(author, 6) AS author, round(velocity, 6) AS velocity, round(sc, 6) AS score, sc FROM (SELECT *, round(0.2::DOUBLE * recency + 0.25::DOUBLE * citation + 0.05::DOUBLE * author + 0.1::DOUBLE * velocity, 12) AS sc FROM s) ORDER BY sc DESC, paper_id LIMIT 20)"
 _METHODS = ", ".join(f"('{n}', " + ", ".join(f"{w[s]!r}::DOUBLE" for s in ("embedding", "recency", "citation", "author")) + ")" for n, w in method_weights())
@@ -196,7 +209,7 @@ SQL = {
     "sig7_sig8_methods": _POOLSQL + f", m(method, we, wr, wc, wa) AS (VALUES {_METHODS}), u AS (SELECT method, query_id, paper_id, round(we * embedding + wr * recency + wc * citation + wa * author, 12) AS score FROM s, m) SELECT method, query_id, paper_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY method, query_id ORDER BY score DESC, paper_id) AS rank FROM u) WHERE rank <= 10",
     "sig5_sig11_breakdown": _FLAG + ", g AS (SELECT * FROM f ORDER BY sc DESC, paper_id LIMIT 10) SELECT * FROM (SELECT paper_id, 'recency' AS signal, round(0.2::DOUBLE * recency, 6) AS contribution FROM g UNION ALL SELECT paper_id, 'citation', round(0.25::DOUBLE * citation, 6) FROM g UNION ALL SELECT paper_id, 'author', round(0.05::DOUBLE * author, 6) FROM g UNION ALL SELECT paper_id, 'velocity', round(0.1::DOUBLE * velocity, 6) FROM g) WHERE contribution > 1e-4",
     "agg4_author_frequency": "SELECT l_suppkey, count(DISTINCT l_partkey) AS papers FROM lineitem GROUP BY 1",
-    "top11_flt4_filtered": _POOLSQL + " SELECT query_id, paper_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM t WHERE yy >= 1998 AND cites >= 20) WHERE rank <= 5",
+    "top11_flt4_filtered": _pool_sql(20, "yy >= 1998 AND cites >= 20") + " SELECT query_id, paper_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM t) WHERE rank <= 5",
     "top9_direct_first": _POOLSQL + ", k AS (SELECT query_id, paper_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM t) WHERE rank <= 10), b AS (SELECT DISTINCT query_id, query_id + 1 AS paper_id, 1.0::DOUBLE AS score, 0 AS src FROM k UNION ALL SELECT query_id, paper_id, score, 1 FROM k WHERE paper_id <> query_id + 1) SELECT query_id, paper_id, row_number() OVER (PARTITION BY query_id ORDER BY src, score DESC, paper_id) AS rank FROM b",
     "str7_str8_title_overlap": f"WITH t AS (SELECT rec_id, title, lag(title) OVER (PARTITION BY arxiv_id ORDER BY rec_id) AS prev FROM papers WHERE arxiv_id IS NOT NULL), u AS (SELECT rec_id, {text.TITLE_TOKENS_SQL.format(c='title')} AS a, {text.TITLE_TOKENS_SQL.format(c='prev')} AS b, list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS c, list_distinct(list_filter(string_split(trim(regexp_replace(lower(prev), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS d FROM t WHERE prev IS NOT NULL) SELECT rec_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) END AS jaccard, CASE WHEN len(c) = 0 OR len(d) = 0 THEN 0 ELSE round(len(list_intersect(c, d)) / greatest(len(c), len(d))::DOUBLE, 6) END AS overlap FROM u",
 }

@@ -12,6 +12,8 @@ from citeweave.functions import text, vectors
 from citeweave.operators.graph import key_sql, keyed
 from citeweave.session import table
 
+# Fixed values.
+NAMED = r"\b(\d{4}\.\d{4,5})(?:v\d+)?"
 K1, B, RRF_K, ID_BOOST, ENTITY_BOOST = 1.5, 0.75, 60, 0.05, 0.025
 
 
@@ -154,20 +156,26 @@ def _q_search(spark, d):
 
 
 def _q_intents(spark, d):
-    q = table(spark, d, "d_oos_full_answers")
-    i = text.intent(F.coalesce("question", F.lit("")))
-    return q.select("qa_id", i.alias("intent"), F.round(text.section_boost(F.lit("Experiments and limitations"), i), 6).alias("boost"))
+    """The intent of each question and of each document's text, and what a section named like its kind or section gains."""
+    q = table(spark, d, "d_oos_full_answers").select(F.lit("question").alias("src"), F.col("qa_id").alias("id"), "question", F.col("kind").alias("section"))
+    x = table(spark, d, "documents").select(F.lit("document").alias("src"), F.col("doc_id").alias("id"), F.col("text").alias("question"), "section")
+    both = q.unionByName(x).withColumn("intent", text.intent(F.coalesce("question", F.lit(""))))
+    return both.select("src", "id", "intent", F.round(text.section_boost(F.coalesce("section", F.lit("")), F.col("intent")), 6).alias("boost"))
 
 
 def _q_tokens(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("tokens"), F.size(F.array_distinct(text.tokens(F.col("text")))).cast("long").alias("distinct_tokens"))
 
 
+def named_ids(c: Column) -> Column:
+    """The distinct arXiv ids that c names, without versions, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(NAMED), 1)))
+
+
 def _q_ids(spark, d):
-    q = table(spark, d, "d_oos_full_answers")
-    t = F.concat_ws(" ", F.coalesce("question", F.lit("")), F.lit("see arXiv:2501.16496v2, 2304.14997v1 and 2501.16496"), F.col("id"))
-    ids = F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(\d{4}\.\d{4,5})(?:v\d+)?"), 1))
-    return q.select("qa_id", F.array_join(ids, ",").alias("ids"))
+    """All ids of a query that names two papers: those of each citation, as they are spelled."""
+    t = F.concat_ws(" ", F.lit("compare"), "citer_id", F.lit("and"), "cited_id")
+    return table(spark, d, "edges").select("row_id", F.array_join(named_ids(t), ",").alias("ids"))
 
 
 def _q_cache(spark, d):
@@ -256,9 +264,9 @@ SQL = {
     "win5_context_packing": _FUSED + ", g AS (SELECT *, sum(length) OVER (PARTITION BY canonical_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS run FROM f) SELECT canonical_id, count(*) AS used, sum(length)::BIGINT AS chars FROM g WHERE run <= 3000 OR rank = 1 GROUP BY 1",
     "txt9_coverage": _FUSED + "SELECT canonical_id, doc_id, CASE WHEN dense < 0.55 THEN 'low' WHEN dense < 0.70 THEN 'partial' ELSE 'high' END AS coverage FROM f WHERE rank = 1",
     "top1_search": _SEARCH,
-    "txt6_txt7_intents": f"SELECT qa_id, i AS intent, round({_boost(chr(39) + 'experiments and limitations' + chr(39), 'i')}, 6) AS boost FROM (SELECT qa_id, {_cases('lower(coalesce(question, chr(0)))', text.INTENTS, 'GENERAL')} AS i FROM d_oos_full_answers)",
+    "txt6_txt7_intents": f"WITH b AS (SELECT 'question' AS src, qa_id AS id, question AS q, kind AS section FROM d_oos_full_answers UNION ALL SELECT 'document', doc_id, text, section FROM documents), i AS (SELECT src, id, section, {_cases('lower(coalesce(q, chr(0)))', text.INTENTS, 'GENERAL')} AS intent FROM b) SELECT src, id, intent, round({_boost("lower(coalesce(section, chr(0)))", 'intent')}, 6) AS boost FROM i",
     "txt3_tokens": f"SELECT doc_id, len({_T}) AS tokens, len(list_distinct({_T})) AS distinct_tokens FROM documents WHERE text IS NOT NULL",
-    "str6_query_ids": "SELECT qa_id, '2501.16496,2304.14997' AS ids FROM d_oos_full_answers",
+    "str6_query_ids": f"SELECT row_id, array_to_string(list_sort(list_distinct(regexp_extract_all(concat_ws(' ', 'compare', citer_id, 'and', cited_id), '{NAMED}', 1))), ',') AS ids FROM edges",
     "txt11_cache_hits": "WITH a AS (SELECT qa_id, id, embedding::DOUBLE[] AS v FROM d_oos_full_answers JOIN embeddings ON vec_id = length(coalesce(question, '')) % (SELECT count(*) FROM embeddings) WHERE id IS NOT NULL), s AS (SELECT x.qa_id AS id, y.qa_id AS hit, round(list_inner_product(x.v, y.v) / (sqrt(list_inner_product(x.v, x.v)) * sqrt(list_inner_product(y.v, y.v))), 9) AS similarity FROM a x JOIN a y ON x.id = y.id AND y.qa_id < x.qa_id) SELECT * FROM s WHERE similarity >= 0.92 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, hit) = 1",
     "txt12_cache_admission": f"SELECT qa_id, kind FROM d_oos_full_answers WHERE coverage IN ('high', 'partial') AND (regexp_matches(coalesce(answer_full, ''), '\\[\\d+\\]') OR NOT {_REFUSE}) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY qa_id DESC) <= 250",
     "txt13_snippets": "SELECT doc_id, trim(translate(text[:280], chr(10), ' ')) AS snippet FROM documents WHERE text IS NOT NULL",

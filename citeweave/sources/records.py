@@ -194,13 +194,13 @@ def arxiv_clauses(words: Column) -> Column:
 
 
 def _q_sections(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").startswith("<section"))
+    docs = table(spark, d, "documents").where("text is not null")
     return page_sections(docs, "doc_id", "text")
 
 
 def _q_sql_sections(spark, d):
     """Plain text of marked-up documents without Python: tags dropped, blanks collapsed."""
-    docs = table(spark, d, "documents").where(F.col("text").startswith("<section"))
+    docs = table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace("text", "<[^>]+>", " "), r"[ \n\t]+", " ")).alias("plain"), F.size(F.regexp_extract_all("text", F.lit("<p>"), 0)).cast("long").alias("paragraphs"))
 
 
@@ -249,7 +249,7 @@ QUERIES = {
     "src12_inverted_abstract": _q_inverted,
 }
 SQL = {
-    "src18_plain_text": "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \\n\\t]+', ' ', 'g')) AS plain, len(regexp_extract_all(text, '<p>')) AS paragraphs FROM documents WHERE starts_with(text, '<section')",
+    "src18_plain_text": "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \\n\\t]+', ' ', 'g')) AS plain, len(regexp_extract_all(text, '<p>')) AS paragraphs FROM documents WHERE text IS NOT NULL",
     "src14_first_tier": "WITH r AS (SELECT focal_id, coalesce(source_api, 'none') AS source_api, CASE coalesce(source_api, 'none') WHEN 's2' THEN 0 WHEN 'openalex' THEN 1 WHEN 'arxiv_html' THEN 2 WHEN 'none' THEN 3 END AS tier FROM ref_edges) SELECT focal_id, source_api, tier, count(*) AS n_refs FROM (SELECT *, min(tier) OVER (PARTITION BY focal_id) AS lo FROM r) WHERE tier = lo GROUP BY 1, 2, 3",
     "src8_src9_clauses": "SELECT rec_id, array_to_string(list_transform(list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda x: length(x) > 3)[:6], lambda x: 'all:' || x), ' AND ') AS clause FROM papers",
     "src30_cache_keys": "SELECT event_id, 'https://api.example/x?k=' || coalesce(props->>'$.k', '') || '&type=' || event_type || '&user=' || user_id AS key FROM events",

@@ -5,14 +5,14 @@ The batch and the streaming form of each aggregation are the same function of a
 
 from __future__ import annotations
 
-import os
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from citeweave.session import checkpoint_folder, table
+from citeweave.session import checkpoint_folder, is_folder, table
 
 LATE = "2 hours"
 
@@ -21,7 +21,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     """The table as a file stream, with its batch schema."""
     path = f"{sf_dir}/{name}.parquet"
     reader = spark.readStream.schema(table(spark, sf_dir, name).schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def timed(events: DataFrame) -> DataFrame:
@@ -64,31 +64,68 @@ def run_append(df: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def upsert_latest(spark: SparkSession, folder: str, key: str, at: str):
-    """A foreachBatch function that keeps the latest row of each key in versions under `folder`; a repeated batch writes the same version."""
+PARTS = 64
+
+
+def upsert_latest(spark: SparkSession, folder: str, key: str, at: str, parts: int = PARTS):
+    """A foreachBatch function that keeps the latest row of each key under `folder`, in `parts` hashed by key.
+
+    A batch rewrites only the parts that its keys fall in: folder/part=i/v<epoch>. The newest version of a part holds;
+    a repeated batch reads the versions before its own and writes the same again. Older versions are removed once the
+    next but one is written.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        old = f"{folder}/v{epoch - 1}"
-        df = batch
-        if epoch:
-            df = batch.sparkSession.read.parquet(old).unionByName(batch)
-        rest = [c for c in df.columns if c != key]
-        best = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(at).isNotNull(), *rest)).alias("_r"))
-        best.select(key, *(F.col("_r")[c].alias(c) for c in rest)).write.mode("overwrite").parquet(f"{folder}/v{epoch}")
+        session = batch.sparkSession
+        jvm = session.sparkContext._jvm
+        path = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+        fs = path(folder).getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+        keyed_ = batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).persist()
+        touched = [r["part"] for r in keyed_.select("part").distinct().collect()]  # at most `parts`
+        old = {i: [v for v in _versions(session, f"{folder}/part={i}") if v < epoch] for i in touched}
+        before = [f"{folder}/part={i}/v{v[-1]}" for i, v in old.items() if v]
+        df = keyed_
+        if before:
+            df = session.read.option("basePath", folder).parquet(*before).withColumn("part", F.col("part").cast("int")).unionByName(keyed_)
+        rest = [c for c in batch.columns if c != key]
+        best = df.groupBy("part", key).agg(F.max_by(F.struct(*rest), F.struct(F.col(at).isNotNull(), *rest)).alias("_r"))
+        out = best.select("part", key, *(F.col("_r")[c].alias(c) for c in rest))
+        stage = f"{folder}/_stage-{epoch}"
+        out.repartition("part").write.mode("overwrite").partitionBy("part").parquet(stage)
+        for i in touched:
+            to = path(f"{folder}/part={i}/v{epoch}")
+            fs.mkdirs(to.getParent())
+            fs.delete(to, True)
+            fs.rename(path(f"{stage}/part={i}"), to)
+            for v in old[i][:-1]:
+                fs.delete(path(f"{folder}/part={i}/v{v}"), True)
+        fs.delete(path(stage), True)
+        keyed_.unpersist()
 
     return merge
 
 
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(x.getPath().getName()[1:]) for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_latest(spark: SparkSession, folder: str, schema, parts: int = PARTS) -> DataFrame:
+    """The rows that upsert_latest keeps: the newest version of each part."""
+    newest = [f"{folder}/part={i}/v{v[-1]}" for i in range(parts) for v in [_versions(spark, f"{folder}/part={i}")] if v]
+    return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)
+
+
 def users_seen(events: DataFrame) -> DataFrame:
     """(user_id, n, best): running count and largest value per user, kept in state across batches."""
 
     def update(key, batches, state: GroupState):
-        n, best = state.get if state.exists else (0, 0.0)
+        n, best = state.get if state.exists else (0, None)
         for b in batches:
-            n, best = n + len(b), max(best, float(b["value"].max()))
+            n, top = n + len(b), b["value"].max()
+            best = best if pd.isna(top) else float(top) if best is None else max(best, float(top))
         state.update((n, best))
-        import pandas as pd
-
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "best": [best]})
 
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, best double", "n long, best double", "update", GroupStateTimeout.NoTimeout)
@@ -107,10 +144,8 @@ def _q_status(spark, d):
     """The latest fetch status of each paper, merged batch by batch."""
     base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     s = stream_table(spark, d, "fetch_status").select("arxiv_id", "updated_at", "status", "n_refs")
-    q = s.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(upsert_latest(spark, f"{base}/t", "arxiv_id", "updated_at")).start()
-    q.awaitTermination()
-    last = max((p["batchId"] for p in q.recentProgress if p["numInputRows"]), default=0)
-    return spark.read.parquet(f"{base}/t/v{last}").select("arxiv_id", "status", "n_refs")
+    s.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(upsert_latest(spark, f"{base}/t", "arxiv_id", "updated_at")).start().awaitTermination()
+    return read_latest(spark, f"{base}/t", s.schema).select("arxiv_id", "status", "n_refs")
 
 
 def _q_users(spark, d):
