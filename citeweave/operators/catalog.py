@@ -133,7 +133,7 @@ def stratified(papers: DataFrame, n: int, strata: list[str], id_: str, seed: int
     total = papers.agg(F.count("*").alias("_all"))
     size = papers.groupBy(*strata).agg(F.count("*").alias("_n"))
     alloc = size.crossJoin(F.broadcast(total)).withColumn("_take", F.greatest(F.lit(1), F.round(F.lit(n) * F.col("_n") / F.col("_all"))).cast("int"))  # one row
-    ranked = papers.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy(F.xxhash64(id_, F.lit(seed)), id_)))
+    ranked = papers.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy(F.xxhash64(id_, F.lit(seed)), id_))).where(F.col("_rn") <= max(1, n))  # no stratum takes more; that many rows of each task
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"a.{c}")) for c in strata]
     return ranked.alias("p").join(alloc.alias("a"), same).where("p._rn <= a._take").select("p.*").drop("_rn")
 

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import text
+from citeweave.functions.skew import running
 from citeweave.operators.graph import key_sql, keyed
-from citeweave.session import table
+from citeweave.operators.telemetry import percentile_at
+from citeweave.session import cut, table
+
+#: Draws of a bootstrap.
+DRAWS = 2000
 
 
 def metrics(expected: Column, retrieved: Column, k: int) -> dict[str, Column]:
@@ -25,10 +33,13 @@ def metrics(expected: Column, retrieved: Column, k: int) -> dict[str, Column]:
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """df with the rank of value, largest first, ties sharing their mean rank."""
-    w = Window.partitionBy(*by).orderBy(F.desc(value))
-    same = Window.partitionBy(*by, value)
-    return df.withColumn(out, F.rank().over(w) + (F.count("*").over(same) - 1) / 2.0)
+    """df with the rank of value, largest first, ties sharing their mean rank.
+
+    Ranks come from counts per value, run through in parts, and are joined back, so that a group is in no one task.
+    """
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    ranks = running(counts, by, [F.desc(value)], F.col("_c"), "_lo").select(*by, value, (F.col("_lo") + (F.col("_c") + 1) / 2.0).alias(out))
+    return df.join(ranks, [*by, value])
 
 
 def correlation(a: str, b: str, least: int = 2) -> Column:
@@ -49,9 +60,10 @@ def ndcg(df: DataFrame, by: list[str], relevance: str, order: list[Column], k: i
     disc = lambda r: F.log2(F.col(r) + 1.0)
     real = Window.partitionBy(*by).orderBy(*order)
     best = Window.partitionBy(*by).orderBy(F.desc(relevance), *order)
-    r = df.withColumn("_r", F.row_number().over(real)).withColumn("_b", F.row_number().over(best)).where((F.col("_r") <= k) | (F.col("_b") <= k))
-    dcg = F.sum(F.when(F.col("_r") <= k, gain / disc("_r")))
-    ideal = F.sum(F.when(F.col("_b") <= k, gain / disc("_b")))
+    top = lambda w, ideal: df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).withColumn("_i", F.lit(ideal))  # noqa: E731  # k rows of each task
+    r = top(real, False).unionByName(top(best, True))
+    dcg = F.sum(F.when(~F.col("_i"), gain / disc("_r")))
+    ideal = F.sum(F.when(F.col("_i"), gain / disc("_r")))
     return r.groupBy(*by).agg(F.round(F.when(ideal > 0, dcg / ideal).otherwise(0.0), 6).alias("ndcg"))
 
 
@@ -74,27 +86,48 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * term))
 
 
-def bootstrap_mean(df: DataFrame, by: list[str], row_id: str, value: str, draws: int = 200, seed: int = 42) -> DataFrame:
-    """(by, n, mean, lo, hi): percentile interval of the mean by Poisson bootstrap.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well-mixed 64-bit numbers from 64-bit numbers."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def bootstrap_mean(df: DataFrame, by: list[str], row_id: str, value: str, draws: int = DRAWS, seed: int = 42) -> DataFrame:
+    """(by, n, mean, lo, hi, p): percentile interval of the mean and two-sided p of its sign, by Poisson bootstrap.
 
-    Each row's weight in each draw is Poisson(1), from a hash of row and draw. Rows are repeated per draw before a
-    partial aggregation, so the shuffle holds one row per group and draw. Null values are left out; a draw that takes
-    no row of a group is left out.
+    Each row's weight in each draw is Poisson(1), from a hash of row and draw, so results do not depend on the layout.
+    A task sums its rows' weights of all draws; the shuffle holds one row per task, group and draw. Null values are left
+    out; a draw that takes no row of a group is left out. p is twice the smaller share of means on either side of 0.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, row_id, value)
-    drawn = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = F.pmod(F.xxhash64(row_id, F.lit(seed), "_b"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    weight, total, p = F.lit(0), 0.0, math.exp(-1)
-    for n in range(1, 8):  # the Poisson quantile of u
-        total += p
-        weight = weight + (u >= total).cast("int")
-        p /= n
-    sums = drawn.withColumn("_w", weight).groupBy(*by, "_b").agg(F.sum(F.col("_w") * F.col(value)).alias("_s"), F.sum("_w").alias("_w")).where("_w > 0")
-    means = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.col("_s") / F.col("_w"))).alias("_m"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.xxhash64(row_id, F.lit(seed)).alias("_h"))
+    kinds = dict(rows.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "_b int, _s double, _w double"
+    quantiles = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(12)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        steps = _mixed(np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for b in batches:
+            for key, g in b.groupby(by, dropna=False) if by else [((), b)]:
+                key = key if isinstance(key, tuple) else (key,)
+                total = sums.setdefault(key, np.zeros((2, draws)))
+                for at in range(0, len(g), 500):
+                    h, v = g["_h"].to_numpy()[at : at + 500].astype(np.uint64), g["_v"].to_numpy()[at : at + 500]
+                    u = (_mixed(h[:, None] + steps[None, :]) >> np.uint64(11)) / float(2**53)
+                    w = np.searchsorted(quantiles, u, side="right").astype(float)
+                    total += np.stack([v @ w, w.sum(0)])
+        for key, (s, w) in sums.items():
+            yield pd.DataFrame({**{c: [x] * draws for c, x in zip(by, key)}, "_b": np.arange(draws, dtype=np.int32), "_s": s, "_w": w})
+
+    drawn = rows.mapInPandas(run, schema).groupBy(*by, "_b").agg(F.sum("_s").alias("_s"), F.sum("_w").alias("_w")).where("_w > 0")
+    means = drawn.groupBy(*by).agg(F.array_sort(F.collect_list(F.round(F.col("_s") / F.col("_w"), 12))).alias("_m"))  # `draws` numbers
     at = lambda q: F.element_at("_m", F.greatest(F.lit(1), F.ceil(F.size("_m") * q)).cast("int"))
-    point = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    side = lambda test: F.size(F.filter("_m", test)) / F.size("_m")
+    p = F.least(F.lit(1.0), 2 * F.least(side(lambda x: x <= 0), side(lambda x: x >= 0)))
+    point = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
     both = point.join(means, by) if by else point.crossJoin(means)  # one row each
-    return both.select(*by, "n", "mean", at(0.025).alias("lo"), at(0.975).alias("hi"))
+    return both.select(*by, "n", "mean", at(0.025).alias("lo"), at(0.975).alias("hi"), p.alias("p"))
 
 
 def _answers(spark, d: str) -> DataFrame:
@@ -157,13 +190,9 @@ def _q_calibration(spark, d):
 
 
 def _q_quintiles(spark, d):
-    """Rows by top score in five parts cut at floor(i x n / 5). Positions come from counts per score, not from one window over all rows."""
-    a = _answers(spark, d)
-    key = F.struct("top_score", "qa_id")
-    parts = a.withColumn("_k", key).withColumn("_p", F.floor(F.col("top_score") * 50).cast("int"))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("c"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy()))  # at most 50 rows
-    pos = parts.join(F.broadcast(before), "_p").withColumn("pos", F.col("before") + F.row_number().over(Window.partitionBy("_p").orderBy("_k")) - 1)
+    """Rows by top score in five parts cut at floor(i x n / 5); positions are counted in parts."""
+    a = _answers(spark, d).select("top_score", "qa_id", "hit")
+    pos = running(a, [], [F.col("top_score"), F.col("qa_id")], F.lit(1), "pos").crossJoin(F.broadcast(a.agg(F.count("*").alias("n"))))  # one row
     bucket = sum(((F.col("pos") >= F.floor(F.col("n") * i / 5)).cast("int") for i in range(1, 5)), F.lit(1))
     return pos.groupBy(bucket.alias("part")).agg(F.count("*").alias("rows"), F.round(F.min("top_score"), 6).alias("lo"), F.round(F.max("top_score"), 6).alias("hi"), F.round(F.avg("hit"), 6).alias("hit"))
 
@@ -205,13 +234,37 @@ def _q_citations(spark, d):
     return a.select("qa_id", F.size(c).cast("long").alias("n_citations"), text.citations_valid(F.col("answer_full"), F.col("n_references")).alias("valid"), text.refuses(F.col("answer_full")).alias("official"), text.refuses(F.col("answer_full"), True).alias("broader"))
 
 
+def grounded(answers: DataFrame, sources: DataFrame, row_id: str, answer: str, number: str, source: str) -> DataFrame:
+    """(row_id, n_sentences, n_cited, n_grounded, citation_precision, groundedness_ratio) of each answer against the passages it cites.
+
+    sources holds (row_id, number, source): the text that [number] stands for, unique per row_id and number. Sentences
+    have more than 10 characters. A tag is supported if its source shares at least min(3, words) words of three or more
+    letters or digits with the sentence; a sentence is grounded if one of its tags is. Without tags, ratios are 1 for a
+    refusal and 0 otherwise; so they are for an answer without sentences, null ones among them.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), 0))
+    base = answers.select(F.col(row_id).alias("_i"), F.coalesce(F.col(answer), F.lit("")).alias("_a"))
+    parts = base.select("_i", F.posexplode(F.filter(F.transform(F.split("_a", r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > 10)).alias("_p", "_s"))
+    tags = parts.select("_i", "_p", words(F.col("_s")).alias("_w"), F.explode(text.cited_numbers(F.col("_s"))).alias("_n"))
+    given = sources.select(F.col(row_id).alias("_i"), F.col(number).alias("_n"), words(F.col(source)).alias("_c"))
+    held = tags.join(given, ["_i", "_n"], "left")
+    ok = F.coalesce(F.size(F.array_intersect("_w", "_c")) >= F.least(F.lit(3), F.greatest(F.lit(1), F.size("_w"))), F.lit(False))
+    per = held.groupBy("_i", "_p").agg(F.count("*").alias("_t"), F.count_if(ok).alias("_k")).groupBy("_i").agg(F.sum("_t").alias("_t"), F.sum("_k").alias("_k"), F.count("*").alias("n_cited"), F.count_if(F.col("_k") > 0).alias("n_grounded"))
+    n = parts.groupBy("_i").agg(F.count("*").alias("n_sentences"))
+    every = base.join(n, "_i", "left").join(per, "_i", "left")
+    none = text.refuses(F.col("_a")).cast("double")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    share = lambda a, b: F.round(F.when(F.coalesce(b, F.lit(0)) > 0, a / b).otherwise(none), 4)
+    return every.select(F.col("_i").alias(row_id), zero("n_sentences"), zero("n_cited"), zero("n_grounded"), share(F.col("_k"), F.col("_t")).alias("citation_precision"), share(F.col("n_grounded"), F.col("n_cited")).alias("groundedness_ratio"))
+
+
 def _q_grounded(spark, d):
-    """Sentences with a citation, and sentences that share at least min(3, n) tokens with the question."""
-    a = table(spark, d, "d_oos_full_answers").where("answer_full is not null")
-    s = a.select("qa_id", F.explode(F.split("answer_full", r"(?<=[.!?])[ \n\t]+")).alias("s"), text.title_tokens(F.col("question")).alias("q")).where("trim(s) != ''")
-    t = text.title_tokens(F.col("s"))
-    need = F.least(F.lit(3), F.greatest(F.lit(1), F.size("q")))
-    return s.groupBy("qa_id").agg(F.count("*").alias("sentences"), F.count_if(F.size(text.cited_numbers(F.col("s"))) > 0).alias("cited"), F.count_if(F.size(F.array_intersect(t, F.col("q"))) >= need).alias("grounded"))
+    """Answers against what they cite: source [n] of an answer is the document whose id is qa_id + n, cut at the number of documents."""
+    a, docs = table(spark, d, "d_oos_full_answers"), table(spark, d, "documents").select("doc_id", "text")
+    count = docs.agg(F.count("*").alias("_n"))
+    named = a.select("qa_id", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce("n_references", F.lit(0))))).alias("number")).where("number <= 60").crossJoin(F.broadcast(count))  # one row
+    given = named.withColumn("doc_id", (F.col("qa_id") + F.col("number")) % F.col("_n") + 1).join(docs, "doc_id")
+    return grounded(a, given, "qa_id", "answer_full", "number", "text")
 
 
 def _labelled(spark, d: str) -> DataFrame:
@@ -232,8 +285,9 @@ def _q_ndcg(spark, d):
 def _q_gaps(spark, d):
     """Per source, the five records ranked furthest below and above their label."""
     r = average_ranks(average_ranks(_labelled(spark, d), ["src"], "rel", "label_rank"), ["src"], "citation_count", "system_rank").withColumn("gap", F.col("system_rank") - F.col("label_rank"))
-    up, down = Window.partitionBy("src").orderBy("gap", "rec_id"), Window.partitionBy("src").orderBy(F.desc("gap"), "rec_id")
-    return r.withColumn("u", F.row_number().over(up)).withColumn("v", F.row_number().over(down)).where("u <= 5 or v <= 5").select("src", "rec_id", F.round("gap", 6).alias("gap"))
+    r = cut(r.select("src", "rec_id", "gap"))
+    first = lambda *o: r.withColumn("u", F.row_number().over(Window.partitionBy("src").orderBy(*o))).where("u <= 5")  # noqa: E731  # five rows of each task
+    return first("gap", "rec_id").unionByName(first(F.desc("gap"), "rec_id")).select("src", "rec_id", F.round("gap", 6).alias("gap")).distinct()
 
 
 def _q_labels(spark, d):
@@ -242,7 +296,12 @@ def _q_labels(spark, d):
 
 def _q_gate(spark, d):
     """Thresholds on quality and latency and whether all hold."""
-    a = _answers(spark, d).agg(F.avg("hit").alias("hit"), F.avg((F.col("refused") == F.col("should_refuse")).cast("double")).alias("refusal_accuracy"), F.percentile("latency_ms", F.lit(0.95)).alias("p95"))
+    rows = _answers(spark, d)
+    at = 0.95 * (F.col("n") - 1)
+    p95 = percentile_at(rows, "latency_ms", {"lo": F.floor(at), "hi": F.ceil(at)})
+    n = rows.agg(F.count("latency_ms").alias("n"))
+    a = rows.agg(F.avg("hit").alias("hit"), F.avg((F.col("refused") == F.col("should_refuse")).cast("double")).alias("refusal_accuracy")).crossJoin(p95).crossJoin(n)  # one row each
+    a = a.withColumn("p95", F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at)))
     g = a.select((F.col("hit") >= 0.5).alias("hit_ok"), (F.col("refusal_accuracy") >= 0.6).alias("refusal_ok"), (F.col("p95") <= 15000).alias("latency_ok"))
     return g.withColumn("all_ok", F.col("hit_ok") & F.col("refusal_ok") & F.col("latency_ok"))
 
@@ -260,13 +319,13 @@ def _q_histogram(spark, d):
 
 def _q_bootstrap(spark, d):
     a = _answers(spark, d).withColumn("kind", F.coalesce("kind", F.lit("unknown")))
-    return bootstrap_mean(a, ["kind"], "qa_id", "hit")
+    return bootstrap_mean(a, ["kind"], "qa_id", "hit").drop("p")
 
 
 def _q_cluster_bootstrap(spark, d):
     """Means per question id first, then their bootstrap."""
     a = _answers(spark, d).where("id is not null").groupBy("id", F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.avg("hit").alias("hit"))
-    return bootstrap_mean(a, ["kind"], "id", "hit")
+    return bootstrap_mean(a, ["kind"], "id", "hit").drop("p")
 
 
 def _q_paired(spark, d):

@@ -6,6 +6,8 @@ grouped pandas functions on the Gram matrix of a group. Everything else is colum
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -246,12 +248,35 @@ def _q_mean(spark, d):
     return mean_vector(best_vectors(table(spark, d, "paper_vectors"))).select("pos", F.round("mean", 6).alias("mean"))
 
 
+def moments(vecs: DataFrame, by: str, vec: str) -> DataFrame:
+    """(by, i, j, n, xy, x, y): per group and pair of components, the number of vectors, the sum of products and both sums.
+
+    A task adds up its vectors' outer products, so that what is shuffled is d x d numbers per task and group. Vectors
+    of a group have one length; null vectors are left out.
+    """
+    kind = dict(vecs.dtypes)[by]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for b in batches:
+            for key, g in b.groupby("k", dropna=False):
+                x = np.stack(g["v"].to_numpy()).astype(float)
+                n, s, xy = sums.get(key, (0, 0.0, 0.0))
+                sums[key] = (n + len(x), s + x.sum(0), xy + x.T @ x)
+        for key, (n, s, xy) in sums.items():
+            yield pd.DataFrame({"k": [key], "n": [n], "s": [s], "xy": [xy.ravel()]})
+
+    each = vecs.where(F.col(vec).isNotNull()).select(F.col(by).alias("k"), F.col(vec).alias("v")).mapInPandas(run, f"k {kind}, n long, s array<double>, xy array<double>")
+    cells = each.select("k", "n", F.posexplode("xy").alias("pos", "xy"), "s")
+    d = F.size("s")
+    i, j = F.floor(F.col("pos") / d).cast("int"), (F.col("pos") % d).cast("int")
+    return cells.groupBy(F.col("k").alias(by), i.alias("i"), j.alias("j")).agg(F.sum("n").alias("n"), F.sum("xy").alias("xy"), F.sum(F.get("s", i)).alias("x"), F.sum(F.get("s", j)).alias("y"))
+
+
 def _q_effective_dim(spark, d):
     """trace(C)^2 / |C|_F^2 of the covariance of the vectors of each label, from sums of products of components."""
-    e = table(spark, d, "embeddings").select("label", "vec_id", F.posexplode(vectors.doubles(F.col("embedding"))).alias("i", "x"))
-    a, b = e.select("label", "vec_id", "i", "x"), e.select("label", "vec_id", F.col("i").alias("j"), F.col("x").alias("y"))
-    prod = a.join(b, ["label", "vec_id"]).groupBy("label", "i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n"))
-    cov = prod.withColumn("c", F.col("xy") - F.col("mx") * F.col("my"))
+    m = moments(table(spark, d, "embeddings"), "label", "embedding")
+    cov = m.withColumn("c", F.col("xy") / F.col("n") - F.col("x") / F.col("n") * F.col("y") / F.col("n"))
     t = F.sum(F.when(F.col("i") == F.col("j"), F.col("c")))
     return cov.groupBy("label").agg(F.max("n").alias("n"), F.round(F.pow(t, F.lit(2.0)) / F.sum(F.col("c") * F.col("c")), 6).alias("d_eff"))
 

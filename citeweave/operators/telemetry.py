@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeweave.functions.skew import running
 from citeweave.session import table
 
+
 def calls(events: DataFrame) -> DataFrame:
     """Events as calls: (event_id, ts, call_type, model, prompt_tokens, answer_tokens, latency_ms, cache_hit)."""
     k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
@@ -16,15 +18,17 @@ def calls(events: DataFrame) -> DataFrame:
 def percentile_at(df: DataFrame, value: str, rules: dict[str, Column], by: list[str] | None = None) -> DataFrame:
     """Order statistics: for each rule, an expression of the row count n giving a 0-based position, the value there.
 
-    Counts per value are summed first, then run through a window over distinct values, so that no list of all rows is
-    built. Nulls are left out.
+    Counts per value are summed first and then run through in parts (see running), so that no task holds all values of
+    a group. Nulls are left out.
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    run = counts.withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_c").over(Window.partitionBy(*by)))
+    run = running(counts, by, [F.col(value)], F.col("_c"), "_lo")
+    total = counts.groupBy(*by).agg(F.sum("_c").alias("n"))
     at = {k: F.greatest(F.lit(0), F.least(p, F.col("n") - 1)) for k, p in rules.items()}
-    return run.groupBy(*by).agg(*(F.max(F.when((F.col("_hi") > p) & (F.col("_hi") - F.col("_c") <= p), F.col(value))).alias(k) for k, p in at.items()))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    both = run.alias("a").join(total.alias("b"), same).select(*(F.col(f"a.{c}") for c in run.columns), "n") if by else run.crossJoin(F.broadcast(total))  # one row
+    return both.groupBy(*by).agg(*(F.max(F.when((F.col("_lo") <= p) & (F.col("_lo") + F.col("_c") > p), F.col(value))).alias(k) for k, p in at.items()))
 
 
 def summary(calls_: DataFrame) -> DataFrame:
