@@ -55,8 +55,8 @@ def _cut(x: np.ndarray, dim: int) -> np.ndarray:
     return head / np.maximum(np.linalg.norm(head, axis=1, keepdims=True), 1e-12)
 
 
-def top_similar(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", vec: str = "embedding", dims: tuple[int, ...] = (0,), member: str | None = None, same: str | None = None, least: float | None = None) -> DataFrame:
-    """(variant, q, row_id, score, rank): of each query the k rows with the largest dot product, itself left out.
+def top_similar(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", vec: str = "embedding", dims: tuple[int, ...] = (0,), member: str | None = None, same: str | None = None, least: float | None = None, distinct: bool = True) -> DataFrame:
+    """(variant, q, row_id, score, rank): of each query the k rows with the largest dot product, itself left out unless `distinct` is false.
 
     Ids are longs, unique; score is rounded to 9 decimals and raised to `least`; ties go to the smaller id. There is a
     variant per entry of dims: vectors cut to so many components and brought to unit length (0: as they are). `member`
@@ -84,7 +84,7 @@ def top_similar(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_
             for at in range(0, len(b), step):
                 part = b.iloc[at : at + step]
                 rid, y = part["i"].to_numpy(), _matrix(part["v"])
-                out_of = ids[:, None] == rid[None, :]
+                out_of = ids[:, None] == rid[None, :] if distinct else np.zeros((len(ids), len(rid)), bool)
                 if same:
                     a, c = qs["s"].to_numpy(object), part["s"].to_numpy(object)
                     out_of |= (a[:, None] != c[None, :]) | pd.isna(c)[None, :]

@@ -259,10 +259,11 @@ def grounded(answers: DataFrame, sources: DataFrame, row_id: str, answer: str, n
 
 
 def _q_grounded(spark, d):
-    """Answers against what they cite: source [n] of an answer is the document whose id is qa_id + n, cut at the number of documents."""
+    """Answers against what they cite: source [n] of an answer, up to its n_references, is the document of id (qa_id + n) mod all + 1."""
     a, docs = table(spark, d, "d_oos_full_answers"), table(spark, d, "documents").select("doc_id", "text")
     count = docs.agg(F.count("*").alias("_n"))
-    named = a.select("qa_id", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce("n_references", F.lit(0))))).alias("number")).where("number <= 60").crossJoin(F.broadcast(count))  # one row
+    cited = F.array_distinct(F.filter(text.cited_numbers(F.col("answer_full")), lambda x: (x >= 1) & (x <= F.coalesce("n_references", F.lit(0)))))
+    named = a.select("qa_id", F.explode(cited).alias("number")).crossJoin(F.broadcast(count))  # one row
     given = named.withColumn("doc_id", (F.col("qa_id") + F.col("number")) % F.col("_n") + 1).join(docs, "doc_id")
     return grounded(a, given, "qa_id", "answer_full", "number", "text")
 
@@ -385,6 +386,13 @@ SQL = {
     "evl9_wilson": f"WITH {_A}, g AS (SELECT coalesce(kind, 'unknown') AS kind, count(*) FILTER (hit = 1) AS k, count(*) AS n FROM a GROUP BY 1), h AS (SELECT *, k / n::DOUBLE AS p, 1 + 3.8416::DOUBLE / n AS d FROM g) SELECT kind, k, n, round(greatest(0, (p + 3.8416::DOUBLE / (2 * n)) / d - 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n)) / d), 6) AS lo, round(least(1, (p + 3.8416::DOUBLE / (2 * n)) / d + 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n)) / d), 6) AS hi FROM h",
     "evl10_mcnemar": f"WITH {_A}, g AS (SELECT kind, count(*) FILTER ((refused = should_refuse) AND (refused_broad <> should_refuse)) AS b, count(*) FILTER ((refused <> should_refuse) AND (refused_broad = should_refuse)) AS c FROM a WHERE should_refuse IS NOT NULL AND kind IS NOT NULL GROUP BY 1), t AS (SELECT kind, sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) AS s FROM (SELECT *, unnest(range(0, least(b, c) + 1)) AS i FROM g) GROUP BY 1) SELECT kind, b, c, CASE WHEN b + c = 0 THEN 1.0::DOUBLE ELSE round(least(1, 2 * s), 6) END AS p FROM g JOIN t USING (kind)",
     "evl12_evl13_citations": f"WITH c AS (SELECT *, list_transform(regexp_extract_all(coalesce(answer_full, ''), '\\[(\\d{{1,9}})\\]', 1), lambda x: x::INT) AS l FROM d_oos_full_answers) SELECT qa_id, len(l) AS n_citations, CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: x < 1 OR x > coalesce(n_references, 0))) = 0 ELSE coalesce(n_references, 0) = 0 OR {_OFF} END AS valid, {_OFF} AS official, {_BRO} AS broader FROM c",
+    "evl14_groundedness": f"""WITH a AS (SELECT qa_id, coalesce(answer_full, '') AS t, coalesce(n_references, 0) AS n FROM d_oos_full_answers),
+p AS (SELECT qa_id, n, unnest(l) AS s, generate_subscripts(l, 1) AS p FROM (SELECT qa_id, n, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 10) AS l FROM a)),
+g AS (SELECT qa_id, n, p, list_distinct(regexp_extract_all(lower(s), '[a-z0-9]{{3,}}')) AS w, unnest(list_transform(regexp_extract_all(s, '\\[(\\d{{1,9}})\\]', 1), lambda x: x::INT)) AS k FROM p),
+h AS (SELECT g.*, coalesce(len(list_intersect(w, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]{{3,}}')))) >= least(3, greatest(1, len(w))), false) AS ok FROM g LEFT JOIN documents d ON k BETWEEN 1 AND n AND d.doc_id = (qa_id + k) % (SELECT count(*) FROM documents) + 1),
+q AS (SELECT qa_id, sum(t)::BIGINT AS t, sum(s)::BIGINT AS s, count(*) AS c, count(*) FILTER (s > 0) AS g FROM (SELECT qa_id, p, count(*) AS t, count(*) FILTER (ok) AS s FROM h GROUP BY 1, 2) GROUP BY 1), m AS (SELECT qa_id, count(*) AS m FROM p GROUP BY 1)
+SELECT z.qa_id, coalesce(m, 0) AS n_sentences, coalesce(c, 0) AS n_cited, coalesce(g, 0) AS n_grounded, CASE WHEN coalesce(t, 0) > 0 THEN round(s / t::DOUBLE, 4) ELSE {_OFF}::INT::DOUBLE END AS citation_precision, CASE WHEN coalesce(c, 0) > 0 THEN round(g / c::DOUBLE, 4) ELSE {_OFF}::INT::DOUBLE END AS groundedness_ratio
+FROM d_oos_full_answers z LEFT JOIN m USING (qa_id) LEFT JOIN q USING (qa_id)""",
     "evl4_win3_spearman": f"WITH {_L}, {_RANKS} SELECT src, count(*) AS n, CASE WHEN count(*) >= 2 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 6) END AS rho FROM k GROUP BY 1",
     "evl5_ndcg": f"WITH {_L}, k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY citation_count DESC, rec_id) AS r, row_number() OVER (PARTITION BY src ORDER BY rel DESC, citation_count DESC, rec_id) AS b FROM p) SELECT src, round(sum((pow(2, rel) - 1) / log2(r + 1)) FILTER (r <= 10) / sum((pow(2, rel) - 1) / log2(b + 1)) FILTER (b <= 10), 6) AS ndcg FROM k GROUP BY 1",
     "win4_rank_gaps": f"WITH {_L}, {_RANKS}, g AS (SELECT src, rec_id, rb - ra AS gap, row_number() OVER (PARTITION BY src ORDER BY rb - ra, rec_id) AS u, row_number() OVER (PARTITION BY src ORDER BY rb - ra DESC, rec_id) AS v FROM k) SELECT src, rec_id, round(gap, 6) AS gap FROM g WHERE u <= 5 OR v <= 5",
