@@ -1,7 +1,8 @@
 """Reference-relative novelty: how far a paper's vector lies from the cone of its references' vectors.
 
-A paper's references are capped (MAX_REFS), so a group of one paper is bounded; non-negative least squares runs inside
-grouped pandas functions on the Gram matrix of a group. Everything else is column arithmetic.
+A paper's references are capped (MAX_REFS) and gathered into one row with its own vector, so non-negative least squares
+runs over batches of papers, on the Gram matrix of each. Everything else is column arithmetic. Vectors are centred on
+the mean of all before they are compared.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from citeweave.session import cut, table
 
 # Fixed values.
 MAX_REFS, MIN_REFS, TOP_SHARES, TOLERANCE = 80, 3, 8, 1e-10
+MIN_COHORT = 20
+#: Added to the diagonal of a system of equations, which repeated references would make singular.
+RIDGE = 1e-12
 DRAWS, MIN_POOL, NULLS = 30, 10, ("m", "a", "r2", "delta", "spread")
 # Parts in which a ring is numbered, and papers of a ring that are compared in one group.
 PARTS, BLOCK = 32, 32
@@ -39,7 +43,9 @@ def nnls(gram: np.ndarray, b: np.ndarray, tol: float = TOLERANCE) -> np.ndarray:
         active[j] = True
         while True:
             idx = np.flatnonzero(active)
-            s = np.linalg.lstsq(gram[np.ix_(idx, idx)], b[idx], rcond=None)[0]
+            some = gram[np.ix_(idx, idx)]
+            some.flat[:: len(idx) + 1] += RIDGE
+            s = np.linalg.solve(some, b[idx])
             if s.min() > tol:
                 x[:] = 0
                 x[idx] = s
@@ -80,53 +86,87 @@ def best_vectors(paper_vectors: DataFrame, model: str = MODEL) -> DataFrame:
     return best.select(F.col("canonical_id").alias("id"), vectors.unit(F.col("v")).alias("vec"))
 
 
+def mean_vector(vecs: DataFrame, least: int = MIN_COHORT) -> DataFrame:
+    """(pos, mean): the mean of all vectors, component by component; no rows from fewer than `least` vectors."""
+    exploded = vecs.select(F.posexplode("vec").alias("pos", "v"))
+    return exploded.groupBy("pos").agg(F.avg("v").alias("mean"), F.count("*").alias("n")).where(F.col("n") >= least).select("pos", "mean")
+
+
+def centred(vecs: DataFrame, least: int = MIN_COHORT) -> DataFrame:
+    """(id, vec): vectors minus the mean of all, brought to unit length; as they are if there are fewer than `least`.
+
+    Vectors that equal the mean have no direction and are left out.
+    """
+    mean = mean_vector(vecs, least).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("_m"))  # one row of dim numbers
+    moved = vecs.crossJoin(F.broadcast(mean)).withColumn("vec", F.when(F.size("_m") > 0, F.zip_with("vec", "_m", lambda x, y: x - y)).otherwise(F.col("vec")))
+    return moved.select("id", vectors.unit(F.col("vec")).alias("vec")).where(vectors.norm(F.col("vec")) > 0.5)
+
+
 def reference_vectors(refs: DataFrame, vecs: DataFrame, max_refs: int = MAX_REFS) -> DataFrame:
     """(focal, ref, x, y): the vectors of papers and their references, at most max_refs of each in hashed order."""
+    capped = _capped(refs, vecs, max_refs)
+    return capped.join(vecs.select(F.col("id").alias("focal"), F.col("vec").alias("x")), "focal").select("focal", "ref", "x", "y")
+
+
+def _capped(refs: DataFrame, vecs: DataFrame, max_refs: int) -> DataFrame:
     e = keyed(refs.select("focal_id", "ref_id"), "focal_id", "ref_id").where("focal_id is not null and ref_id is not null and focal_id != ref_id").distinct()
     y = vecs.select(F.col("id").alias("ref_id"), F.col("vec").alias("y"))
     w = Window.partitionBy("focal_id").orderBy(F.xxhash64("ref_id", F.lit(17)), "ref_id")
-    capped = e.join(y, "ref_id").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_refs)
-    return capped.join(vecs.select(F.col("id").alias("focal_id"), F.col("vec").alias("x")), "focal_id").select(F.col("focal_id").alias("focal"), F.col("ref_id").alias("ref"), "x", "y")
+    return e.join(y, "ref_id").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_refs).select(F.col("focal_id").alias("focal"), F.col("ref_id").alias("ref"), "y")
+
+
+def reference_sets(refs: DataFrame, vecs: DataFrame, max_refs: int = MAX_REFS) -> DataFrame:
+    """(focal, x, refs, ys): one row per paper with a vector and a reference that has one: reference_vectors, gathered."""
+    sets = _capped(refs, vecs, max_refs).groupBy("focal").agg(F.array_sort(F.collect_list(F.struct("ref", "y"))).alias("l"))  # up to max_refs
+    x = vecs.select(F.col("id").alias("focal"), F.col("vec").alias("x"))
+    return sets.join(x, "focal").select("focal", "x", F.transform("l", lambda r: r["ref"]).alias("refs"), F.transform("l", lambda r: r["y"]).alias("ys"))
 
 
-def profiles(pairs: DataFrame, min_refs: int = MIN_REFS) -> DataFrame:
-    """One row per paper with its measures; fewer than min_refs references give status `too_few` and null measures."""
+def profiles(sets: DataFrame, min_refs: int = MIN_REFS) -> DataFrame:
+    """One row per paper (focal, x, refs, ys) with its measures; fewer than min_refs references give status `too_few` and null measures."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ref")
-        row = {"focal": g["focal"].iloc[0], "n_refs": len(g), "status": "too_few"}
-        if len(g) >= min_refs:
-            p = profile(np.array(g["x"].iloc[0], float), np.stack(g["y"].to_numpy()).astype(float))
-            shares = p["lam"] / p["lam"].sum() if p["lam"].sum() > 0 else p["lam"]
-            top = [i for i in np.argsort(-shares, kind="stable")[:TOP_SHARES] if shares[i] > 1e-8]
-            row |= {k: p[k] for k in ("m", "r2", "delta", "residual", "spread", "a", "c", "chance")} | {"status": "ok", "parent": g["ref"].iloc[p["parent"]], "shares": " ".join(f"{g['ref'].iloc[i]}={shares[i]:.4f}" for i in top), "lam_sum": float(p["lam"].sum())}
-        return pd.DataFrame({c: pd.Series([row.get(c)], dtype=object) for c in (x.split()[0] for x in _PROFILE.split(", "))})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = [x.split()[0] for x in _PROFILE.split(", ")]
+        for b in batches:
+            rows = []
+            for focal, x, refs, ys in zip(b["focal"], b["x"], b["refs"], b["ys"]):
+                row = {"focal": focal, "n_refs": len(refs), "status": "too_few"}
+                if len(refs) >= min_refs:
+                    p = profile(np.asarray(x, float), np.stack(ys).astype(float))
+                    shares = p["lam"] / p["lam"].sum() if p["lam"].sum() > 0 else p["lam"]
+                    top = [i for i in np.argsort(-shares, kind="stable")[:TOP_SHARES] if shares[i] > 1e-8]
+                    row |= {k: p[k] for k in ("m", "r2", "delta", "residual", "spread", "a", "c", "chance")}
+                    row |= {"status": "ok", "parent": refs[p["parent"]], "shares": " ".join(f"{refs[i]}={shares[i]:.4f}" for i in top), "lam_sum": float(p["lam"].sum())}
+                rows.append([row.get(c) for c in cols])
+            yield pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=object) for k, c in enumerate(cols)})
 
-    return pairs.groupBy("focal").applyInPandas(run, _PROFILE)
+    return sets.mapInPandas(run, _PROFILE)
 
 
 _PROFILE = "focal string, n_refs long, status string, m double, r2 double, delta double, residual double, spread double, a double, c double, chance double, parent string, shares string, lam_sum double"
 
 
-def projections(pairs: DataFrame, min_refs: int = MIN_REFS) -> DataFrame:
+def projections(sets: DataFrame, min_refs: int = MIN_REFS) -> DataFrame:
     """(focal, role, id, px, py): each paper, its references and its reconstruction in the plane of its closest parent and the rest of its reconstruction."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ref")
-        cols = ["focal", "role", "id", "px", "py"]
-        if len(g) < min_refs:
-            return pd.DataFrame(columns=cols)
-        x, y = np.array(g["x"].iloc[0], float), np.stack(g["y"].to_numpy()).astype(float)
-        p = profile(x, y)
-        e1 = y[p["parent"]]
-        hat = p["lam"] @ y
-        e2 = hat - (hat @ e1) * e1
-        n = np.linalg.norm(e2)
-        e2 = e2 / n if n > 1e-9 else np.zeros_like(e1)
-        points = [("focal", g["focal"].iloc[0], x), ("reconstruction", g["focal"].iloc[0], hat), *(("reference", r, v) for r, v in zip(g["ref"], y))]
-        return pd.DataFrame([(g["focal"].iloc[0], role, i, float(v @ e1), float(v @ e2)) for role, i, v in points], columns=cols)
-
-    return pairs.groupBy("focal").applyInPandas(run, "focal string, role string, id string, px double, py double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for focal, x, refs, ys in zip(b["focal"], b["x"], b["refs"], b["ys"]):
+                if len(refs) < min_refs:
+                    continue
+                x, y = np.asarray(x, float), np.stack(ys).astype(float)
+                p = profile(x, y)
+                e1 = y[p["parent"]]
+                hat = p["lam"] @ y
+                e2 = hat - (hat @ e1) * e1
+                n = np.linalg.norm(e2)
+                e2 = e2 / n if n > 1e-9 else np.zeros_like(e1)
+                points = [("focal", focal, x), ("reconstruction", focal, hat), *(("reference", r, v) for r, v in zip(refs, y))]
+                rows += [(focal, role, i, float(v @ e1), float(v @ e2)) for role, i, v in points]
+            yield pd.DataFrame(rows, columns=["focal", "role", "id", "px", "py"])
+
+    return sets.mapInPandas(run, "focal string, role string, id string, px double, py double")
 
 
 def null_donors(papers: DataFrame, draws: int = DRAWS, seed: int = 0) -> DataFrame:
@@ -203,23 +243,47 @@ def null_percentiles(pairs: DataFrame, years: DataFrame, draws: int = DRAWS, see
     return papers.join(pct, "focal", "left").select("focal", status.alias("status"), F.coalesce("n_null", F.lit(0)).alias("n_null"), *(f"pct_{c}" for c in NULLS))
 
 
-def mean_vector(vecs: DataFrame, least: int = 20) -> DataFrame:
-    """(pos, mean): the mean of all vectors, component by component; no rows from fewer than `least` vectors."""
-    exploded = vecs.select(F.posexplode("vec").alias("pos", "v"))
-    return exploded.groupBy("pos").agg(F.avg("v").alias("mean"), F.count("*").alias("n")).where(F.col("n") >= least).select("pos", "mean")
+def _vecs(spark, d: str) -> DataFrame:
+    return cut(centred(cut(best_vectors(table(spark, d, "paper_vectors")))))
 
 
 def _pairs(spark, d: str) -> DataFrame:
-    return reference_vectors(table(spark, d, "ref_edges"), best_vectors(table(spark, d, "paper_vectors")))
+    return reference_vectors(table(spark, d, "ref_edges"), _vecs(spark, d))
 
 
-def _q_profiles(spark, d):
-    p = profiles(_pairs(spark, d))
+def _sets(spark, d: str) -> DataFrame:
+    return reference_sets(table(spark, d, "ref_edges"), _vecs(spark, d))
+
+
+def _named(p: DataFrame) -> DataFrame:
+    """profiles with discovery mode and typology."""
     cls = scores.geometry_class(F.col("m"), F.col("delta"), F.col("r2"))
     typ = scores.typology(F.col("m"), F.col("delta"), F.col("r2"), F.col("chance"), F.col("spread"))
     return p.withColumn("mode", F.when(F.col("status") == "ok", cls)).withColumn("typology", typ)
 
 
+def _q_profiles(spark, d):
+    return _named(profiles(_sets(spark, d)))
+
+
+def resumed(papers: DataFrame, done: DataFrame, sets: DataFrame, min_refs: int = MIN_REFS) -> DataFrame:
+    """A batch run that goes on where another stopped: profiles of the papers (focal) that `done` (focal, status) has not scored, one row each.
+
+    Papers with status ok or too_few in done are left out; a paper without a vector or without a reference that has one
+    gets status no_vectors, so that a run leaves a row for each paper it was asked for.
+    """
+    left = papers.select("focal").distinct().join(done.where(F.col("status").isin("ok", "too_few")).select("focal"), "focal", "left_anti")
+    scored = profiles(left.join(sets, "focal"), min_refs)
+    return left.join(scored, "focal", "left").withColumn("status", F.coalesce("status", F.lit("no_vectors")))
+
+
+def _q_resumed(spark, d):
+    """The papers of the fetch log, those whose fetch went well being scored already; statuses and how many of each."""
+    log = keyed(table(spark, d, "fetch_status").select("canonical_id", "status"), "canonical_id").where("canonical_id is not null").select(F.col("canonical_id").alias("focal"), "status")
+    run = resumed(log, log, _sets(spark, d))
+    return run.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.coalesce("n_refs", F.lit(0))).cast("long").alias("n_refs"))
+
+
 def _q_closest(spark, d):
     cos = F.round(vectors.dot(F.col("x"), F.col("y")), 9)
     p = _pairs(spark, d).withColumn("cos", cos)
@@ -235,7 +299,7 @@ def _q_dispersion(spark, d):
 
 
 def _q_projections(spark, d):
-    return projections(_pairs(spark, d))
+    return projections(_sets(spark, d))
 
 
 def _q_null(spark, d):
@@ -311,12 +375,15 @@ def _q_dims(spark, d):
 _VECS = f"""v AS (SELECT id, list_transform(vector, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(vector, lambda z: z::DOUBLE * z::DOUBLE)))) AS vec FROM (
   SELECT {key_sql('canonical_id')} AS id, * FROM paper_vectors WHERE model = '{MODEL}' AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)
   WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY embedded_at DESC NULLS LAST, vec_id) = 1)"""
-_PAIRS = f"WITH {_VECS}, e AS (SELECT DISTINCT f, r FROM (SELECT {key_sql('focal_id')} AS f, {key_sql('ref_id')} AS r FROM ref_edges) WHERE f IS NOT NULL AND r IS NOT NULL AND f <> r), p AS (SELECT f AS focal, r AS ref, a.vec AS x, b.vec AS y FROM e JOIN v b ON b.id = r JOIN v a ON a.id = f)"
+_UNIT = "list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v})))"
+_CENTRED = f"{_VECS.replace('v AS (', 'v0 AS (', 1)}, cm AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x) AS m, count(*) AS n FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM v0) GROUP BY 1) WHERE n >= 20), v1 AS (SELECT id, CASE WHEN m IS NULL THEN vec ELSE list_transform(list_zip(vec, m), lambda z: z[1] - z[2]) END AS w FROM v0, cm), v AS (SELECT id, {_UNIT.format(v='w')} AS vec FROM v1 WHERE list_inner_product(w, w) > 1e-24)"
+_PAIRS = f"WITH {_CENTRED}, e AS (SELECT DISTINCT f, r FROM (SELECT {key_sql('focal_id')} AS f, {key_sql('ref_id')} AS r FROM ref_edges) WHERE f IS NOT NULL AND r IS NOT NULL AND f <> r), p AS (SELECT f AS focal, r AS ref, a.vec AS x, b.vec AS y FROM e JOIN v b ON b.id = r JOIN v a ON a.id = f)"
 QUERIES = {
     "nov4_nov5_nov7_nov8_profiles": _q_profiles,
     "nov2_closest_parent": _q_closest,
     "nov3_dispersion": _q_dispersion,
     "nov10_projections": _q_projections,
+    "nov12_resumed_batch": _q_resumed,
     "nov9_null_percentiles": _q_null,
     "agg24_mean_vector": _q_mean,
     "agg25_effective_dimension": _q_effective_dim,
@@ -327,6 +394,7 @@ QUERIES = {
 SQL = {
     "nov2_closest_parent": _PAIRS + ", c AS (SELECT *, round(list_inner_product(x, y), 9) AS cos FROM p) SELECT focal, count(*) AS n_refs, round(max(cos), 6) AS m, (list(ref ORDER BY cos DESC, ref DESC))[1] AS parent FROM c GROUP BY 1 HAVING count(*) <= 80",
     "nov3_dispersion": _PAIRS + ", c AS (SELECT a.focal, round(1 - list_inner_product(a.y, b.y), 9) AS dist FROM p a JOIN p b ON a.focal = b.focal AND a.ref < b.ref) SELECT focal, round(quantile_cont(dist, 0.5), 6) AS q50, round(quantile_cont(dist, 0.9), 6) AS q90 FROM c GROUP BY 1",
+    "nov12_resumed_batch": _PAIRS + f", log AS (SELECT {key_sql('canonical_id')} AS focal, status FROM fetch_status), todo AS (SELECT DISTINCT focal FROM log WHERE focal IS NOT NULL AND focal NOT IN (SELECT focal FROM log WHERE focal IS NOT NULL AND status = 'ok')), k AS (SELECT focal, least(80, count(*)) AS n FROM p GROUP BY 1) SELECT CASE WHEN n IS NULL THEN 'no_vectors' WHEN n < 3 THEN 'too_few' ELSE 'ok' END AS status, count(*) AS n, sum(coalesce(n, 0))::BIGINT AS n_refs FROM todo LEFT JOIN k USING (focal) GROUP BY 1",
     "agg24_mean_vector": f"WITH {_VECS} SELECT pos - 1 AS pos, round(avg(x), 6) AS mean FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v) GROUP BY 1",
     "agg25_effective_dimension": "WITH e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT a.label, a.i, b.i AS j, avg(a.x * b.x) - avg(a.x) * avg(b.x) AS c, count(*) AS n FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY ALL) SELECT label, max(n) AS n, round(pow(sum(c) FILTER (i = j), 2) / sum(c * c), 6) AS d_eff FROM c GROUP BY 1",
     "flt12_finite_vectors": "SELECT model, dim, count(*) AS rows, count(*) FILTER (len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0) AS usable, count(*) FILTER (vector IS NULL OR len(vector) <> dim) AS wrong_size FROM paper_vectors GROUP BY 1, 2",

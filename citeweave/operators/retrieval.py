@@ -103,16 +103,18 @@ def diverse(ranked: DataFrame, pool: list[str], paper: str, section: str, cap: i
 def packed(ranked: DataFrame, pool: list[str], length: str, budget: int = 12_000) -> DataFrame:
     """Passages in rank order up to the first that overflows the budget; the first is always kept."""
     w = Window.partitionBy(*pool).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("_run", F.sum(length).over(w)).where((F.col("_run") <= budget) | (F.col("rank") == 1)).drop("_run")
+    some = ranked.where((F.col("rank") <= budget) | (F.col(length) <= 0))  # no later passage of a character or more can fit
+    return some.withColumn("_run", F.sum(length).over(w)).where((F.col("_run") <= budget) | (F.col("rank") == 1)).drop("_run")
 
 
 def cache_hits(asked: DataFrame, cache: DataFrame, scope: list[str], threshold: float = 0.92) -> DataFrame:
     """(id, hit, similarity): the most similar earlier entry of the same scope, from the threshold on; the earliest wins ties.
 
-    Both have (id, vec, scope columns); vectors of different size are not compared.
+    Both have (id, vec, scope columns); vectors of different size are not compared. Equal vectors of a scope are
+    compared once, as their earliest entry; questions of hot scopes are spread over many tasks.
     """
-    c = cache.select(*scope, F.col("id").alias("hit"), F.col("vec").alias("_v"))
-    both = asked.join(c, scope).where((F.col("hit") < F.col("id")) & (F.size("vec") == F.size("_v")))
+    c = cache.groupBy(*scope, F.col("vec").alias("_v")).agg(F.min("id").alias("hit"))
+    both = lookup(asked, c, scope, F.col("id"), "inner").where((F.col("hit") < F.col("id")) & (F.size("vec") == F.size("_v")))
     sim = both.select("id", "hit", F.round(vectors.dot(vectors.unit(F.col("vec")), vectors.unit(F.col("_v"))), 9).alias("s")).where(F.col("s") >= threshold)
     return sim.groupBy("id").agg(F.max(F.struct("s", (-F.col("hit")).alias("h"))).alias("m")).select("id", (-F.col("m.h")).alias("hit"), F.col("m.s").alias("similarity"))
 
