@@ -24,27 +24,28 @@ ENTITY_STOP = [
 ]
 
 
-def pool_bm25(rows: DataFrame, pool: str, doc: str, words: Column, asked: Column, k1: float = K1, b: float = B) -> DataFrame:
-    """(pool, doc, bm25): the score of each passage that shares a term with its pool's query.
+def pool_bm25(rows: DataFrame, pool: str, doc: str, words: Column, asked: Column, keep: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(pool, doc, keep, bm25): the score of each passage, null where it shares no term with its pool's query.
 
     words are the tokens of a row's passage, asked those of its pool's query; a term asked twice counts twice. idf is
     ln(1 + (N - df + .5) / (df + .5)) over the pool. Texts are cut into tokens once; only tokens that are asked for are
     counted over the pool, and a pool's statistics are one row, joined with hot pools salted.
     """
-    r = rows.select(pool, doc, words.alias("_w"), asked.alias("asked"))
-    r = cut(r.select(pool, doc, "asked", F.size("_w").alias("length"), F.filter("_w", lambda x: F.array_contains("asked", x)).alias("hits")))
+    keep = keep or []
+    r = rows.select(pool, doc, *keep, words.alias("_w"), asked.alias("asked"))
+    r = cut(r.select(pool, doc, *keep, "asked", F.size("_w").alias("_len"), F.filter("_w", lambda x: F.array_contains("asked", x)).alias("hits")))
     df = r.select(pool, F.explode(F.array_distinct("hits")).alias("t")).groupBy(pool, "t").agg(F.count("*").alias("df"))
     df = df.groupBy(pool).agg(F.map_from_entries(F.collect_list(F.struct("t", "df"))).alias("_df"))  # the terms of one query
-    stats = r.groupBy(pool).agg(F.count("*").alias("_n"), F.avg("length").alias("_avg")).join(df, pool)
-    hit = lookup(r.where(F.size("hits") > 0), stats, [pool], F.col(doc), "inner")
+    stats = r.groupBy(pool).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg")).join(df, pool)
+    hit = lookup(r, stats, [pool], F.col(doc))
     count = lambda words, t: F.size(F.filter(words, lambda x: x == t))
 
     def gain(t: Column) -> Column:
         tf, n = count(F.col("hits"), t), F.col("_df")[t]
         idf = F.log1p((F.col("_n") - n + 0.5) / (n + 0.5))
-        return count(F.col("asked"), t) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("_avg")))
+        return count(F.col("asked"), t) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
 
-    return hit.select(pool, doc, F.aggregate(F.array_distinct("hits"), F.lit(0.0), lambda s, t: s + gain(t)).alias("bm25"))
+    return hit.select(pool, doc, *keep, F.when(F.size("hits") > 0, F.aggregate(F.array_distinct("hits"), F.lit(0.0), lambda s, t: s + gain(t))).alias("bm25"))
 
 
 def fused(scored: DataFrame, pool: list[str], doc: str, rrf_k: int = RRF_K) -> DataFrame:
@@ -146,19 +147,20 @@ def _pooled(spark, d: str) -> DataFrame:
 
 
 def _pool_scores(spark, d: str) -> DataFrame:
-    return pool_bm25(_pooled(spark, d), "canonical_id", "doc_id", text.tokens(_indexed("title", "canonical_id", "section", "text")), text.tokens(F.col("title")))
+    rows = _pooled(spark, d).withColumn("length", F.length("text"))
+    return pool_bm25(rows, "canonical_id", "doc_id", text.tokens(_indexed("title", "canonical_id", "section", "text")), text.tokens(F.col("title")), ["section", "length", "title", "rec_id"])
 
 
 def _fused(spark, d: str) -> DataFrame:
     """Each paper's passages ranked for its title: dense (embedding rows stand in by id), BM25, section and id boosts."""
     emb = table(spark, d, "embeddings")
     n = emb.agg(F.count("*").alias("_n"))
-    base = _pooled(spark, d).crossJoin(F.broadcast(n))  # one row
+    base = _pool_scores(spark, d).crossJoin(F.broadcast(n))  # one row
     boost = text.section_boost(F.coalesce("section", F.lit("")), text.intent(F.col("title"))) + named_boost(F.col("canonical_id"), F.col("title"))
-    base = base.select("canonical_id", "doc_id", "section", F.length("text").alias("length"), boost.alias("boost"), (F.col("doc_id") % F.col("_n")).alias("_dv"), (F.col("rec_id") % F.col("_n")).alias("_qv"))
+    base = base.select("canonical_id", "doc_id", "section", "length", "bm25", boost.alias("boost"), (F.col("doc_id") % F.col("_n")).alias("_dv"), (F.col("rec_id") % F.col("_n")).alias("_qv"))
     dv = emb.select(F.col("vec_id").alias("_dv"), F.col("embedding").alias("_de"))
     qv = emb.select(F.col("vec_id").alias("_qv"), F.col("embedding").alias("_qe"))
-    base = base.join(dv, "_dv", "left").join(qv, "_qv", "left").join(_pool_scores(spark, d), ["canonical_id", "doc_id"], "left")
+    base = base.join(dv, "_dv", "left").join(qv, "_qv", "left")
     dense = F.round(F.coalesce(vectors.dot(F.col("_de"), F.col("_qe")), F.lit(0.0)), 9)
     scored = base.select("canonical_id", "doc_id", "section", "length", dense.alias("dense"), F.round(F.coalesce("bm25", F.lit(0.0)), 9).alias("bm25"), "boost")
     return fused(scored, ["canonical_id"], "doc_id")
@@ -201,11 +203,11 @@ def _q_hybrid(spark, d):
 
 
 def _q_bm25(spark, d):
-    return _pool_scores(spark, d).select("canonical_id", "doc_id", F.round("bm25", 6).alias("bm25"))
+    return _pool_scores(spark, d).where("bm25 is not null").select("canonical_id", "doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 def _q_fused(spark, d):
-    return _fused(spark, d).select("canonical_id", "doc_id", F.round("dense", 6).alias("dense"), F.round("bm25", 6).alias("bm25"), "dense_rank", "bm25_rank", F.round("rrf", 6).alias("rrf"), "rank")
+    return _fused(spark, d).select("canonical_id", "doc_id", "dense", "bm25", "dense_rank", "bm25_rank", "rrf", "rank")
 
 
 def _q_diverse(spark, d):
@@ -379,7 +381,7 @@ QUERIES = {
 }
 SQL = {
     "txt4_txt5_pool_bm25": f"WITH {_BM25} SELECT canonical_id, doc_id, round(bm25, 6) AS bm25 FROM bm",
-    "txt8_win1_win2_fusion": _FUSED + "SELECT canonical_id, doc_id, round(dense, 6) AS dense, round(bm25, 6) AS bm25, dense_rank, bm25_rank, round(rrf, 6) AS rrf, rank FROM f",
+    "txt8_win1_win2_fusion": _FUSED + "SELECT canonical_id, doc_id, dense, bm25, dense_rank, bm25_rank, rrf, rank FROM f",
     "ded6_diverse_passages": _FUSED + "SELECT canonical_id, doc_id, section, rank FROM (SELECT canonical_id, doc_id, coalesce(section, '') AS section, rank FROM f QUALIFY row_number() OVER (PARTITION BY canonical_id, coalesce(section, '') ORDER BY rank) = 1) QUALIFY row_number() OVER (PARTITION BY canonical_id ORDER BY rank) <= 3",
     "win5_context_packing": _FUSED + ", g AS (SELECT *, sum(length) OVER (PARTITION BY canonical_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS run FROM f) SELECT canonical_id, count(*) AS used, sum(length)::BIGINT AS chars FROM g WHERE run <= 3000 OR rank = 1 GROUP BY 1",
     "txt9_coverage": _FUSED + "SELECT canonical_id, doc_id, CASE WHEN dense < 0.55 THEN 'low' WHEN dense < 0.70 THEN 'partial' ELSE 'high' END AS coverage FROM f WHERE rank = 1",
