@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import scores, text
 from citeweave.functions.ids import doi_key
+from citeweave.functions.skew import running
 from citeweave.operators.components import connected_components
 from citeweave.operators.graph import catalog_nodes, key_sql, keyed
-from citeweave.session import table
+from citeweave.session import cut, table
+
+
+# Fixed values.
+OVERALL = {"impact": 0.30, "momentum": 0.25, "influence": 0.20, "recency": 0.15, "breadth": 0.05, "accessibility": 0.05}
 
 
 def yearly(edges: DataFrame) -> DataFrame:
@@ -32,16 +37,31 @@ def parsed_date(c: Column) -> Column:
 
 
 def impact(df: DataFrame) -> DataFrame:
-    """df (total, counts, months) with growth, acceleration, trajectory and the component scores."""
+    """df with growth, acceleration, trajectory, the six component scores and their weighted sum, overall.
+
+    df has total, counts (see yearly) and months, and fwci, percentile (of citations among its year, 0 to 1),
+    influence_ratio, influential, countries, institutions and is_open, each of which may be null and then adds nothing.
+    """
     n = F.size("counts")
     last, prev = F.element_at("counts", -1)["n"], F.when(n >= 2, F.try_element_at("counts", F.lit(-2))["n"])
     df = df.withColumns({"trajectory": scores.trajectory(F.col("counts"), F.col("total")), "velocity": F.round(F.col("total") / F.col("months"), 4)})
     df = df.withColumns({"growth": F.when(prev > 0, F.round(last / prev, 3)).when((prev == 0) & (last > 0), 99.0), "acceleration": F.when(prev.isNotNull(), last - prev)})
     cap = lambda c: F.least(c, F.lit(1.0))
+    some = lambda c: F.coalesce(c, F.lit(0.0))
+    up_to = lambda c, most: cap(F.col(c) / float(most))
+    logs = lambda c, most: cap(F.log1p(F.col(c).cast("double")) / math.log1p(most))
     push = F.when(F.col("trajectory") == "exploding", 0.15).when(F.col("trajectory") == "growing", 0.08).otherwise(0.0)
-    momentum = cap(F.col("velocity") / 5.0) * 0.4 + F.coalesce(cap(F.col("growth") / 3.0) * 0.35, F.lit(0.0)) + F.when(F.col("acceleration") > 0, cap(F.col("acceleration") / 30.0) * 0.25).otherwise(0.0) + push
-    out = df.withColumns({"impact": F.round(cap(F.log1p(F.col("total").cast("double")) / math.log1p(500)) * 0.35, 6), "momentum": F.round(cap(momentum), 6), "recency": F.round(F.greatest(F.lit(0.0), 1.0 - F.col("months") * 30.44 / (5 * 365)), 6)})
-    return out.withColumn("overall", F.round(0.30 * F.col("impact") + 0.25 * F.col("momentum") + 0.15 * F.col("recency"), 6))
+    gained = some(up_to("velocity", 5) * 0.4) + some(up_to("growth", 3) * 0.35) + F.when(F.col("acceleration") > 0, up_to("acceleration", 30) * 0.25).otherwise(0.0)
+    parts = {
+        "impact": some(up_to("fwci", 5) * 0.45) + some(logs("total", 500) * 0.35) + some(F.col("percentile") * 0.20),
+        "momentum": F.when(push > 0, cap(gained + push)).otherwise(gained),
+        "influence": some(up_to("influence_ratio", 0.3) * 0.6) + some(logs("influential", 50) * 0.4),
+        "recency": F.greatest(F.lit(0.0), 1.0 - F.col("months") * 30.44 / (5 * 365)),
+        "breadth": some(up_to("countries", 4) * 0.5) + some(up_to("institutions", 5) * 0.5),
+        "accessibility": F.coalesce(F.col("is_open"), F.lit(False)).cast("double"),
+    }
+    out = df.withColumns({k: F.round(cap(some(c)), 4) for k, c in parts.items()})
+    return out.withColumn("overall", F.round(sum((F.lit(w) * F.col(k) for k, w in OVERALL.items()), F.lit(1e-9)), 4))  # halves go up
 
 
 def title_sets(papers: DataFrame) -> DataFrame:
@@ -86,11 +106,28 @@ def _q_trajectories(spark, d):
 
 
 def _q_impact(spark, d):
+    """All components from the graph and the catalog.
+
+    fwci is citations over the mean of papers first cited in the same year, percentile the share of those with fewer;
+    a citation is influential if its citer is cited at least three times; catalog sources and reference sources stand
+    for countries and institutions; papers with an arXiv key are open.
+    """
     e = table(spark, d, "edges")
+    k = keyed(e.select("citer_id", "cited_id", "fetch_date"), "citer_id", "cited_id").where("cited_id is not null")
     y = yearly(e)
-    first = keyed(e.select("cited_id", "fetch_date"), "cited_id").where("cited_id is not null").groupBy("cited_id").agg(F.min("fetch_date").alias("first"))
-    df = y.join(first, "cited_id").withColumn("months", months_between(F.col("first"), F.lit("2026-07-01 00:00:00").cast("timestamp")))
-    return impact(df).select("cited_id", "total", "trajectory", *(F.round(c, 4).alias(c) for c in ("impact", "momentum", "recency", "overall")))
+    first = k.groupBy("cited_id").agg(F.min("fetch_date").alias("first")).where("first is not null")
+    df = cut(y.join(first, "cited_id").withColumns({"months": months_between(F.col("first"), F.lit("2026-07-01 00:00:00").cast("timestamp")), "cohort": F.year("first")}))
+    counts = df.groupBy("cohort", "total").agg(F.count("*").alias("c"))
+    below = running(counts, ["cohort"], [F.col("total")], F.col("c"), "below")
+    size = df.groupBy("cohort").agg(F.count("*").alias("papers"), F.avg("total").alias("mean"))
+    place = below.join(size, "cohort").select("cohort", "total", (F.col("below") / F.col("papers")).alias("percentile"), (F.col("total") / F.col("mean")).alias("fwci"))
+    known = k.groupBy(F.col("cited_id").alias("citer_id")).agg(F.count("*").alias("n")).where("n >= 3").select("citer_id")
+    infl = k.where("citer_id is not null").join(known, "citer_id").groupBy("cited_id").agg(F.count("*").alias("influential"))
+    src = keyed(table(spark, d, "papers").select("canonical_id", F.lower(F.trim("source")).alias("s")), "canonical_id").groupBy(F.col("canonical_id").alias("cited_id")).agg(F.count_distinct("s").alias("countries"))
+    api = keyed(table(spark, d, "ref_edges").select("ref_id", "source_api"), "ref_id").groupBy(F.col("ref_id").alias("cited_id")).agg(F.count_distinct("source_api").alias("institutions"))
+    df = df.join(place, ["cohort", "total"]).join(infl, "cited_id", "left").join(src, "cited_id", "left").join(api, "cited_id", "left")
+    df = df.withColumns({"influence_ratio": F.col("influential") / F.col("total"), "is_open": F.col("cited_id").startswith("arxiv:")})
+    return impact(df).select("cited_id", "total", "trajectory", *OVERALL, "overall")
 
 
 def _q_enriched(spark, d):
@@ -150,6 +187,16 @@ QUERIES = {
 }
 SQL = {
     "win7_trajectories": f"WITH {_Y} SELECT cited_id, total, {_TRAJ} AS trajectory FROM z",
+    "sig9_impact": f"""WITH {_Y}, k AS (SELECT {key_sql('citer_id')} AS citer, {key_sql('cited_id')} AS cited_id, fetch_date FROM edges), f AS (SELECT cited_id, min(fetch_date) AS first FROM k WHERE cited_id IS NOT NULL GROUP BY 1 HAVING first IS NOT NULL),
+b AS (SELECT z.*, {_TRAJ} AS trajectory, year(first) AS cohort, greatest(abs(epoch_us(TIMESTAMP '2026-07-01') - epoch_us(first)) / 86400e6::DOUBLE / 30.44::DOUBLE, 0.25::DOUBLE) AS months FROM z JOIN f USING (cited_id)),
+c AS (SELECT *, total / avg(total) OVER (PARTITION BY cohort) AS fwci, (rank() OVER (PARTITION BY cohort ORDER BY total) - 1) / (count(*) OVER (PARTITION BY cohort))::DOUBLE AS pct FROM b),
+i AS (SELECT cited_id, count(*) AS infl FROM k WHERE cited_id IS NOT NULL AND citer IN (SELECT cited_id FROM k WHERE cited_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 3) GROUP BY 1), s AS (SELECT {key_sql('canonical_id')} AS cited_id, count(DISTINCT lower(trim(source))) AS co FROM papers GROUP BY 1), a AS (SELECT {key_sql('ref_id')} AS cited_id, count(DISTINCT source_api) AS ins FROM ref_edges GROUP BY 1),
+g AS (SELECT *, round(total / months, 4) AS vel, CASE WHEN pr > 0 THEN round(la / pr::DOUBLE, 3) WHEN pr = 0 AND la > 0 THEN 99 END AS gr, la - pr AS ac FROM c LEFT JOIN i USING (cited_id) LEFT JOIN s USING (cited_id) LEFT JOIN a USING (cited_id)),
+m AS (SELECT *, coalesce(least(vel / 5, 1) * 0.4::DOUBLE, 0) + coalesce(least(gr / 3, 1) * 0.35::DOUBLE, 0) + CASE WHEN ac > 0 THEN least(ac / 30::DOUBLE, 1) * 0.25::DOUBLE ELSE 0 END AS mo FROM g),
+p AS (SELECT cited_id, total, trajectory, round(least(1, least(fwci / 5, 1) * 0.45::DOUBLE + least(1, ln(1 + total::DOUBLE) / ln(501)) * 0.35::DOUBLE + pct * 0.2::DOUBLE), 4) AS impact, round(least(1, mo + CASE trajectory WHEN 'exploding' THEN 0.15::DOUBLE WHEN 'growing' THEN 0.08::DOUBLE ELSE 0 END), 4) AS momentum,
+round(coalesce(least(1, infl / total::DOUBLE / 0.3::DOUBLE) * 0.6::DOUBLE, 0) + coalesce(least(1, ln(1 + infl::DOUBLE) / ln(51)) * 0.4::DOUBLE, 0), 4) AS influence, round(greatest(0, 1 - months * 30.44::DOUBLE / (5 * 365)), 4) AS recency,
+round(coalesce(least(1, co / 4::DOUBLE) * 0.5::DOUBLE, 0) + coalesce(least(1, ins / 5::DOUBLE) * 0.5::DOUBLE, 0), 4) AS breadth, starts_with(cited_id, 'arxiv:')::INT::DOUBLE AS accessibility FROM m)
+SELECT *, round(0.3::DOUBLE * impact + 0.25::DOUBLE * momentum + 0.2::DOUBLE * influence + 0.15::DOUBLE * recency + 0.05::DOUBLE * breadth + 0.05::DOUBLE * accessibility + 1e-9::DOUBLE, 4) AS overall FROM p""",
     "jn6_enriched": f"WITH {_N}, c AS (SELECT {key_sql('cited_id')} AS k, count(*) AS seen FROM edges GROUP BY 1), s AS (SELECT {key_sql('canonical_id')} AS k, max(status) AS status, max(n_refs) AS n_refs FROM fetch_status GROUP BY 1) SELECT canonical_id, greatest(citation_count, seen)::BIGINT AS citations, status, n_refs FROM n LEFT JOIN c ON c.k = canonical_id LEFT JOIN s ON s.k = canonical_id",
     "jn7_key_cascade": f"WITH {_N}, k AS (SELECT arxiv_id, 'arxiv:' || arxiv_id AS key, 0 AS tier FROM fetch_status UNION ALL SELECT arxiv_id, {key_sql('canonical_id')}, 1 FROM fetch_status) SELECT arxiv_id, citation_count, year, tier::BIGINT AS tier FROM k JOIN n ON n.canonical_id = k.key QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY tier) = 1",
     "jn16_similar_titles": f"WITH s AS (SELECT w, min(rec_id) AS id FROM (SELECT rec_id, {_W} AS w FROM papers) WHERE len(w) > 0 GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w))::DOUBLE AS o FROM s a JOIN s b ON a.id < b.id AND least(len(a.w), len(b.w)) >= 0.92 * greatest(len(a.w), len(b.w)) - 1e-9) SELECT a, b, round(o, 6) AS overlap FROM p WHERE o >= 0.92 - 1e-9",

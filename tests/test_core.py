@@ -10,9 +10,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from citeweave import session
 from citeweave.functions import scores, skew, text, vectors
 from citeweave.functions.ids import arxiv_id, doi_key, key_text, split_key
-from citeweave.operators import catalog, evaluation, geometry, graph, impact, orphans, passages, ranking, retrieval, telemetry
+from citeweave.operators import catalog, dense, evaluation, geometry, graph, impact, orphans, passages, ranking, retrieval, telemetry
 from citeweave.operators.components import connected_components
 from citeweave.plans import pipelines
 from citeweave.sources import records
@@ -229,13 +230,124 @@ def test_passages(spark):
     body = "# A title of the paper\n\n" + " ".join(f"Sentence number {i} is here." for i in range(200)) + "\n## References\n" + "x" * 5000
     df = spark.createDataFrame([(1, body), (2, None), (3, ""), (4, "short")], "doc long, t string")
     got = passages.passages(df, "doc", "t").orderBy("ordinal").collect()
-    assert {r["doc"] for r in got} == {1} and all(r["end"] - r["start"] <= 1000 for r in got)
+    assert {r["doc"] for r in got} == {1, 4} and all(r["end"] - r["start"] <= 1000 for r in got)
     assert sum(len(r["text"]) for r in got if r["section"] == "References") <= 1500 + 180 * 2
+    got = [r for r in got if r["doc"] == 1]
     assert all(r["text"].endswith(".") for r in got if r["section"] == "A title of the paper")
     assert len({r["passage_id"] for r in got}) == len(got)
     assert df.where("doc = 1").select(passages.title_of(F.col("t"))).first()[0] == "A title of the paper"
 
 
+def test_windows_contract():
+    assert passages.windows("short section") == [(0, 13)] and passages.windows("") == [] and passages.windows("  \n ") == []
+    body = "a" * 500 + ". " + "b" * 700
+    assert passages.windows(body, 1000, 180) == [(0, 502), (322, 1202)]  # a break that begins exactly in the middle is taken
+    assert passages.windows("a" * 498 + ". " + "b" * 700, 1000, 180) == [(0, 1000), (820, 1200)]
+    assert passages.windows("x" * 600 + " " + "y" * 300 + "\n\n" + "z" * 300, 1000, 100)[0] == (0, 903)  # paragraphs before blanks
+    for seed in range(40):
+        rng = random.Random(seed)
+        body = "".join(rng.choice(["word", " ", ". ", "; ", "\n", "\n\n", "x" * 30]) for _ in range(rng.randint(1, 400)))
+        got, last = passages.windows(body, 200, 40, 1), 0
+        for a, z in got:
+            assert a <= last and z - a <= 200 and a < z
+            last = z
+        assert not got or body[last:].strip() == ""
+
+
+def test_tail_sections_are_cut(spark):
+    md = "# T\n\n" + "\n".join(f"## {h}\n" + "w " * 2000 for h in ("7 References", "Acknowledgments", "Annotated Bibliography", "Results"))
+    got = passages.passages(spark.createDataFrame([(1, md)], "doc long, t string"), "doc", "t")
+    most = {r["section"]: r["m"] for r in got.groupBy("section").agg(F.max("end").alias("m")).collect()}
+    assert most["7 References"] <= 1500 and most["Acknowledgments"] <= 1500 and most["Annotated Bibliography"] <= 1500 and most["Results"] > 3000
+
+
+def test_top_similar_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((300, 6)).round(1)
+    labels = [rng.choice(["a", "b"]) if i % 11 else None for i in range(300)]
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], str(labels[i]) if labels[i] else None, [0] if i % 2 else [0, 1]) for i in range(300)] + [(900, None, "a", [0, 1]), (901, [1.0], "a", [0, 1])], "vec_id long, embedding array<double>, label string, member array<int>").withColumn("rank", F.lit("x")).repartition(5)
+    asked = rows.where("vec_id % 7 = 0 and vec_id < 300")
+
+    def brute(ok, least=None):
+        out = set()
+        for q in range(0, 300, 7):
+            s = [(-max(round(float(x[q] @ x[i]), 9), -1e9 if least is None else least), i) for i in range(300) if i != q and ok(q, i)]
+            out |= {(q, i, r) for r, (_, i) in enumerate(sorted(s)[:4], 1)}
+        return out
+
+    for limit in (64_000_000, 6 * 8 * 10):
+        monkeypatch.setattr(dense, "QUERY_BYTES", limit)
+        monkeypatch.setattr(dense, "ROW_BLOCK", 100)
+        got = lambda df: {(r["q"], r["vec_id"], r["rank"]) for r in df.collect()}
+        assert got(dense.top_similar(rows, asked, 4)) == brute(lambda q, i: True)
+        assert got(dense.top_similar(rows, asked, 4, same="label", least=0.0)) == brute(lambda q, i: labels[q] is not None and labels[q] == labels[i], 0.0)
+        both = dense.top_similar(rows, asked, 4, dims=(0, 0), member="member")
+        assert got(both.where("variant = 1")) == brute(lambda q, i: i % 2 == 0)
+    assert dense.top_similar(rows, asked.limit(0), 4).count() == 0 and dense.top_similar(rows.limit(0), asked, 4).count() == 0
+
+
+def test_running_and_row_numbers(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 50), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(6)
+    want, seen = {}, {}
+    for g, v, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[i] = seen.get(g, 0)
+        seen[g] = want[i] + v
+    assert {r["i"]: r["s"] for r in skew.running(df, ["g"], [F.col("v"), F.col("i")], F.col("v"), "s").collect()} == want
+    plain = {r["i"]: r["n"] for r in skew.row_numbers(df.where("g is not null"), ["g"], [F.desc("v"), F.col("i")], "n", []).collect()}
+    assert {r["i"]: r["n"] for r in skew.row_numbers(df.where("g is not null"), ["g"], [F.desc("v"), F.col("i")], "n", [("a",)]).collect()} == plain
+    assert skew.running(df.limit(0), ["g"], [F.col("v"), F.col("i")], F.col("v"), "s").count() == 0
+
+
+def test_groundedness(spark):
+    a = spark.createDataFrame([(1, "The model uses graph attention layers [1]. It was trained on nothing known [2]. And this one has no tag."), (2, None), (3, "I cannot answer that question at all."), (4, "It cites a missing source here [9].")], "qa_id long, answer string")
+    src = spark.createDataFrame([(1, 1, "graph attention layers in a model"), (1, 2, "cooking recipes")], "qa_id long, number int, text string")
+    got = {r["qa_id"]: tuple(r)[1:] for r in evaluation.grounded(a, src, "qa_id", "answer", "number", "text").collect()}
+    assert got[1] == (3, 2, 1, 0.5, 0.5) and got[2] == (0, 0, 0, 0.0, 0.0) and got[3][3:] == (1.0, 1.0) and got[4] == (1, 1, 0, 0.0, 0.0)
+
+
+def test_bootstrap_does_not_depend_on_layout(spark):
+    v = spark.range(300).select("id", ((F.col("id") % 7) - 2).cast("double").alias("v"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("g"))
+    one, two = (sorted(map(tuple, evaluation.bootstrap_mean(v.repartition(n), ["g"], "id", "v").collect())) for n in (1, 7))
+    assert one == two and all(0 <= r[-1] <= 0.1 for r in one)
+    assert evaluation.bootstrap_mean(v.limit(0), ["g"], "id", "v").count() == 0
+
+
+def test_centring(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((30, 5)) + 3
+    df = spark.createDataFrame([(f"p{i}", [float(z) for z in v]) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "id string, vec array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = u - u.mean(0)
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    got = {r["id"]: r["vec"] for r in geometry.centred(df).collect()}
+    assert all(np.allclose(got[f"p{i}"], want[i]) for i in range(30))
+    assert geometry.centred(df.limit(5)).count() == 5 and geometry.centred(df.limit(0)).count() == 0
+
+
+def test_upserted_vectors(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    schema = "k string, v array<double>, at timestamp"
+    old = spark.createDataFrame([("a", [1.0, 0.0], t(1)), ("b", [1.0, 0.0], t(5)), ("c", [1.0], t(1)), ("d", None, t(1))], schema)
+    new = spark.createDataFrame([("a", [2.0, 0.0], t(1)), ("b", [2.0, 0.0], t(2)), ("e", [1.0, 1.0, 1.0], t(9)), ("f", [3.0, 0.0], None)], schema)
+    assert {r["k"]: r["v"][0] for r in records.upserted(old, new, ["k"], "v", "at").collect()} == {"a": 2.0, "b": 1.0, "f": 3.0}
+    assert records.upserted(old.limit(0), new, ["k"], "v", "at").count() == 0
+
+
+def test_no_shared_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        session.checkpoint_folder(Session())
+
+
 PAGE = """<html><nav>menu</nav><h1>A Paper</h1><section id="S1"><h2>Intro</h2><p>{w} <math alttext="x^2"></math></p></section>
 <section id="S2"><h2>Method</h2><h6>Theorem 1.</h6><p>{w} <math display="block" alttext="y"></math></p></section><footer>end</footer>
 <li class="ltx_bibitem"><a href="https://arxiv.org/abs/2101.00001">J. Doe. A long title, 2021.</a></li><li class="ltx_bibitem">R. Roe &amp; co. Another title 1999 <a href="https://doi.org/10.1000/XY">x</a></li><li class="ltx_bibitem">tiny</li></html>"""
