@@ -148,6 +148,33 @@ def test_bitmaps_bound_the_difference(seed):
     assert (bits[0] ^ bits[1]).sum() <= len(np.setxor1d(a, b))
 
 
+def test_long_bags_are_folded(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(40):
+        base = [rng.choice(vocab) for _ in range(rng.choice([40, 90, 150, 400, 900]))]
+        rows.append((2 * i, "t", " ".join(base)))
+        cut = len(base) // rng.choice([5, 6, 12])
+        rows.append((2 * i + 1, "t", " ".join(base[cut:] if i % 2 else base + [rng.choice(vocab) for _ in range(cut)])))
+    df = spark.createDataFrame(rows, "rec_id long, title string, abstract string")
+    want = brute_pairs(rows)
+    assert {(r["rec_a"], r["rec_b"]) for r in similar.similar_pairs(df, "rec_id", "title", "abstract").collect()} == want and len(want) > 20
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6))
+def test_folded_bitmaps_bound_the_difference(seed):
+    rng = np.random.default_rng(seed)
+    a, b = (np.unique(rng.integers(-(2**62), 2**62, rng.integers(1, 600))) for _ in range(2))
+    b = np.union1d(b, rng.choice(a, len(a) // 2, replace=False))
+    x, y = (similar.Block(np.array([1]).tobytes(), np.array([len(e)]).tobytes(), similar.bitmap(e).tobytes()) for e in (a, b))
+    for w in (2, 4, 8):
+        if w <= min(x.n_words[0], y.n_words[0]):
+            differ = np.bitwise_count(x.folded(slice(0, 1), w) ^ y.folded(slice(0, 1), w)).sum()
+            assert differ <= len(np.setxor1d(a, b))
+
+
 # ---- neighbours
 
 
@@ -305,9 +332,47 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), t).count() == 0 and mixing.mix(df, t.limit(0)).count() == 0
 
 
+def test_mix_is_within_a_document(spark):
+    rng = random.Random(9)
+    docs = [(i, rng.choice("abc"), rng.choice([3, 50, 700])) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, tokens long")
+    t = spark.createDataFrame([("m", "a", 0.7, 1), ("m", "b", 0.2, 1), ("m", "c", 0.1, 2)], "mix string, source string, target_weight double, max_repeats int")
+    tokens = Counter()
+    for r in mixing.mix(df, t).collect():
+        tokens[r["source"]] += r["tokens"]
+    have = Counter()
+    for _, s, n in docs:
+        have[s] += n
+    total = min(have["a"] / 0.7, have["b"] / 0.2, 2 * have["c"] / 0.1)
+    assert all(abs(tokens[s] - w * total) < 700 for s, w in (("a", 0.7), ("b", 0.2), ("c", 0.1)))
+
+
+def test_common_length_is_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 10)
+    df = spark.createDataFrame([(i, 50 if i % 3 else 7) for i in range(300)], "doc_id long, tokens long")
+    got = packing.pack(df, spark.createDataFrame([("s", 50)], "container string, capacity_tokens int")).collect()
+    load = Counter()
+    for r in got:
+        load[r["bin"]] += r["tokens"]
+    assert len(got) == 300 and max(load.values()) <= 50 and len(load) == 200 + -(-100 // 7)
+
+
 # ---- stuffing
 
 
+def test_encoding_matches_segments(spark):
+    texts = ["The model was trained on the data. See https://a.example/x and #Tag.\nbuy cheap cheap pills", "", None, "<p>One more sentence about the method of the paper.</p>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    for r in stuffing.read(df, "doc_id", "text").collect():
+        want = list(stuffing.segments(texts[r["doc_id"]] or ""))
+        assert r["lens"] == [len(i) for i, _, _ in want] and r["chars"] == [n for _, n, _ in want] and r["ids"] == [x for i, _, _ in want for x in i]
+    ids, lens = np.array([5, 6, 7]), np.array([2, 1])
+    s, e, v = stuffing.START, stuffing.END, stuffing.V
+    key = lambda a, b, c: (a * v + b) * v + c
+    assert list(stuffing.trigrams(ids, lens)) == [key(s, s, 5), key(s, 5, 6), key(5, 6, e), key(s, s, 7), key(s, 7, e)]
+
+
+
 def test_page_shares(spark):
     prose = ["The model was trained on the data for a week. We show that the results are good for most of the cases. In this section, we discuss how the method works.", "This paper studies how the papers of a field cite each other. The graph was built from the lists of references, and we find that it is sparse."]
     spam = ["buy cheap pills, best cheap pills, online cheap pills, cheap pills sale, cheap pills offer, pills cheap online, buy pills", "\n".join(f"https://a{i}.example/x/{i}" for i in range(20)), " ".join(f"#Tag{i}Word" for i in range(30)), "cheap pills CHEAP PILLS cheap pills best cheap pills cheap pills CHEAP PILLS cheap pills"]
@@ -328,10 +393,32 @@ def test_model_is_a_distribution():
 # ---- queries
 
 
+want_unique = {"p2_found", "p3_found", "p4_found", "p5_found", "p6_packing", "p7_mix", "p8_found"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_gives_the_same(spark, data, name):
+    import duckdb
+
+    from tests.test_oracle import plain
+
+    c = duckdb.connect()
+    for t in ("papers", "source_trust"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, data)
+    cols = sorted(df.columns)
+    got = sorted(([plain(r[x]) for x in cols] for r in df.collect()), key=repr)
+    cur = c.execute(queries.SQL[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == cols
+    assert got == sorted(([plain(r[names.index(x)]) for x in cols] for r in cur.fetchall()), key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, data, name):
     df = queries.QUERIES[name](spark, data)
-    assert df.count() >= 0
+    rows = df.collect()
+    assert rows and (len(set(map(tuple, rows))) == len(rows) or name not in want_unique)
     want = {"p2_found": ["qa_id", "defect"], "p3_found": ["group_id", "field", "rec_id"], "p4_found": ["rec_a", "rec_b"], "p5_found": ["model", "id_a", "id_b"], "p8_found": ["doc_id"]}
     assert df.columns == want.get(name, df.columns)
 
