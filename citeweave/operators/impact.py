@@ -20,10 +20,14 @@ OVERALL = {"impact": 0.30, "momentum": 0.25, "influence": 0.20, "recency": 0.15,
 
 
 def yearly(edges: DataFrame) -> DataFrame:
-    """(cited_id, total, counts): citations of each paper by year of fetch_date, as array<struct<year, n>>."""
-    e = keyed(edges.select("cited_id", "fetch_date"), "cited_id").where("cited_id is not null and fetch_date is not null")
-    by = e.groupBy("cited_id", F.year("fetch_date").alias("year")).agg(F.count("*").alias("n"))
-    return by.groupBy("cited_id").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("year", "n"))).alias("counts"))
+    """(cited_id, total, first, counts): citations of each paper by year of fetch_date, as array<struct<year, n>>, and the earliest."""
+    return yearly_of(keyed(edges.select("cited_id", "fetch_date"), "cited_id"))
+
+
+def yearly_of(cites: DataFrame) -> DataFrame:
+    """yearly for citations whose keys are spelled in one way already."""
+    by = cites.where("cited_id is not null and fetch_date is not null").groupBy("cited_id", F.year("fetch_date").alias("year")).agg(F.count("*").alias("n"), F.min("fetch_date").alias("first"))
+    return by.groupBy("cited_id").agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.array_sort(F.collect_list(F.struct("year", "n"))).alias("counts"))
 
 
 def months_between(a: Column, b: Column) -> Column:
@@ -113,10 +117,8 @@ def _q_impact(spark, d):
     for countries and institutions; papers with an arXiv key are open.
     """
     e = table(spark, d, "edges")
-    k = keyed(e.select("citer_id", "cited_id", "fetch_date"), "citer_id", "cited_id").where("cited_id is not null")
-    y = yearly(e)
-    first = k.groupBy("cited_id").agg(F.min("fetch_date").alias("first")).where("first is not null")
-    df = cut(y.join(first, "cited_id").withColumns({"months": months_between(F.col("first"), F.lit("2026-07-01 00:00:00").cast("timestamp")), "cohort": F.year("first")}))
+    k = cut(keyed(e.select("citer_id", "cited_id", "fetch_date"), "citer_id", "cited_id").where("cited_id is not null"))
+    df = cut(yearly_of(k).withColumns({"months": months_between(F.col("first"), F.lit("2026-07-01 00:00:00").cast("timestamp")), "cohort": F.year("first")}))
     counts = df.groupBy("cohort", "total").agg(F.count("*").alias("c"))
     below = running(counts, ["cohort"], [F.col("total")], F.col("c"), "below")
     size = df.groupBy("cohort").agg(F.count("*").alias("papers"), F.avg("total").alias("mean"))
