@@ -49,7 +49,7 @@ def impact(df: DataFrame) -> DataFrame:
     n = F.size("counts")
     last, prev = F.element_at("counts", -1)["n"], F.when(n >= 2, F.try_element_at("counts", F.lit(-2))["n"])
     df = df.withColumns({"trajectory": scores.trajectory(F.col("counts"), F.col("total")), "velocity": F.round(F.col("total") / F.col("months"), 4)})
-    df = df.withColumns({"growth": F.when(prev > 0, F.round(last / prev, 3)).when((prev == 0) & (last > 0), 99.0), "acceleration": F.when(prev.isNotNull(), last - prev)})
+    df = df.withColumns({"growth": F.when(prev > 0, F.round(last / prev + 1e-9, 3)).when((prev == 0) & (last > 0), 99.0), "acceleration": F.when(prev.isNotNull(), last - prev)})
     cap = lambda c: F.least(c, F.lit(1.0))
     some = lambda c: F.coalesce(c, F.lit(0.0))
     up_to = lambda c, most: cap(F.col(c) / float(most))
@@ -64,7 +64,7 @@ def impact(df: DataFrame) -> DataFrame:
         "breadth": some(up_to("countries", 4) * 0.5) + some(up_to("institutions", 5) * 0.5),
         "accessibility": F.coalesce(F.col("is_open"), F.lit(False)).cast("double"),
     }
-    out = df.withColumns({k: F.round(cap(some(c)), 4) for k, c in parts.items()})
+    out = df.withColumns({k: F.round(cap(some(c)) + 1e-9, 4) for k, c in parts.items()})
     return out.withColumn("overall", F.round(sum((F.lit(w) * F.col(k) for k, w in OVERALL.items()), F.lit(1e-9)), 4))  # halves go up
 
 
@@ -193,11 +193,11 @@ SQL = {
 b AS (SELECT z.*, {_TRAJ} AS trajectory, year(first) AS cohort, greatest(abs(epoch_us(TIMESTAMP '2026-07-01') - epoch_us(first)) / 86400e6::DOUBLE / 30.44::DOUBLE, 0.25::DOUBLE) AS months FROM z JOIN f USING (cited_id)),
 c AS (SELECT *, total / avg(total) OVER (PARTITION BY cohort) AS fwci, (rank() OVER (PARTITION BY cohort ORDER BY total) - 1) / (count(*) OVER (PARTITION BY cohort))::DOUBLE AS pct FROM b),
 i AS (SELECT cited_id, count(*) AS infl FROM k WHERE cited_id IS NOT NULL AND citer IN (SELECT cited_id FROM k WHERE cited_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 3) GROUP BY 1), s AS (SELECT {key_sql('canonical_id')} AS cited_id, count(DISTINCT lower(trim(source))) AS co FROM papers GROUP BY 1), a AS (SELECT {key_sql('ref_id')} AS cited_id, count(DISTINCT source_api) AS ins FROM ref_edges GROUP BY 1),
-g AS (SELECT *, round(total / months, 4) AS vel, CASE WHEN pr > 0 THEN round(la / pr::DOUBLE, 3) WHEN pr = 0 AND la > 0 THEN 99 END AS gr, la - pr AS ac FROM c LEFT JOIN i USING (cited_id) LEFT JOIN s USING (cited_id) LEFT JOIN a USING (cited_id)),
+g AS (SELECT *, round(total / months, 4) AS vel, CASE WHEN pr > 0 THEN round(la / pr::DOUBLE + 1e-9::DOUBLE, 3) WHEN pr = 0 AND la > 0 THEN 99 END AS gr, la - pr AS ac FROM c LEFT JOIN i USING (cited_id) LEFT JOIN s USING (cited_id) LEFT JOIN a USING (cited_id)),
 m AS (SELECT *, coalesce(least(vel / 5, 1) * 0.4::DOUBLE, 0) + coalesce(least(gr / 3, 1) * 0.35::DOUBLE, 0) + CASE WHEN ac > 0 THEN least(ac / 30::DOUBLE, 1) * 0.25::DOUBLE ELSE 0 END AS mo FROM g),
-p AS (SELECT cited_id, total, trajectory, round(least(1, least(fwci / 5, 1) * 0.45::DOUBLE + least(1, ln(1 + total::DOUBLE) / ln(501)) * 0.35::DOUBLE + pct * 0.2::DOUBLE), 4) AS impact, round(least(1, mo + CASE trajectory WHEN 'exploding' THEN 0.15::DOUBLE WHEN 'growing' THEN 0.08::DOUBLE ELSE 0 END), 4) AS momentum,
-round(coalesce(least(1, infl / total::DOUBLE / 0.3::DOUBLE) * 0.6::DOUBLE, 0) + coalesce(least(1, ln(1 + infl::DOUBLE) / ln(51)) * 0.4::DOUBLE, 0), 4) AS influence, round(greatest(0, 1 - months * 30.44::DOUBLE / (5 * 365)), 4) AS recency,
-round(coalesce(least(1, co / 4::DOUBLE) * 0.5::DOUBLE, 0) + coalesce(least(1, ins / 5::DOUBLE) * 0.5::DOUBLE, 0), 4) AS breadth, starts_with(cited_id, 'arxiv:')::INT::DOUBLE AS accessibility FROM m)
+p AS (SELECT cited_id, total, trajectory, round(least(1, least(fwci / 5, 1) * 0.45::DOUBLE + least(1, ln(1 + total::DOUBLE) / ln(501)) * 0.35::DOUBLE + pct * 0.2::DOUBLE) + 1e-9::DOUBLE, 4) AS impact, round(least(1, mo + CASE trajectory WHEN 'exploding' THEN 0.15::DOUBLE WHEN 'growing' THEN 0.08::DOUBLE ELSE 0 END) + 1e-9::DOUBLE, 4) AS momentum,
+round(coalesce(least(1, infl / total::DOUBLE / 0.3::DOUBLE) * 0.6::DOUBLE, 0) + coalesce(least(1, ln(1 + infl::DOUBLE) / ln(51)) * 0.4::DOUBLE, 0) + 1e-9::DOUBLE, 4) AS influence, round(greatest(0, 1 - months * 30.44::DOUBLE / (5 * 365)) + 1e-9::DOUBLE, 4) AS recency,
+round(coalesce(least(1, co / 4::DOUBLE) * 0.5::DOUBLE, 0) + coalesce(least(1, ins / 5::DOUBLE) * 0.5::DOUBLE, 0) + 1e-9::DOUBLE, 4) AS breadth, starts_with(cited_id, 'arxiv:')::INT::DOUBLE AS accessibility FROM m)
 SELECT *, round(0.3::DOUBLE * impact + 0.25::DOUBLE * momentum + 0.2::DOUBLE * influence + 0.15::DOUBLE * recency + 0.05::DOUBLE * breadth + 0.05::DOUBLE * accessibility + 1e-9::DOUBLE, 4) AS overall FROM p""",
     "jn6_enriched": f"WITH {_N}, c AS (SELECT {key_sql('cited_id')} AS k, count(*) AS seen FROM edges GROUP BY 1), s AS (SELECT {key_sql('canonical_id')} AS k, max(status) AS status, max(n_refs) AS n_refs FROM fetch_status GROUP BY 1) SELECT canonical_id, greatest(citation_count, seen)::BIGINT AS citations, status, n_refs FROM n LEFT JOIN c ON c.k = canonical_id LEFT JOIN s ON s.k = canonical_id",
     "jn7_key_cascade": f"WITH {_N}, k AS (SELECT arxiv_id, 'arxiv:' || arxiv_id AS key, 0 AS tier FROM fetch_status UNION ALL SELECT arxiv_id, {key_sql('canonical_id')}, 1 FROM fetch_status) SELECT arxiv_id, citation_count, year, tier::BIGINT AS tier FROM k JOIN n ON n.canonical_id = k.key QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY tier) = 1",
