@@ -321,6 +321,9 @@ SQL = {
     "flt7_year_range": "SELECT rec_id, year FROM papers WHERE year BETWEEN 2018 AND 2021",
     "flt11_valid_ids": r"SELECT rec_id, coalesce(regexp_full_match(arxiv_id, '\d{4}\.\d{4,5}|[a-z\-]+/\d{7}'), false) AS valid FROM papers",
     "flt14_sanitised": "SELECT rec_id, CASE WHEN isfinite(updated_at) THEN updated_at END AS updated_at FROM papers",
+    "jn3_jn4_lookup": "WITH k AS (SELECT arxiv_id, source, unnest([arxiv_id, 'doi:' || arxiv_id]) AS k FROM fetch_status), p AS (SELECT unnest([arxiv_id, 'doi:' || lower(doi)]) AS k, rec_id, year, source AS s FROM papers), l AS (SELECT * FROM p WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY rec_id DESC) = 1), j AS (SELECT arxiv_id, source, s, rec_id, year, row_number() OVER (PARTITION BY arxiv_id, source ORDER BY rec_id DESC NULLS LAST) AS rn FROM k LEFT JOIN l USING (k)) SELECT arxiv_id, coalesce(source, s) AS source, rec_id, year FROM j WHERE rn = 1",
+    "evl6_evaluation_row": f"WITH {evaluation._L}, {evaluation._RANKS}, o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY citation_count DESC, rec_id) AS r, row_number() OVER (PARTITION BY src ORDER BY rel DESC, citation_count DESC, rec_id) AS b FROM p), d AS (SELECT src, round(sum((pow(2, rel) - 1) / log2(r + 1)) FILTER (r <= 10) / sum((pow(2, rel) - 1) / log2(b + 1)) FILTER (b <= 10), 6) AS ndcg10, round(sum((pow(2, rel) - 1) / log2(r + 1)) FILTER (r <= 20) / sum((pow(2, rel) - 1) / log2(b + 1)) FILTER (b <= 20), 6) AS ndcg20 FROM o GROUP BY 1), h AS (SELECT src, count(*) AS n, CASE WHEN count(*) >= 2 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 6) END AS rho FROM k GROUP BY 1) SELECT src, n, rho, ndcg10, ndcg20 FROM h JOIN d USING (src)",
+    "top12_best_dim": f"SELECT dim FROM ({geometry.SQL['evl16_dimension_sweep']}) ORDER BY mrr DESC, dim LIMIT 1",
     "jn8_recent": "SELECT p.rec_id, p.arxiv_id, status, n_refs FROM (SELECT * FROM papers WHERE arxiv_id IS NOT NULL ORDER BY ingested_at DESC, rec_id DESC LIMIT 50) p LEFT JOIN fetch_status s ON s.arxiv_id = p.arxiv_id",
     "jn10_intersection": "SELECT p.arxiv_id AS id, max(citation_count) AS citations, any_value(s.n_refs) AS n_refs FROM papers p JOIN fetch_status s ON s.arxiv_id = p.arxiv_id WHERE citation_count > 0 AND s.n_refs >= 20 GROUP BY 1",
     "ups5_point_update": f"SELECT k AS canonical_id, CASE WHEN length(k) % 2 = 0 THEN 5000 ELSE max(citation_count) END AS citation_count FROM (SELECT {key_sql('canonical_id')} AS k, citation_count FROM papers) WHERE k IS NOT NULL GROUP BY 1",

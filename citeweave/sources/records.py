@@ -375,6 +375,7 @@ SQL = {
     "src7_feed": f"SELECT regexp_extract(trim(arxiv_id), '{_AX}', 1) AS arxiv_id, count(*) AS n, max(lpad(year::VARCHAR, 4, '0') || '-01-01') AS published FROM papers WHERE arxiv_id IS NOT NULL AND title IS NOT NULL GROUP BY 1",
     "src10_src13_nodes": f"SELECT coalesce('arxiv:' || nullif(regexp_extract(trim(arxiv_id), '{_AX}', 1), ''), 's2:' || s2_id, 'doi:' || lower(doi)) AS canonical_id, count(*) AS n, count(*) FILTER (trim(coalesce(abstract, '')) <> '') AS with_abstract, max(citation_count)::BIGINT AS citations FROM papers GROUP BY 1",
     "src11_works": r"SELECT 'openalex:W' || rec_id AS canonical_id, lower(doi) AS doi, year, citation_count::BIGINT AS citation_count, array_to_string(list_filter(regexp_split_to_array(trim(abstract), ' +'), lambda x: x <> ''), ' ') AS abstract, coalesce(lower(trim(source)), '') AS categories FROM papers WHERE abstract IS NOT NULL",
+    "src17_bibliography": f"WITH r AS (SELECT focal_id, trim(ref_id) AS t, translate(ref_id, '<>&;', '    ') AS raw, regexp_extract(trim(ref_id), '(?i)^(?:https?://(?:www\\.)?arxiv\\.org/(?:abs|pdf)/|arxiv: *)?(\\d{{4}}\\.\\d{{4,5}})(?:v\\d+)?(?:\\.pdf)?$', 1) AS ax FROM ref_edges WHERE trim(ref_id) <> ''), i AS (SELECT DISTINCT focal_id, CASE WHEN ax <> '' THEN 'arxiv:' || ax ELSE 'raw:' || trim(regexp_replace('J. Doe, a reference of 2021: ' || raw, '\\s+', ' ', 'g')) END AS id FROM r) SELECT focal_id, count(*) AS items, count(*) FILTER (starts_with(id, 'arxiv:')) AS arxiv, 2021 AS year FROM i GROUP BY 1",
     "src24_labels": "SELECT (1 + rec_id % 5)::DOUBLE AS score, count(*) AS n FROM papers GROUP BY 1",
     "src23_upserted_vectors": "WITH v AS (SELECT canonical_id, embedded_at, model, arg_min(vector, vec_id) AS vector FROM paper_vectors WHERE trim(canonical_id) <> '' GROUP BY 1, 2, 3), w AS (SELECT *, coalesce(model = 'mini-embed-64' AND embedded_at < TIMESTAMP '2025-01-01', false) AS old FROM v), z AS (SELECT len(vector) AS d FROM w WHERE old AND vector IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, d LIMIT 1) SELECT canonical_id, len(vector) AS dim, strftime(embedded_at, '%Y-%m-%d %H:%M:%S') AS at FROM w, z WHERE len(vector) = d QUALIFY row_number() OVER (PARTITION BY canonical_id ORDER BY embedded_at DESC NULLS LAST, old) = 1",
     "src25_to_ingest": f"SELECT canonical_id, max(coalesce(citation_count, 0)) AS citations FROM (SELECT {key_sql('canonical_id')} AS canonical_id, citation_count FROM papers) WHERE canonical_id IS NOT NULL AND canonical_id NOT IN (SELECT k FROM (SELECT {key_sql('canonical_id')} AS k FROM documents) WHERE k IS NOT NULL) GROUP BY 1 ORDER BY citations DESC, canonical_id LIMIT 80",
