@@ -109,7 +109,7 @@ def _q_trajectories(spark, d):
     return y.select("cited_id", "total", scores.trajectory(F.col("counts"), F.col("total")).alias("trajectory"))
 
 
-def _q_impact(spark, d):
+def all_components(spark, d: str) -> DataFrame:
     """All components from the graph and the catalog.
 
     fwci is citations over the mean of papers first cited in the same year, percentile the share of those with fewer;
@@ -179,7 +179,7 @@ _DK = r"(CASE WHEN regexp_matches(regexp_replace(lower(trim(doi)), '^doi:\s*', '
 _W = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')))"
 QUERIES = {
     "win7_trajectories": _q_trajectories,
-    "sig9_impact": _q_impact,
+    "sig9_impact": all_components,
     "jn6_enriched": _q_enriched,
     "jn7_key_cascade": _q_cascade,
     "jn16_similar_titles": _q_similar_titles,

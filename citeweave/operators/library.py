@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import scores, text, vectors
 from citeweave.functions.ids import arxiv_id
-from citeweave.operators import catalog, evaluation, geometry, retrieval
+from citeweave.operators import catalog, evaluation, geometry, impact, retrieval
 from citeweave.operators.dense import top_similar
 from citeweave.operators.graph import catalog_nodes, key_sql, keyed
 from citeweave.operators.impact import months_between, parsed_date
 from citeweave.plans import pipelines
-from citeweave.session import table
+from citeweave.session import cut, table
 
 
 def sanitised(df: DataFrame) -> DataFrame:
@@ -41,23 +42,49 @@ def budgeted(items: DataFrame, order: list[Column], cost_s: float, cost_mb: floa
     return items.orderBy(*order).limit(int(min(limit_s // cost_s, limit_mb // cost_mb, most)))
 
 
-def curated(papers: DataFrame, by: str, pool: int = 200, target: int = 20, threshold: float = 0.88) -> DataFrame:
-    """(by, rec_id, place): of each group's `pool` best papers, a greedy choice of `target` that skips near-equal titles; skipped ones fill up where too few are left."""
-    w = Window.partitionBy(by).orderBy(F.desc_nulls_last("citation_count"), F.desc_nulls_last("year"), "rec_id")
-    top = papers.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= pool).select(by, "rec_id", "_rn", text.plain_words(F.col("title")).alias("_w"))
+def curated(papers: DataFrame, by: str, order: list[Column], relevance: Column | None = None, pool: int = 200, target: int = 20, threshold: float = 0.88, strong: float = 0.25, enough: int = 40) -> DataFrame:
+    """(by, rec_id, place): of each group (text column `by`), `target` papers in order that skip titles near-equal to one taken; skipped ones fill up where too few are left.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_rn")
-        sets, chosen, skipped = [set(x) for x in g["_w"]], [], []
-        for i, s in enumerate(sets):
-            near = any(s and sets[j] and len(s & sets[j]) / max(len(s), len(sets[j])) >= threshold for j in chosen)
-            (skipped if near else chosen).append(i)
-            if len(chosen) == target:
+    order are numbers, the largest first, nulls as 0; ties go to the smaller rec_id. With relevance, groups with at least
+    max(enough, target / 2) papers of relevance `strong` choose among those alone. A round looks at the next `pool` papers
+    that are near no paper taken so far, and groups that are still short have another round, so every paper has its
+    turn; at most `target` rounds are needed. Null groups, and empty tables, give no rows; titles without words are near nothing.
+    """
+    rank = F.struct(*((-F.coalesce(c.cast("double"), F.lit(0.0))).alias(f"o{i}") for i, c in enumerate(order)), F.col("rec_id"))
+    fit = F.coalesce(relevance >= strong, F.lit(False)) if relevance is not None else F.lit(True)
+    p = cut(papers.where(F.col(by).isNotNull()).select(F.col(by).alias("g"), "rec_id", rank.alias("o"), text.plain_words(F.col("title")).alias("w"), fit.alias("fit")))
+    sizes = p.groupBy("g").agg(F.count("*").alias("rows"), F.count_if("fit").alias("fits"))
+    sizes = sizes.withColumn("only", F.col("fits") >= max(enough, target // 2)).select("g", "only", F.when(F.col("only"), F.col("fits")).otherwise(F.col("rows")).alias("rows"))
+    p = p.join(sizes, "g").where(~F.col("only") | F.col("fit")).select("g", "rec_id", "o", "w", "rows")
+
+    def take(g: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
+        g, sets = g.sort_values("rn"), [set(x) for x in taken["w"]]
+        some = []
+        for i, s in enumerate(map(set, g["w"])):
+            if len(sets) >= target:
                 break
-        chosen = sorted(chosen + skipped[: max(0, target - len(chosen))])
-        return pd.DataFrame({by: pd.Series(g[by].iloc[chosen].tolist(), dtype=object), "rec_id": g["rec_id"].iloc[chosen].to_numpy(), "place": range(1, len(chosen) + 1)})
-
-    return top.groupBy(by).applyInPandas(run, f"{by} string, rec_id long, place int")
+            if not any(s and t and len(s & t) / max(len(s), len(t)) >= threshold for t in sets):
+                sets.append(s)
+                some.append(i)
+        out = g.iloc[some][["g", "rec_id", "w"]].copy()
+        out["place"] = np.arange(len(taken) + 1, len(taken) + 1 + len(some), dtype=np.int32)
+        return out
+
+    first = lambda x, n: x.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o"))).where(F.col("rn") <= n)
+    schema = "g string, rec_id long, w array<string>, place int"
+    chosen, rest, seen = p.sparkSession.createDataFrame([], schema), p, pool
+    while True:
+        new = cut(first(rest, pool).select("g", "rec_id", "w", "rn").groupBy("g").cogroup(chosen.groupBy("g")).applyInPandas(take, schema))
+        chosen = cut(chosen.unionByName(new))
+        lists = chosen.groupBy("g").agg(F.count("*").alias("n"), F.collect_list("w").alias("ws"))  # at most `target` of a group
+        short = lists.join(new.select("g").distinct(), "g", "left_semi").where(F.col("n") < target)
+        if not short.join(sizes.where(F.col("rows") > seen), "g", "left_semi").head(1):
+            break
+        rest = p.join(short.select("g", "ws"), "g").where(~F.exists("ws", lambda t: text.overlap(F.col("w"), t) >= threshold)).join(chosen.select("g", "rec_id"), ["g", "rec_id"], "left_anti").drop("ws")
+        seen += pool
+    left = p.join(chosen.select("g", "rec_id"), ["g", "rec_id"], "left_anti").join(chosen.groupBy("g").agg(F.count("*").cast("int").alias("n")), "g").where(F.col("n") < target)
+    fill = first(left, target).where(F.col("rn") + F.col("n") <= target).select("g", "rec_id", (F.col("n") + F.col("rn")).cast("int").alias("place"))
+    return chosen.select("g", "rec_id", "place").unionByName(fill).withColumnRenamed("g", by)
 
 
 def prefix_hits(docs: DataFrame, title: str, queries: list[str]) -> DataFrame:
@@ -179,8 +206,13 @@ def _q_mismatch(spark, d):
 
 
 def _q_curated(spark, d):
-    p = _p(spark, d).where("arxiv_id is not null").withColumn("src", F.coalesce(F.lower(F.trim("source")), F.lit("none")))
-    return curated(p, "src")
+    """Curated lists per source: by relevance to the topics, an arXiv id, momentum and overall impact, citations and length of the abstract."""
+    score = impact.all_components(spark, d).select(F.col("cited_id").alias("canonical_id"), "momentum", "overall")
+    p = keyed(_p(spark, d).select("rec_id", "canonical_id", "arxiv_id", "title", "abstract", "citation_count", "source"), "canonical_id")
+    p = p.join(score, "canonical_id", "left").withColumn("src", F.coalesce(F.lower(F.trim("source")), F.lit("none")))
+    p = p.withColumn("relevance", text.topic_relevance(F.col("title"), F.col("abstract")))
+    order = [F.col("relevance"), F.col("arxiv_id").isNotNull().cast("int"), F.col("momentum"), F.col("overall"), F.col("citation_count"), F.length("abstract")]
+    return curated(p, "src", order, F.col("relevance"))
 
 
 def _q_best_dim(spark, d):

@@ -12,7 +12,7 @@ from citeweave.functions import text, vectors
 from citeweave.functions.skew import among, hot_keys, lookup, row_numbers
 from citeweave.operators.dense import top_similar
 from citeweave.operators.graph import key_sql, keyed
-from citeweave.session import cut, table
+from citeweave.session import cut, spread, table
 
 # Fixed values.
 NAMED = r"\b(\d{4}\.\d{4,5})(?:v\d+)?"
@@ -143,7 +143,7 @@ def named_boost(paper: Column, query: Column) -> Column:
 
 def _pooled(spark, d: str) -> DataFrame:
     """Each passage in the pool of its paper, whose title is the query."""
-    return lookup(_docs(spark, d), _titles(spark, d), ["canonical_id"], F.col("doc_id"), "inner")
+    return lookup(spread(_docs(spark, d), "doc_id"), _titles(spark, d), ["canonical_id"], F.col("doc_id"), "inner")
 
 
 def _pool_scores(spark, d: str) -> DataFrame:
@@ -232,7 +232,7 @@ def search(docs: DataFrame, queries: list[str], limit: int = 20, k1: float = 1.2
     Texts are cut into tokens once; what is kept of a document are its length and the tokens that a query asks for.
     """
     spark = docs.sparkSession
-    q = cut(spark.createDataFrame([(x,) for x in queries], "query string").select("query", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf")))
+    q = spark.range(1).select(F.explode(F.array(*map(F.lit, queries))).alias("query")).select("query", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
     terms = sorted({r["term"] for r in q.select("term").collect()})  # of the stated queries
     kept = docs.select("doc_id", text.tokens(F.col("text")).alias("_w"))
     kept = cut(kept.select("doc_id", F.size("_w").alias("length"), F.filter("_w", lambda x: x.isin(terms)).alias("hits")).where("length > 0"))
@@ -249,7 +249,7 @@ def search(docs: DataFrame, queries: list[str], limit: int = 20, k1: float = 1.2
 
 
 def _q_search(spark, d):
-    return search(table(spark, d, "documents").where("trim(text) != ''"), SEARCHES).select("query", "doc_id", "rank", F.round("bm25", 6).alias("bm25"))
+    return search(spread(table(spark, d, "documents").select("doc_id", "text").where("trim(text) != ''"), "doc_id"), SEARCHES).select("query", "doc_id", "rank", F.round("bm25", 6).alias("bm25"))
 
 
 def _q_intents(spark, d):

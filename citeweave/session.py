@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, row_id: str) -> DataFrame:
+    """df, a scan, as at least as many partitions as the session has cores, for work that is heavy per row.
+
+    A file of one row group is read by one task, however many cores there are. Scans of fewer partitions than cores, and
+    only those, are shuffled by row_id: at most a partition's bytes (spark.sql.files.maxPartitionBytes) per core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, row_id) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
