@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.ids import BLANK
 from citeweave.llm.tokens import VOCABULARY, token_counts
-from citeweave.session import cut, table
+from citeweave.session import cut, spread, table
 
 #: Tokens of a block, about, and how many blocks a source has.
 BLOCK_TOKENS, MIN_BLOCKS, MAX_BLOCKS = 4_000_000, 256, 16_384
@@ -150,7 +150,7 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def _mixed(spark, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
-    sized = token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"], path)
+    sized = token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id"), "text", ["doc_id", "source"], path)
     return mix(sized, table(spark, sf_dir, "mix_targets"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.llm.tokens import VOCABULARY, token_counts
-from citeweave.session import cut, table
+from citeweave.session import cut, spread, table
 
 #: Rows of one length that are ranked in one task, about: a length has as many parts as its count asks for, so that a
 #: common length (most pieces of cut documents are as long as the container) is no hot task at any size.
@@ -108,7 +108,7 @@ def pack(sized: DataFrame, containers: DataFrame) -> DataFrame:
 
 
 def _packed(spark, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
-    sized = token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id"], path)
+    sized = token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "text", ["doc_id"], path)
     return pack(sized, table(spark, sf_dir, "container_sizes"))
 
 

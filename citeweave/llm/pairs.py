@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.llm.refusals import declines, idle
-from citeweave.session import table
+from citeweave.session import spread, table
 
 # Labels and stopwords.
 LEADS = [
@@ -266,7 +266,7 @@ def flag_pairs(df: DataFrame, row_id: str, question: str, answer: str, should_re
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
-    return flag_pairs(table(spark, sf_dir, "d_oos_full_answers"), "qa_id", "question", "answer_full", "should_refuse")
+    return flag_pairs(spread(table(spark, sf_dir, "d_oos_full_answers").select("qa_id", "question", "answer_full", "should_refuse"), "qa_id"), "qa_id", "question", "answer_full", "should_refuse")
 
 
 def p2_by_kind(spark, sf_dir: str) -> DataFrame:

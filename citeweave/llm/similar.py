@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.session import cut, table
+from citeweave.session import cut, spread, table
 
 _WORD = re.compile(r"[^\W_]+")
 #: Bits of the shortest bitmap, and bits an element asks for at least, in a first look and in all; lengths are powers of two.
@@ -245,12 +245,12 @@ def similar_pairs(df: DataFrame, row_id: str, title: str, abstract: str, thresho
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
-    return similar_pairs(table(spark, sf_dir, "papers"), "rec_id", "title", "abstract")
+    return similar_pairs(spread(table(spark, sf_dir, "papers").select("rec_id", "title", "abstract"), "rec_id"), "rec_id", "title", "abstract")
 
 
 def p4_groups(spark, sf_dir: str) -> DataFrame:
     """One row per record with a class: its class id and the number of other classes that are alike."""
-    pairs, members = similar_classes(table(spark, sf_dir, "papers"), "rec_id", "title", "abstract")
+    pairs, members = similar_classes(spread(table(spark, sf_dir, "papers").select("rec_id", "title", "abstract"), "rec_id"), "rec_id", "title", "abstract")
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     return members.join(links, "rep", "left").select(F.col("rec").alias("rec_id"), F.col("rep").alias("class_id"), F.col("n").alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.llm.pairs import STOPWORDS
-from citeweave.session import cut, table
+from citeweave.session import cut, spread, table
 
 # The alphabet.
 CLASSES = ["<s>", "</s>", "url", "hash", "number", "lower", "Capital", "UPPER", "miXed", "repeat", ",", ".", ";", ":", "!", "?", "|", "·", "/", "(", ")", "[", "]", "#", "*", "-", "&", "=", "symbol"]
@@ -245,7 +245,7 @@ def page_shares(docs: DataFrame, row_id: str, text: str, above: float = ABOVE, b
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
-    return page_shares(table(spark, sf_dir, "documents"), "doc_id", "text").where(F.col("share") > SHARE).select("doc_id")
+    return page_shares(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text").where(F.col("share") > SHARE).select("doc_id")
 
 
 QUERIES = {"p8_found": p8_found}
